@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     emails = list(_emails(text))
     if not _DIGITS.search(text):
         return [emails, [], [], []]
-    ips = [m.span() for m in _IP.finditer(text) if all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split("."))]
+    ips = [m.span() for m in _IP.finditer(text) if all(len(n) <= 3 and int(n or 0) <= 255 for n in (p.lstrip("0") for p in m[0].split(".")))]
     cards, phones = [], []
     for m in _CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
