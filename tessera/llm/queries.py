@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality_rules, secrets, simhash
+from . import bpe, decontaminate, pii, quality_model, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -46,7 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op5_bpe, op6_quality_rules, op7_benchmark_decontamination, op8_secret_scan, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_pii, op3_quality_classifier, op5_bpe, op6_quality_rules, op7_benchmark_decontamination, op8_secret_scan, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
