@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality_model, quality_rules, secrets, simhash
+from . import bpe, decontaminate, lm, pii, quality_model, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_quality_classifier, op5_bpe, op6_quality_rules, op7_benchmark_decontamination, op8_secret_scan, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_pii, op3_quality_classifier, op5_bpe, op6_quality_rules, op7_benchmark_decontamination, op8_secret_scan, op9_lm_scoring, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
