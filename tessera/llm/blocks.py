@@ -7,6 +7,8 @@ the size of its partition.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -148,3 +150,23 @@ def bucket_slices(bucket: np.ndarray):
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     """Bucket of 64-bit keys; uses the high half, so sorting by key inside a bucket stays free."""
     return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and read it back; compact where checkpoint() is not."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def narrow(ids: np.ndarray) -> bytes:
+    """64-bit ids in four bytes each where all fit."""
+    return ids.astype(np.uint32).tobytes() if len(ids) and ids.min() >= 0 and ids.max() < 1 << 32 else ids.astype(np.int64).tobytes()
+
+
+def wide(raw: bytes, n: int) -> np.ndarray:
+    """The n ids of narrow()."""
+    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n and n else np.int64).astype(np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, pii, quality_model, quality_rules, secrets, simhash
+from . import bpe, chunk_dedup, decontaminate, lm, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -55,7 +63,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_quality_classifier, op5_bpe, op6_quality_rules, op7_benchmark_decontamination, op8_secret_scan, op9_lm_scoring, op10_simhash_near_dedup)}
+    operators = (
+        op1_suffix_dedup,
+        op2_pii,
+        op3_quality_classifier,
+        op4_chunk_dedup,
+        op5_bpe,
+        op6_quality_rules,
+        op7_benchmark_decontamination,
+        op8_secret_scan,
+        op9_lm_scoring,
+        op10_simhash_near_dedup,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
