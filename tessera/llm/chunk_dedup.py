@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import blocks, cutting
 
 WINDOW = 16
+#: Text whose digests are combined before they are sent.
+BLOCK_BYTES = 4 << 20
 _GEAR = np.random.RandomState(64).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -59,7 +61,7 @@ def _mapper(buckets: int):
         salt = 0
         for batch in batches:
             ids, rks = batch.column("id").to_numpy(), batch.column("rk").to_numpy()
-            for i, _, data, at in blocks.chunks(batch.column("text")):
+            for i, _, data, at in blocks.chunks(batch.column("text"), BLOCK_BYTES):
                 start, end, row = cuts(data, at)
                 if not len(start):
                     continue
@@ -118,4 +120,8 @@ def dedup(docs: DataFrame, least: int = 100, full: bool = False) -> DataFrame:
     rows = cutting.numbered(docs)
     marks = repeated_chunks(cutting.distinct_rows(rows))
     ranges = marks.groupBy("id", "rk").agg(F.collect_list("at").alias("begins"), F.collect_list(F.col("at") + F.col("size")).alias("ends"))
-    return cutting.cut(rows.join(ranges, ["id", "rk"], "left"), least, full)
+    whole = rows.withColumns({"n_bytes": F.octet_length("text").cast("long"), "whole_sha256": F.sha2("text", 256), "copy": F.lit(False)})
+    both = whole.join(ranges, ["id", "rk"], "left")
+    if not full:
+        both = both.withColumn("text", F.when(F.col("begins").isNotNull(), F.col("text")))  # only these reach Python
+    return cutting.cut(both, least, full)

@@ -38,41 +38,40 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut(rows: DataFrame, least: int = 0, full: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept) of rows (id, text, begins, ends).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept) of rows
+    (id, text, n_bytes, whole_sha256, copy, begins, ends).
 
     The ranges begins[k] to ends[k] (arrays of int, null: none) are united; runs shorter than
-    `least` bytes stay. Rows without ranges are answered by Spark's own functions.
+    `least` bytes stay. Rows without ranges need no text: they lose nothing, or all if `copy`,
+    and whole_sha256 is the digest of what they keep.
     """
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * full
 
     def run(batches):
         for batch in batches:
-            removed, spans, digest, kept_texts = [], [], [], []
             text, at = blocks.utf8(batch.column("text"))
-            sides = []
-            for name in ("begins", "ends"):
-                column = batch.column(name)
-                sides.append((column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in column])))))
-            (begins, where), (ends, _) = sides
-            for k in range(batch.num_rows):
+            begins, ends = (batch.column(n) for n in ("begins", "ends"))
+            where = np.concatenate(([0], np.cumsum([len(x) if x.is_valid else 0 for x in begins])))
+            begins, ends = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (begins, ends))
+            copy, size = batch.column("copy").to_pylist(), batch.column("n_bytes").to_pylist()
+            digest = batch.column("whole_sha256").to_pylist()
+            removed = [n if c else 0 for n, c in zip(size, copy, strict=True)]
+            spans = [int(c) for c in copy]
+            kept = [b"" if c else text[a:b].tobytes() for c, a, b in zip(copy, at[:-1], at[1:], strict=True)] if full else []
+            for k in np.flatnonzero(np.diff(where)).tolist():
                 whole = text[at[k] : at[k + 1]]
                 b, e = merged(begins[where[k] : where[k + 1]], ends[where[k] : where[k + 1]])
                 b, e = b[e - b >= least], e[e - b >= least]
                 edge = np.zeros(len(whole) + 1, np.int8)
                 np.add.at(edge, b, 1)
                 np.add.at(edge, e, -1)
-                kept = whole[np.cumsum(edge[:-1]) == 0].tobytes()
-                removed.append(int((e - b).sum()))
-                spans.append(len(b))
-                digest.append(hashlib.sha256(kept).hexdigest())
+                rest = whole[np.cumsum(edge[:-1]) == 0].tobytes()
+                removed[k], spans[k], digest[k] = int((e - b).sum()), len(b), hashlib.sha256(rest).hexdigest()
                 if full:
-                    kept_texts.append(kept)
+                    kept[k] = rest
             columns = [batch.column("id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept_texts, pa.binary())] * full, names=names)
-
-    size = F.octet_length("text").cast("long").alias("n_bytes")
-    some = rows.filter("begins IS NOT NULL").select("id", size, "text", "begins", "ends")
-    done = some.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
-    zero = F.lit(0).cast("long")
-    rest = rows.filter("begins IS NULL").select("id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").cast("binary").alias("kept")] * full)
-    return done.unionByName(rest).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *names[1:])
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * full, names=names)
+
+    wanted = rows.select("id", "n_bytes", "text", "whole_sha256", "copy", "begins", "ends")
+    done = wanted.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *names[1:])

@@ -21,6 +21,8 @@ different contexts; such keys (at most `hot_keys`, by count) are split by the wi
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ from . import blocks, cutting
 LENGTH = 50
 PIECE = 16
 SPAN = LENGTH - PIECE + 1
+#: Keys and contexts that a task combines before it sends them.
+HELD_KEYS, HELD_CONTEXTS = 1 << 20, 1 << 17
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -96,10 +100,12 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last, least[first], np.searchsorted(at, first, "right") - 1
 
 
-def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+def _batches(schema: str, rows, size: int = 64):
+    """Record batches of rows (tuples in the order of the schema)."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    for some in batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _slices(bucket: np.ndarray) -> list[tuple[int, int]]:
@@ -113,30 +119,38 @@ _KEYS = "bucket int, n int, keys binary, ids binary, counts binary"
 
 def _anchors(buckets: int):
     def run(batches):
-        salt = 0
+        held, salt = [], 0
+
+        def rows():
+            nonlocal salt
+            key, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[once], owner[once]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.diff(np.append(start, len(key)))
+            sent = blocks.bucket_of(key[start], buckets)
+            for lo, hi in _slices(sent):
+                yield (int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), np.minimum(count[lo:hi], 65535).astype(np.uint16).tobytes())
+            shared = np.flatnonzero(np.repeat(count > 1, count))
+            for lo in range(0, len(shared), 1 << 16):  # known to be repeated without any other block
+                k = shared[lo : lo + (1 << 16)]
+                salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
+                yield (buckets + salt, len(k), key[k].tobytes(), blocks.narrow(owner[k]), b"")
+
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for i, _, data, at in blocks.chunks(batch.column("text")):
                 _, _, key, row = window_keys(data, at)
-                if not len(key):
-                    continue
-                order = np.lexsort((row, key))
-                key, row = key[order], row[order]
-                once = np.ones(len(key), bool)
-                once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, owner = key[once], ids[i + row[once]]
-                start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                count = np.diff(np.append(start, len(key)))
-                out = []
-                sent = blocks.bucket_of(key[start], buckets)
-                for lo, hi in _slices(sent):
-                    out.append((int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), np.minimum(count[lo:hi], 65535).astype(np.uint16).tobytes()))
-                shared = np.repeat(count > 1, count)
-                if shared.any():  # known to be repeated without any other block
-                    salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
-                    out.append((buckets + salt, int(shared.sum()), key[shared].tobytes(), blocks.narrow(owner[shared]), b""))
-                for lo in range(0, len(out), 64):
-                    yield _batch(_KEYS, out[lo : lo + 64])
+                if len(key):
+                    held.append((key, ids[i + row]))
+                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                    yield from _batches(_KEYS, rows())
+        if held:
+            yield from _batches(_KEYS, rows())
 
     return run
 
@@ -161,57 +175,70 @@ def _repeated(buckets: int, hot: int):
     return reduce
 
 
-_CONTEXTS = "bucket int, n int, keys binary, ids binary, rks binary, starts binary, sizes binary, bytes binary"
+_CONTEXTS = "bucket int, n int, base long, keys binary, ids binary, places binary, starts binary, sizes binary, bytes binary"
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places start[k], start[k] + 1, ... of ranges of the given sizes, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def _contexts(buckets: int, hot_keys):
+    def cut(data, at, wanted, lists, hot):
+        """Key, first start, end and row of the runs whose key is among the row's repeated ones."""
+        first, last, key, row = window_keys(data, at)
+        tag = lambda r, k: blocks.mix(k + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        stay = np.isin(tag(row, key), tag(np.repeat(np.arange(len(lists) - 1), np.diff(lists)), wanted))
+        first, last, key, row = first[stay], last[stay], key[stay], row[stay]
+        if len(hot) and (split := np.isin(key, hot)).any():  # every window of a hot key for itself
+            size = np.where(split, last - first + 1, 1)
+            k = np.repeat(np.arange(len(first)), size)
+            within = _places(np.zeros(len(size), np.int64), size)
+            first, last = first[k] + within, np.where(split[k], first[k] + within, last[k])
+            key, row, split = key[k], row[k], split[k]
+            key = np.where(split, blocks.mix(key ^ blocks.span_hashes(data, first, first + LENGTH)), key)
+        return key, first, last + LENGTH, row
+
     def run(batches):
-        hot, salt = hot_keys.value, 0
+        hot, held, salt = hot_keys.value, [], 0
+
+        def rows():
+            nonlocal salt
+            key, like, owner, place, begin, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            start = np.cumsum(size) - size
+            order = np.lexsort((begin, place, owner, like, key))
+            key, like, owner, place, begin, size, start = (x[order] for x in (key, like, owner, place, begin, size, start))
+            group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (like[1:] != like[:-1])))) - 1
+            lost = owner > owner[np.flatnonzero(np.diff(group, prepend=-1))][group]
+
+            def pack(bucket, k, raw):
+                base = int(place[k].min())
+                return (bucket, len(k), base, key[k].tobytes(), blocks.narrow(owner[k]), blocks.narrow(place[k] - base), begin[k].astype(np.uint32).tobytes(), size[k].astype(np.uint32).tobytes(), raw)
+
+            some = np.flatnonzero(~lost)
+            sent = blocks.bucket_of(key[some], buckets)
+            for lo, hi in _slices(sent):
+                yield pack(int(sent[lo]), some[lo:hi], text[_places(start[some[lo:hi]], size[some[lo:hi]])].tobytes())
+            gone = np.flatnonzero(lost)
+            for lo in range(0, len(gone), 1 << 15):
+                salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
+                yield pack(buckets + salt, gone[lo : lo + (1 << 15)], b"")
+
         for batch in batches:
-            ids, rks = batch.column("id").to_numpy(), batch.column("rk").to_numpy()
-            wanted, lists = batch.column("keys"), None
+            ids, places = batch.column("id").to_numpy(), batch.column("place").to_numpy()
+            wanted = batch.column("keys")
             lists = np.concatenate(([0], np.cumsum([len(x) for x in wanted])))
             wanted = wanted.flatten().to_numpy().view(np.uint64)
             for i, j, data, at in blocks.chunks(batch.column("text")):
-                first, last, key, row = window_keys(data, at)
-                # a run stays if its document has its key among the repeated ones
-                mine = np.stack([np.repeat(np.arange(j - i), np.diff(lists[i : j + 1])).astype(np.uint64), wanted[lists[i] : lists[j]]])
-                tag = lambda r, k: blocks.mix(k + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                stay = np.isin(tag(row, key), tag(mine[0], mine[1]))
-                first, last, key, row = first[stay], last[stay], key[stay], row[stay]
-                if not len(first):
-                    continue
-                if len(hot) and (split := np.isin(key, hot)).any():  # every window of a hot key for itself
-                    size = np.where(split, last - first + 1, 1)
-                    k = np.repeat(np.arange(len(first)), size)
-                    within = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
-                    first, last = first[k] + within, np.where(split[k], first[k] + within, last[k])
-                    key, row, split = key[k], row[k], split[k]
-                    key = np.where(split, blocks.mix(key ^ blocks.span_hashes(data, first, first + LENGTH)), key)
-                end = last + LENGTH
-                like = blocks.mix(blocks.span_hashes(data, first, end) ^ key)
-                owner, rk = ids[i + row], rks[i + row]
-                order = np.lexsort((first, rk, owner, like, key))
-                first, end, key, like, owner, rk, row = (x[order] for x in (first, end, key, like, owner, rk, row))
-                group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (like[1:] != like[:-1])))) - 1
-                least = owner[np.flatnonzero(np.diff(group, prepend=-1))][group]
-                lost = owner > least
-                out = []
-                begin = (first - at[row]).astype(np.uint32)
-                size = end - first
-
-                def pack(bucket, k):
-                    text = b"" if bucket >= buckets else data[np.repeat(first[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(int(size[k].sum()))].tobytes()
-                    return (bucket, len(k), key[k].tobytes(), blocks.narrow(owner[k]), rk[k].tobytes(), begin[k].tobytes(), size[k].astype(np.uint32).tobytes(), text)
-
-                some = np.flatnonzero(~lost)
-                sent = blocks.bucket_of(key[some], buckets)
-                out = [pack(int(sent[lo]), some[lo:hi]) for lo, hi in _slices(sent)]
-                if lost.any():
-                    salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
-                    out.append(pack(buckets + salt, np.flatnonzero(lost)))
-                for lo in range(0, len(out), 32):
-                    yield _batch(_CONTEXTS, out[lo : lo + 32])
+                key, first, end, row = cut(data, at, wanted[lists[i] : lists[j]], lists[i : j + 1], hot)
+                if len(key):
+                    like = blocks.mix(blocks.span_hashes(data, first, end) ^ key)
+                    held.append((key, like, ids[i + row], places[i + row], first - at[row], end - first, data[_places(first, end - first)]))
+                if sum(len(h[0]) for h in held) > HELD_CONTEXTS:
+                    yield from _batches(_CONTEXTS, rows(), 32)
+        if held:
+            yield from _batches(_CONTEXTS, rows(), 32)
 
     return run
 
@@ -223,12 +250,11 @@ def _groups(text: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nda
     """
     count = size - LENGTH + 1
     context = np.repeat(np.arange(len(start)), count)
-    offset = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
+    offset = _places(np.zeros(len(count), np.int64), count)
     # contexts set apart by zeros, so that equal windows at their ends differ behind
     spaced = np.zeros(int(size.sum()) + len(start), np.int64)
     head = np.cumsum(size + 1) - size - 1
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    spaced[np.repeat(head, size) + within] = text[np.repeat(start, size) + within].astype(np.int64) + 1
+    spaced[_places(head, size)] = text[_places(start, size)].astype(np.int64) + 1
     window = np.full(len(spaced), -1)
     window[head[context] + offset] = np.arange(len(context))
     order = suffix_array(spaced)
@@ -249,13 +275,14 @@ def _groups(text: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nda
 
 
 def _sorted(buckets: int):
-    """id, rk, begins, ends (packed) of the ranges that each bucket's suffix order removes."""
+    """place, begins, ends of the ranges that each bucket's suffix order removes."""
 
     def reduce(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
         owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
-        rk, begin, size = join("rks", np.int64), join("starts", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
+        place = np.concatenate([b + blocks.wide(x.as_py(), n) for b, x, n in zip(table["base"].to_pylist(), table["places"], sizes, strict=True)])
+        begin, size = join("starts", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
         gone = [(np.arange(len(owner)), begin, begin + size)]
         if table["bucket"][0].as_py() < buckets:
             key, text = join("keys", np.uint64), join("bytes", np.uint8)
@@ -278,26 +305,30 @@ def _sorted(buckets: int):
                 rows = np.flatnonzero(~lost)
                 rows = rows[np.argsort(alike[rows], kind="stable")]
                 lo, hi = (np.searchsorted(alike[rows], open_[which], side) for side in ("left", "right"))
-                index = np.repeat(np.arange(len(which)), hi - lo)
-                row = rows[np.repeat(lo, hi - lo) + np.arange(len(index)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+                index, row = np.repeat(np.arange(len(which)), hi - lo), rows[_places(lo, hi - lo)]
                 gone.append((row, begin[row] + offset[index], begin[row] + offset[index] + LENGTH))
         row, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
-        order = np.lexsort((a, rk[row], owner[row]))
+        order = np.lexsort((a, place[row]))
         row, a, b = row[order], a[order], b[order]
-        out = [[], [], [], []]
-        if len(row):
-            for lo, hi in _slices(np.stack([owner[row], rk[row]], axis=1).view("i8,i8").ravel()):
-                begins, ends = cutting.merged(a[lo:hi], b[lo:hi])
-                out[0].append(owner[row[lo]])
-                out[1].append(rk[row[lo]])
-                out[2].append(begins.astype(np.int32))
-                out[3].append(ends.astype(np.int32))
+        ids, begins, ends = [], [], []
+        for lo, hi in _slices(place[row]) if len(row) else []:
+            first, last = cutting.merged(a[lo:hi], b[lo:hi])
+            ids.append(place[row[lo]])
+            begins.append(first.astype(np.int32))
+            ends.append(last.astype(np.int32))
         whole = pa.list_(pa.int32())
-        return pa.table({"id": pa.array(out[0], pa.int64()), "rk": pa.array(out[1], pa.int64()), "begins": pa.array(out[2], whole), "ends": pa.array(out[3], whole)})
+        return pa.table({"place": pa.array(ids, pa.int64()), "begins": pa.array(begins, whole), "ends": pa.array(ends, whole)})
 
     return reduce
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """id and rk of the rows whose whole text a smaller id has too; such texts need no search."""
+    marks = blocks.table(rows.select("id", "rk", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("g"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH))
+    least = marks.groupBy("h", "g", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    return marks.join(least, ["h", "g", "n"]).filter("id > least").select("id", "rk")
+
+
 def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept, the bytes), one row per input row.
 
@@ -307,16 +338,27 @@ def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool
     """
     spark = docs.sparkSession
     rows = cutting.numbered(docs)
-    once = cutting.distinct_rows(rows)
     buckets = 4 * blocks.partitions(spark)
-    repeated = once.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, hot), "id long, key long, n long")
+    repeated = rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, hot), "id long, key long, n long")
     repeated = blocks.table(repeated)
     common = repeated.filter("id IS NULL").orderBy(F.desc("n"), "key").limit(hot_keys).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    by_id = repeated.filter("id IS NOT NULL").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    # texts without a repeated key are done; the others stay beside their keys
-    marked = blocks.table(rows.join(by_id, "id", "left"))
-    kept = cutting.distinct_rows(marked.filter("keys IS NOT NULL"))
-    contexts = kept.select("id", "rk", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
-    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), "id long, rk long, begins array<int>, ends array<int>")
-    ranges = lost.groupBy("id", "rk").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return cutting.cut(marked.drop("keys").join(ranges, ["id", "rk"], "left"), 0, full)
+    # what each id has to be searched for; its exact copies of smaller ids lose everything without a search
+    found = repeated.filter("id IS NOT NULL").select("id", "key", F.lit(None).cast("long").alias("copy")).unionByName(_copies(rows).select("id", F.lit(None).cast("long").alias("key"), F.col("rk").alias("copy")))
+    by_id = found.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_set("copy").alias("copies"))
+    copy = F.coalesce(F.array_contains("copies", F.col("rk")), F.lit(False))
+    searched = ~copy & (F.coalesce(F.size("keys"), F.lit(0)) > 0)
+    # texts are shuffled once for the search, and those that were searched once more for the cut
+    marked = rows.join(by_id, "id", "left").select(
+        "id",
+        F.monotonically_increasing_id().alias("place"),
+        F.when(searched, F.col("keys")).alias("keys"),
+        F.when(searched | F.lit(full), F.col("text")).alias("text"),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2(F.when(copy, F.lit("")).otherwise(F.col("text")), 256).alias("whole_sha256"),
+        copy.alias("copy"),
+    )
+    marked = blocks.table(marked)
+    contexts = marked.filter("keys IS NOT NULL").select("id", "place", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
+    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), "place long, begins array<int>, ends array<int>")
+    ranges = lost.groupBy("place").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return cutting.cut(marked.drop("keys").join(ranges, "place", "left"), 0, full)
