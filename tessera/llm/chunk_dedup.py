@@ -23,6 +23,8 @@ from . import blocks, cutting
 WINDOW = 16
 #: Text whose digests are combined before they are sent.
 BLOCK_BYTES = 4 << 20
+#: Marked chunks that ride together under one random bucket.
+PIECE = 512
 _GEAR = np.random.RandomState(64).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -72,9 +74,9 @@ def _mapper(buckets: int):
                 first = np.ones(len(order), bool)
                 first[1:] = key[order][1:] != key[order][:-1]
                 for chosen, spread in ((order[first], blocks.bucket_of(key[order[first]], buckets)), (order[~first], None)):
-                    if spread is None:  # marked at once: whole blocks under one random bucket
-                        salt = (salt * 31 + int(key[0] % 65521) + 7) % buckets
-                        spread = np.full(len(chosen), buckets + salt, np.int32)
+                    if spread is None:  # marked at once: pieces under random buckets
+                        salt = (salt * 31 + int(key[0] % np.uint64(65521)) + 7) % buckets
+                        spread = (buckets + (salt + np.arange(len(chosen)) // PIECE) % buckets).astype(np.int32)
                     edges = np.flatnonzero(np.diff(spread, prepend=-1, append=1 << 30))
                     rows = []
                     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

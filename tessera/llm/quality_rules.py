@@ -11,41 +11,39 @@ neither judged nor counted as repeated. Very long texts cost n log n.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
-    "all rights reserved", "licensed under", "terms of service", "terms of use", "privacy policy",
+    "all rights reserved", "terms of service", "terms of use", "privacy policy",
     "cookie policy", "use cookies", "copyright (c)", "copyright ©", "enable javascript", "lorem ipsum",
     "click here", "sign up for our newsletter", "subscribe to our", "follow us on", "share this",
 )
 
 
-def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, "")).cast("long")
+#: Lines that are a link's label.
+LABELS = ("home", "menu", "next", "previous", "back to top")
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPLIT), "")
 
 
-def _line_ok(line: Column, max_symbols: float, max_shouts: float, max_caps: float, min_distinct: float) -> Column:
+def _line_ok(line: Column, words: Column, max_symbols: float, max_shouts: float, min_distinct: float) -> Column:
     """True for a line that stays. Lines without words stay (they are blank lines between paragraphs)."""
-    words = _words(line)
     n = F.size(words)
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    shouts = F.regexp_count(line, F.lit("[!?]{2,}"))
-    capitals = F.regexp_count(line, F.lit("(?<!\\p{L})\\p{Lu}{2,}(?!\\p{L})"))
-    links = F.regexp_count(line, F.lit("[|\\u2022\\u00bb>]"))
-    punctuation = (symbols > n * max_symbols) | (shouts > n * max_shouts)
-    navigation = ((links >= 2) & (links * 4 >= n)) | F.rlike(F.lower(line), F.lit("^\\s*(home|menu|next|previous|back to top)\\s*$"))
-    boilerplate = F.rlike(F.lower(line), F.lit("|".join(p.replace("(", "\\(").replace(")", "\\)") for p in BOILERPLATE)))
-    shouting = (n >= 5) & (capitals > n * max_caps)
+    small = F.lower(line)
+    punctuation = (F.regexp_count(line, F.lit(SYMBOLS)) > n * max_symbols) | (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!"))) > n * max_shouts)
+    links = F.regexp_count(line, F.lit("[|\u2022\u00bb]"))
+    navigation = ((links >= 2) & (links * 4 >= n)) | ((n <= 3) & F.trim(small).isin(*LABELS))
+    boilerplate = reduce(Column.__or__, (F.contains(small, F.lit(p)) for p in BOILERPLATE))
+    shouting = (n >= 5) & F.rlike(line, F.lit("^\\P{Ll}*+$")) & F.rlike(line, F.lit("\\p{Lu}"))
     dull = (n >= 10) & (F.size(F.array_distinct(words)) < n * min_distinct)
     return (n == 0) | ~(punctuation | navigation | boilerplate | shouting | dull)
 
@@ -57,7 +55,6 @@ def judge(
     max_lost: float = 0.5,
     max_symbols: float = 0.5,
     max_shouts: float = 0.3,
-    max_caps: float = 0.5,
     min_distinct: float = 0.2,
 ) -> DataFrame:
     """row (struct of the input's columns), cleaned (text of the lines that stay) and the figures of each row.
@@ -67,28 +64,32 @@ def judge(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     at = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
-    at = at.withColumn("hashes", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+    # every line with its words, split once; line breaks separate words, so these are the text's words too
+    at = at.withColumn("lines", F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.struct(x.alias("line"), _words(x).alias("words"))))
+    at = at.withColumn("words", F.flatten(F.transform("lines", lambda x: x["words"])))
+    at = at.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     i = lambda k, d: F.element_at("hashes", k + d)
     windows = F.when(F.size("hashes") >= 5, F.transform(F.sequence(F.lit(1), F.size("hashes") - 4), lambda k: F.xxhash64(i(k, 0), i(k, 1), i(k, 2), i(k, 3), i(k, 4)))).otherwise(F.array().cast("array<bigint>"))
     at = at.withColumn("windows", windows)
     # windows beside their like in sorted order occur twice or more; their places are then walked in order
     some = F.size(F.array_distinct("windows")) < F.size("windows")
-    at = at.withColumn("sorted", F.when(some, F.array_sort(F.transform("windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
+    at = at.withColumn("sorted", F.when(some, F.sort_array(F.transform("windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     twice = F.filter("sorted", lambda s, k: (s.h == F.get("sorted", k + 1).h) | (s.h == F.get("sorted", k - 1).h))
-    at = at.withColumn("places", F.array_sort(F.transform(twice, lambda s: s.p)))
+    at = at.withColumn("places", F.sort_array(F.transform(twice, lambda s: s.p)))
     covered = F.aggregate(F.transform("places", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("places", k + 1) - p, F.lit(5))).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-    at = at.withColumn("lines", F.split(F.col("text"), "\n", -1))
-    spoken = F.filter("lines", lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
-    at = at.withColumn("spoken", spoken).withColumn("cleaned", F.array_join(F.filter("lines", lambda x: _line_ok(x, max_symbols, max_shouts, max_caps, min_distinct)), "\n"))
+    spoken = F.transform(F.filter("lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"])
+    stay = F.filter("lines", lambda x: _line_ok(x["line"], x["words"], max_symbols, max_shouts, min_distinct))
+    at = at.withColumn("spoken", spoken).withColumn("stay", stay)
+    chars = lambda words: F.length(F.array_join(words, "")).cast("long")
     out = at.select(
         "row",
-        "cleaned",
-        F.size("hashes").cast("long").alias("n_words"),
-        _word_chars(F.col("text")).alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("cleaned"),
+        F.size("words").cast("long").alias("n_words"),
+        chars("words").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("spoken") - F.size(F.array_distinct("spoken"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        _word_chars(F.col("cleaned")).alias("clean_chars"),
+        chars(F.flatten(F.transform("stay", lambda x: x["words"]))).alias("clean_chars"),
     )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = F.coalesce(1 - F.try_divide("clean_chars", "word_chars"), F.lit(0.0))

@@ -136,9 +136,10 @@ def _anchors(buckets: int):
             for lo, hi in _slices(sent):
                 yield (int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), np.minimum(count[lo:hi], 65535).astype(np.uint16).tobytes())
             shared = np.flatnonzero(np.repeat(count > 1, count))
-            for lo in range(0, len(shared), 1 << 16):  # known to be repeated without any other block
-                k = shared[lo : lo + (1 << 16)]
-                salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
+            salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
+            for lo in range(0, len(shared), 1 << 12):  # known to be repeated without any other block
+                k = shared[lo : lo + (1 << 12)]
+                salt = (salt + 1) % buckets
                 yield (buckets + salt, len(k), key[k].tobytes(), blocks.narrow(owner[k]), b"")
 
         for batch in batches:
@@ -221,9 +222,10 @@ def _contexts(buckets: int, hot_keys):
             for lo, hi in _slices(sent):
                 yield pack(int(sent[lo]), some[lo:hi], text[_places(start[some[lo:hi]], size[some[lo:hi]])].tobytes())
             gone = np.flatnonzero(lost)
-            for lo in range(0, len(gone), 1 << 15):
-                salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
-                yield pack(buckets + salt, gone[lo : lo + (1 << 15)], b"")
+            salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
+            for lo in range(0, len(gone), 1 << 11):
+                salt = (salt + 1) % buckets
+                yield pack(buckets + salt, gone[lo : lo + (1 << 11)], b"")
 
         for batch in batches:
             ids, places = batch.column("id").to_numpy(), batch.column("place").to_numpy()
