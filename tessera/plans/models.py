@@ -1 +1,229 @@
-"""Queries of estimators and models."""
+"""Queries of estimators and learned models, with windows that fit the stand-in calendar."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import aggregates as a
+from tessera.operators import estimators as e
+from tessera.operators import joins as j
+from tessera.operators import learn as m
+from tessera.operators import panel as p
+from tessera.operators import portfolio as b
+from tessera.operators import windows as w
+from tessera.plans.catalog import Tables, query
+from tessera.plans.reports import adjusted, windows
+
+MONTHS, LEAST = 36, 24
+
+
+def excess(t: Tables) -> DataFrame:
+    return j.with_series(adjusted(t), t.factors.select("month", "rf")).withColumn("excess", F.col("ret_adjusted") - F.col("rf")).drop("rf")
+
+
+def factors(t: Tables) -> DataFrame:
+    return t.factors.filter("mkt_rf IS NOT NULL").select("month", *e.FACTORS)
+
+
+def betas(t: Tables) -> DataFrame:
+    return e.rolling_betas(excess(t).select("permno", "month", "market_cap", "excess"), factors(t), MONTHS, LEAST).cache()
+
+
+def forms(t: Tables, first: str = "2001-01-01") -> DataFrame:
+    return t.monthly.filter(F.col("month") >= first).select(F.col("month").alias("form_month"))
+
+
+@query("e2_single_factor_beta", """
+WITH x AS (SELECT s.permno, s.month, (1 + s.ret) * (1 + coalesce(s.dlret, 0)) - 1 - f.rf AS y, f.mkt_rf AS x FROM stock s JOIN factors f ON s.month = f.month),
+r AS (SELECT permno, month, count(CASE WHEN y IS NOT NULL AND x IS NOT NULL THEN 1 END) OVER o AS n_obs, regr_slope(y, x) OVER o AS beta, regr_intercept(y, x) OVER o AS alpha FROM x
+      WINDOW o AS (PARTITION BY permno ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW))
+SELECT permno, month, n_obs, CASE WHEN n_obs >= 24 THEN alpha END AS alpha, CASE WHEN n_obs >= 24 THEN beta END AS beta FROM r""", "alpha beta")
+def _(t):
+    at = e.rolling_betas(excess(t).select("permno", "month", "excess"), factors(t).select("month", "mkt_rf"), MONTHS, LEAST, ("mkt_rf",))
+    return at.select("permno", "month", "n_obs", F.col("betas")[0].alias("alpha"), F.col("betas")[1].alias("beta"))
+
+
+@query("e2_five_factor_betas")
+def _(t):
+    return betas(t).select("permno", "month", "n_obs", *(F.col("betas")[i].alias(n) for i, n in enumerate(("alpha", *e.FACTORS))), "idio_var", "r2")
+
+
+@query("e3_mean_premia", """
+SELECT month AS form_month, avg(rf) OVER o AS rf, avg(mkt_rf) OVER o AS mkt, avg(cma) OVER o AS cma FROM factors
+WINDOW o AS (ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW)""", "rf mkt cma")
+def _(t):
+    return e.mean_premia(t.factors, MONTHS).select("form_month", "rf", F.col("premia")[0].alias("mkt"), F.col("premia")[4].alias("cma"))
+
+
+@query("e3_forecast")
+def _(t):
+    return e.forecast(betas(t).filter(F.col("month") >= "2001-01-01"), e.mean_premia(t.factors, MONTHS))
+
+
+def conditioned(t: Tables) -> DataFrame:
+    return e.conditioning_windows(t.factors.filter("mkt_rf IS NOT NULL"), t.macro.filter("volatility IS NOT NULL"), forms(t, "1999-01-01"), MONTHS).cache()
+
+
+@query("e4_ridge_premia")
+def _(t):
+    return e.ridge_premia(conditioned(t), least=30).select("form_month", *(F.col("premia")[i].alias(n) for i, n in enumerate(e.FACTORS)))
+
+
+@query("e5_e6_e7_var_premia")
+def _(t):
+    return e.var_premia(conditioned(t), tau=3, least_var=30).select("form_month", "var_ok", "pricing_ok", "fallback", "radius", *(F.col("premia")[i].alias(n) for i, n in enumerate(e.FACTORS)))
+
+
+def bounded(t: Tables, n: int = 20) -> DataFrame:
+    """Betas of the n largest entities of each of the last formation months; the pair tables have n squared rows."""
+    return w.top_k(betas(t).filter((F.col("month") >= "2001-06-01") & F.col("betas").isNotNull()), "market_cap", n, "month").drop("top_rank")
+
+
+@query("e8_conditional_covariance")
+def _(t):
+    return e.conditional_covariance(bounded(t), e.var_premia(conditioned(t), tau=3, least_var=30), 3)
+
+
+@query("e10_factor_covariance")
+def _(t):
+    return e.factor_covariance(bounded(t), t.factors.filter("mkt_rf IS NOT NULL"), MONTHS)
+
+
+@query("e10_average_r2")
+def _(t):
+    return e.average_r2(betas(t))
+
+
+_SHRINK = """
+x AS (SELECT *, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 AS ra FROM stock),
+fm AS (SELECT DISTINCT month AS form_month FROM stock WHERE month >= DATE '2001-06-01'),
+lw AS (SELECT form_month, x.month, permno, ra AS r FROM fm JOIN x ON x.month > form_month - INTERVAL 24 MONTH AND x.month <= form_month WHERE ra IS NOT NULL),
+ct AS (SELECT form_month, permno, avg(r) AS mean FROM lw GROUP BY 1, 2 HAVING count(*) >= 20),
+cp AS (SELECT ct.*, s.market_cap, count(s.market_cap) OVER (PARTITION BY ct.form_month) AS caps FROM ct LEFT JOIN stock s ON s.permno = ct.permno AND s.month = ct.form_month),
+rk AS (SELECT *, row_number() OVER (PARTITION BY form_month ORDER BY coalesce(market_cap, 0) DESC, permno) AS i FROM cp),
+ch AS (SELECT * FROM rk WHERE i <= 30 OR caps < 50), lv AS (SELECT DISTINCT lw.form_month, lw.month FROM lw JOIN ch ON lw.form_month = ch.form_month AND lw.permno = ch.permno),
+wd AS (SELECT ch.form_month, lv.month, ch.permno, coalesce(lw.r, ch.mean) AS r FROM ch JOIN lv ON ch.form_month = lv.form_month LEFT JOIN lw ON lw.form_month = ch.form_month AND lw.permno = ch.permno AND lw.month = lv.month),
+cx AS (SELECT *, r - avg(r) OVER (PARTITION BY form_month, permno) AS c FROM wd),
+cv AS (SELECT a.form_month, a.permno AS i, b.permno AS j, sum(a.c * b.c) AS s, count(*) AS t FROM cx a JOIN cx b ON a.form_month = b.form_month AND a.month = b.month GROUP BY 1, 2, 3),
+d AS (SELECT form_month, max(t) AS n_months, count(DISTINCT i) AS n_assets, sum(CASE WHEN i = j THEN s / t ELSE 0 END) / count(DISTINCT i) AS mu, sum(s / t * s / t) / count(DISTINCT i) AS second FROM cv GROUP BY 1),
+q AS (SELECT form_month, sum(nn * nn) AS d2 FROM (SELECT form_month, month, sum(c * c) AS nn FROM cx GROUP BY 1, 2) GROUP BY 1),
+ro AS (SELECT a.form_month, avg(a.s / sqrt(b.s * e.s)) AS rho FROM cv a JOIN cv b ON b.form_month = a.form_month AND b.i = a.i AND b.j = a.i JOIN cv e ON e.form_month = a.form_month AND e.i = a.j AND e.j = a.j WHERE a.i <> a.j GROUP BY 1)"""
+
+
+@query("e9_shrinkage", f"""
+WITH {_SHRINK} SELECT d.form_month, n_months, n_assets, greatest(0, least(1, least(second - mu * mu, (q.d2 / n_months - second * n_assets) / (n_assets * n_months)) / (second - mu * mu))) AS delta, rho
+FROM d JOIN q ON d.form_month = q.form_month JOIN ro ON ro.form_month = d.form_month""", "delta rho")
+def _(t):
+    return e.shrinkage(windows(t, 30, "2001-06-01", 24))
+
+
+def solved(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    window = windows(t, 30, "2001-06-01", 24)
+    shrunk = e.shrinkage(window).cache()
+    mu = e.forecast(betas(t).filter(F.col("month") >= "2001-06-01"), e.mean_premia(t.factors, MONTHS)).withColumn("model", F.lit("five_factor")).cache()
+    return window, shrunk, mu, b.mean_variance_weights(window, shrunk, mu, cap=0.1).cache()
+
+
+@query("b2_mean_variance_weights")
+def _(t):
+    return solved(t)[3]
+
+
+@query("b10_optimality")
+def _(t):
+    window, shrunk, mu, weights = solved(t)
+    chosen = mu.join(window.select("form_month", "permno").distinct(), ["form_month", "permno"], "left_semi")
+    return b.optimality_summary(b.optimality(window, shrunk, chosen, weights, cap=0.1))
+
+
+@query("b11_optimality_by_model")
+def _(t):
+    window, shrunk, mu, weights = solved(t)
+    chosen = mu.join(window.select("form_month", "permno").distinct(), ["form_month", "permno"], "left_semi")
+    return b.optimality_by_model(b.optimality_summary(b.optimality(window, shrunk, chosen, weights, cap=0.1)))
+
+
+# --- learned models ------------------------------------------------------------------------------
+
+CHARACTERISTICS, MACROS = ("reversal_st", "momentum", "illiquidity", "bm", "gp", "dlret"), ("dp_ratio", "volatility")
+
+
+def learning_panel(t: Tables) -> DataFrame:
+    at = p.point_in_time_join(p.market_characteristics(t.stock), p.accounting_characteristics(t.accounting), t.links)
+    at = j.with_series(j.with_series(at, t.factors.select("month", "rf")), t.macro.select("month", *MACROS))
+    return m.with_target(at).select("permno", "month", "siccd", "y", *CHARACTERISTICS, *MACROS).cache()
+
+
+def builder() -> m.FeatureBuilder:
+    return m.FeatureBuilder(CHARACTERISTICS, MACROS)
+
+
+def halves(t: Tables) -> tuple[m.FeatureBuilder, DataFrame, DataFrame]:
+    panel = learning_panel(t)
+    train, test = m.between(panel, (1997, 1998)), m.between(panel, (1999, 1999))
+    a.assert_before(train, test)
+    fitted = builder().fit(train)
+    return fitted, fitted.transform(train).cache(), fitted.transform(test).cache()
+
+
+@query("m1_target", "SELECT s.permno, s.month, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 - f.rf AS y FROM stock s JOIN factors f ON s.month = f.month WHERE ret IS NOT NULL", "y")
+def _(t):
+    return m.with_target(j.with_series(adjusted(t), t.factors.select("month", "rf"))).select("permno", "month", "y")
+
+
+@query("m2_m5_features")
+def _(t):
+    from pyspark.ml.functions import vector_to_array
+
+    _, _, test = halves(t)
+    x = vector_to_array("features")
+    return test.select("permno", "month", F.size(x).alias("width"), F.array_max(x).alias("high"), F.array_min(x).alias("low"))
+
+
+@query("m6_splits", "SELECT y AS test_year, r AS role, CASE r WHEN 'test' THEN y WHEN 'validation' THEN y - 2 ELSE 1995 END AS lo, CASE r WHEN 'tune' THEN y - 3 WHEN 'test' THEN y ELSE y - 1 END AS hi FROM range(1999, 2002) t(y), (VALUES ('tune'), ('validation'), ('train'), ('test')) v(r)")
+def _(t):
+    plan = m.splits_table(t.spark, m.splits(1999, 2001, 1995, 2))
+    years = t.stock.select(F.year("month").alias("year")).distinct()
+    return plan.join(years, plan.test_year == years.year).drop("year")
+
+
+@query("m7_m8_m10_surface")
+def _(t):
+    _, train, test = halves(t)
+    projection = m.Projection(8).fit(train)
+    return m.elastic_net_surface(projection.transform(train), projection.transform(test), (1e-4, 1e-2), (0.0, 0.5))
+
+
+@query("m6_m11_m15_expanding_forecasts")
+def _(t):
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1996, 2), (1e-3, 1e-1), (0.5,), 8)[0]
+
+
+@query("m9_huber")
+def _(t):
+    _, train, test = halves(t)
+    projection = m.Projection(8).fit(train)
+    x = projection.transform(train)
+    weights, level = m.huber_elastic_net(x, 1e-3, 0.5, 0.7, steps=60)
+    return a.zero_r2(m.predict_linear(projection.transform(test), weights, level), "y", "prediction", "month")
+
+
+@query("m12_importance")
+def _(t):
+    fitted, train, test = halves(t)
+    model = m.elastic_net(train, 1e-3, 0.5, 1.0, "features")
+    return m.zero_out_importance(model.transform(test), model.coefficients.toArray().tolist(), fitted.names, top=10)
+
+
+@query("m13_forest")
+def _(t):
+    _, train, test = halves(t)
+    model = m.forest(train, 10, 4, "sqrt", 20)
+    return a.zero_r2(model.transform(test), "y", "prediction", "month")
+
+
+@query("m14_forest_report")
+def _(t):
+    fitted, train, _ = halves(t)
+    return m.forest_report(m.forest(train, 10, 4, "sqrt", 20), fitted.names, t.spark, max_depth=4)[0]

@@ -91,7 +91,7 @@ def with_views(sql: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in as a DataFrame over the Parquet tables."""
+    """A stand-in as a DataFrame over the Parquet tables, kept in memory or on disk as a panel is between its uses."""
     sql = with_views(f"SELECT * FROM {name}")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
-    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(BASE) + r")\b", r"\1 {\2}", sql), **tables)
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(BASE) + r")\b", r"\1 {\2}", sql), **tables).cache()
