@@ -35,6 +35,8 @@ PIECE = 16
 SPAN = LENGTH - PIECE + 1
 #: Keys and contexts that a task combines before it sends them.
 HELD_KEYS, HELD_CONTEXTS = 1 << 20, 1 << 17
+#: Contexts that are sorted together.
+SORTED_BYTES = 1 << 18
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -276,46 +278,65 @@ def _groups(text: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.nda
     return context[lost], offset[lost]
 
 
+def _lost(key, owner, begin, size, start, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the ranges that contexts with these keys lose to each other."""
+    like = blocks.mix(blocks.span_hashes(text, start, start + size) ^ key)
+    order = np.lexsort((owner, like, key))
+    new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (like[order][1:] != like[order][:-1])))
+    alike = np.empty(len(order), np.int64)
+    alike[order] = np.cumsum(new) - 1
+    first = order[new]  # each distinct context, with its least id
+    later = owner > owner[first][alike]
+    gone = [(np.flatnonzero(later), begin[later], begin[later] + size[later])]
+    # keys with one distinct context have no other window to compare
+    _, back, contexts = np.unique(key[first], return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(contexts[back] > 1)
+    if len(open_):
+        k = first[open_]
+        which, offset = _groups(text, start[k], size[k], owner[k])
+        # of the rows that hold a context's least id, every place loses these windows
+        rows = np.flatnonzero(~later)
+        rows = rows[np.argsort(alike[rows], kind="stable")]
+        lo, hi = (np.searchsorted(alike[rows], open_[which], side) for side in ("left", "right"))
+        index, row = np.repeat(np.arange(len(which)), hi - lo), rows[_places(lo, hi - lo)]
+        gone.append((row, begin[row] + offset[index], begin[row] + offset[index] + LENGTH))
+    return tuple(np.concatenate(x) for x in zip(*gone, strict=True))
+
+
 def _sorted(buckets: int):
-    """place, begins, ends of the ranges that each bucket's suffix order removes."""
+    """place, begins, ends of the ranges that each bucket's suffix order removes.
+
+    Keys do not meet each other, so a bucket is sorted a few keys at a time: SORTED_BYTES of
+    contexts, or one key's.
+    """
 
     def reduce(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
-        owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
         place = np.concatenate([b + blocks.wide(x.as_py(), n) for b, x, n in zip(table["base"].to_pylist(), table["places"], sizes, strict=True)])
         begin, size = join("starts", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
-        gone = [(np.arange(len(owner)), begin, begin + size)]
+        gone = [(place, begin, begin + size)]
         if table["bucket"][0].as_py() < buckets:
             key, text = join("keys", np.uint64), join("bytes", np.uint8)
+            owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
             start = np.cumsum(size) - size
-            like = blocks.mix(blocks.span_hashes(text, start, start + size) ^ key)
-            order = np.lexsort((owner, like, key))
-            new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (like[order][1:] != like[order][:-1])))
-            alike = np.empty(len(order), np.int64)
-            alike[order] = np.cumsum(new) - 1
-            first = order[new]  # each distinct context, with its least id
-            lost = owner > owner[first][alike]
-            gone = [(np.flatnonzero(lost), begin[lost], begin[lost] + size[lost])]
-            # keys with one distinct context have no other window to compare
-            _, back, contexts = np.unique(key[first], return_inverse=True, return_counts=True)
-            open_ = np.flatnonzero(contexts[back] > 1)
-            if len(open_):
-                k = first[open_]
-                which, offset = _groups(text, start[k], size[k], owner[k])
-                # of the rows that hold a context's least id, every place loses these windows
-                rows = np.flatnonzero(~lost)
-                rows = rows[np.argsort(alike[rows], kind="stable")]
-                lo, hi = (np.searchsorted(alike[rows], open_[which], side) for side in ("left", "right"))
-                index, row = np.repeat(np.arange(len(which)), hi - lo), rows[_places(lo, hi - lo)]
-                gone.append((row, begin[row] + offset[index], begin[row] + offset[index] + LENGTH))
-        row, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
-        order = np.lexsort((a, place[row]))
-        row, a, b = row[order], a[order], b[order]
+            order = np.argsort(key, kind="stable")
+            turn = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+            reached = np.concatenate(([0], np.cumsum(size[order])))[turn]
+            gone, at = [(place[:0], begin[:0], begin[:0])], 0
+            while at < len(turn) - 1:
+                to = max(at + 1, int(np.searchsorted(reached, reached[at] + SORTED_BYTES, "right")) - 1)
+                k = order[turn[at] : turn[to]]
+                row, a, b = _lost(key[k], owner[k], begin[k], size[k], np.cumsum(size[k]) - size[k], text[_places(start[k], size[k])])
+                gone.append((place[k[row]], a, b))
+                at = to
+        place, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
+        order = np.lexsort((a, place))
+        place, a, b = place[order], a[order], b[order]
         ids, begins, ends = [], [], []
-        for lo, hi in _slices(place[row]) if len(row) else []:
+        for lo, hi in _slices(place) if len(place) else []:
             first, last = cutting.merged(a[lo:hi], b[lo:hi])
-            ids.append(place[row[lo]])
+            ids.append(place[lo])
             begins.append(first.astype(np.int32))
             ends.append(last.astype(np.int32))
         whole = pa.list_(pa.int32())
