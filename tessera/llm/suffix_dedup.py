@@ -102,16 +102,28 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last, least[first], np.searchsorted(at, first, "right") - 1
 
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _schema(schema: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in (f.split() for f in schema.split(", "))])
+
+
 def _batches(schema: str, rows, size: int = 64):
     """Record batches of rows (tuples in the order of the schema)."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
+    fields = _schema(schema)
     for some in batched(rows, size):
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), fields, strict=True)], schema=fields)
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches(list(_batches(schema, rows, max(1, len(rows)))) or [pa.RecordBatch.from_pylist([], _schema(schema))])
 
 
 def _slices(bucket: np.ndarray) -> list[tuple[int, int]]:
     """Runs of equal values."""
+    if not len(bucket):
+        return []
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
@@ -158,26 +170,56 @@ def _anchors(buckets: int):
     return run
 
 
+def _targets(place: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of ids or places in which what was found for them comes together."""
+    return (blocks.mix(place.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+_FOUND = "target int, n int, ids binary, keys binary, counts binary"
+
+
 def _repeated(buckets: int, hot: int):
-    """id and key of repeated keys; with id null the keys that `hot` documents or more have, and n of these."""
+    """Blocks of (id, key) of repeated keys by the id's target; under target -1 the keys that `hot` documents or more have, with counts."""
 
     def reduce(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
         owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
-        many, hot_keys, hot_counts = np.ones(len(key), bool), key[:0], np.zeros(0, np.int64)
+        out = []
         if table["bucket"][0].as_py() < buckets:
             count = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table["counts"]]).astype(np.int64)
             found, back = np.unique(key, return_inverse=True)
             total = np.bincount(back, weights=count).astype(np.int64)
+            common = total >= hot
+            if common.any():
+                out.append((-1, int(common.sum()), b"", found[common].tobytes(), total[common].tobytes()))
             many = (total[back] > 1) & (count == 1)
-            hot_keys, hot_counts = found[total >= hot], total[total >= hot]
-        ids = pa.array(np.concatenate((owner[many], np.zeros(len(hot_keys), np.int64))), mask=np.concatenate((np.zeros(int(many.sum()), bool), np.ones(len(hot_keys), bool))))
-        return pa.table({"id": ids, "key": pa.array(np.concatenate((key[many], hot_keys)).view(np.int64)), "n": pa.array(np.concatenate((np.zeros(int(many.sum()), np.int64), hot_counts)))})
+            key, owner = key[many], owner[many]
+        target = _targets(owner, buckets)
+        order = np.argsort(target, kind="stable")
+        key, owner, target = key[order], owner[order], target[order]
+        out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), key[lo:hi].tobytes(), b"") for lo, hi in _slices(target)]
+        return _table(_FOUND, out)
 
     return reduce
 
 
+def _keys_by_id(table: pa.Table) -> pa.Table:
+    """id and keys (array) of one target's blocks."""
+    owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], table["n"].to_pylist(), strict=True)])
+    key = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["keys"]])
+    order = np.argsort(owner, kind="stable")
+    owner, key = owner[order], key[order]
+    runs = _slices(owner)
+    return pa.table({"id": pa.array([owner[lo] for lo, _ in runs], pa.int64()), "keys": pa.ListArray.from_arrays(pa.array([0] + [hi for _, hi in runs], pa.int32()), pa.array(key))})
+
+
+def _common(batches):
+    for batch in batches:
+        for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["key", "n"])
+
+
 _CONTEXTS = "bucket int, n int, base long, keys binary, ids binary, places binary, starts binary, sizes binary, bytes binary"
 
 
@@ -303,8 +345,11 @@ def _lost(key, owner, begin, size, start, text) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*gone, strict=True))
 
 
+_RANGES = "target int, places binary, begins binary, ends binary"
+
+
 def _sorted(buckets: int):
-    """place, begins, ends of the ranges that each bucket's suffix order removes.
+    """Blocks of place, begin, end of the ranges that each bucket's suffix order removes, by the place's target.
 
     Keys do not meet each other, so a bucket is sorted a few keys at a time: SORTED_BYTES of
     contexts, or one key's.
@@ -333,18 +378,29 @@ def _sorted(buckets: int):
         place, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
         order = np.lexsort((a, place))
         place, a, b = place[order], a[order], b[order]
-        ids, begins, ends = [], [], []
-        for lo, hi in _slices(place) if len(place) else []:
-            first, last = cutting.merged(a[lo:hi], b[lo:hi])
-            ids.append(place[lo])
-            begins.append(first.astype(np.int32))
-            ends.append(last.astype(np.int32))
-        whole = pa.list_(pa.int32())
-        return pa.table({"place": pa.array(ids, pa.int64()), "begins": pa.array(begins, whole), "ends": pa.array(ends, whole)})
+        runs = _slices(place)
+        merged = [cutting.merged(a[lo:hi], b[lo:hi]) for lo, hi in runs]
+        where = np.repeat(place[[lo for lo, _ in runs]], [len(m[0]) for m in merged]) if runs else place
+        begins, ends = (np.concatenate([m[k] for m in merged]) if runs else a for k in (0, 1))
+        target = _targets(where, buckets)
+        order = np.argsort(target, kind="stable")
+        where, begins, ends, target = where[order], begins[order].astype(np.int32), ends[order].astype(np.int32), target[order]
+        return _table(_RANGES, [(int(target[lo]), where[lo:hi].tobytes(), begins[lo:hi].tobytes(), ends[lo:hi].tobytes()) for lo, hi in _slices(target)] if runs else [])
 
     return reduce
 
 
+def _ranges_by_place(table: pa.Table) -> pa.Table:
+    """place, begins, ends (merged) of one target's blocks."""
+    place, begin, end = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table[n]]) for n, k in (("places", np.int64), ("begins", np.int32), ("ends", np.int32)))
+    order = np.lexsort((begin, place))
+    place, begin, end = place[order], begin[order], end[order]
+    runs = _slices(place)
+    merged = [cutting.merged(begin[lo:hi], end[lo:hi]) for lo, hi in runs]
+    whole = pa.list_(pa.int32())
+    return pa.table({"place": pa.array([place[lo] for lo, _ in runs], pa.int64()), "begins": pa.array([m[0] for m in merged], whole), "ends": pa.array([m[1] for m in merged], whole)})
+
+
 def _copies(rows: DataFrame) -> DataFrame:
     """id and rk of the rows whose whole text a smaller id has too; such texts need no search."""
     marks = blocks.table(rows.select("id", "rk", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("g"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH))
@@ -362,16 +418,16 @@ def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool
     spark = docs.sparkSession
     rows = cutting.numbered(docs)
     buckets = 4 * blocks.partitions(spark)
-    repeated = rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, hot), "id long, key long, n long")
-    repeated = blocks.table(repeated)
-    common = repeated.filter("id IS NULL").orderBy(F.desc("n"), "key").limit(hot_keys).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    # what each id has to be searched for; its exact copies of smaller ids lose everything without a search
-    found = repeated.filter("id IS NOT NULL").select("id", "key", F.lit(None).cast("long").alias("copy")).unionByName(_copies(rows).select("id", F.lit(None).cast("long").alias("key"), F.col("rk").alias("copy")))
-    by_id = found.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_set("copy").alias("copies"))
+    repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, hot), _FOUND))
+    common = repeated.filter("target = -1").select("keys", "counts").mapInArrow(_common, "key long, n long").orderBy(F.desc("n"), "key").limit(hot_keys)
+    common = common.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    # what each id has to be searched for; exact copies of smaller ids lose everything without a search
+    by_id = repeated.filter("target >= 0").groupBy("target").applyInArrow(_keys_by_id, "id long, keys array<long>")
+    copies = _copies(rows).groupBy("id").agg(F.collect_set("rk").alias("copies"))
     copy = F.coalesce(F.array_contains("copies", F.col("rk")), F.lit(False))
     searched = ~copy & (F.coalesce(F.size("keys"), F.lit(0)) > 0)
     # texts are shuffled once for the search, and those that were searched once more for the cut
-    marked = rows.join(by_id, "id", "left").select(
+    marked = rows.join(by_id, "id", "left").join(copies, "id", "left").select(
         "id",
         F.monotonically_increasing_id().alias("place"),
         F.when(searched, F.col("keys")).alias("keys"),
@@ -382,6 +438,6 @@ def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool
     )
     marked = blocks.table(marked)
     contexts = marked.filter("keys IS NOT NULL").select("id", "place", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
-    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), "place long, begins array<int>, ends array<int>")
-    ranges = lost.groupBy("place").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), _RANGES)
+    ranges = lost.groupBy("target").applyInArrow(_ranges_by_place, "place long, begins array<int>, ends array<int>")
     return cutting.cut(marked.drop("keys").join(ranges, "place", "left"), 0, full)
