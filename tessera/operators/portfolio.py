@@ -233,7 +233,7 @@ def optimality_summary(checked: DataFrame, tolerance: float = 1e-4) -> DataFrame
 
 
 def optimality_by_model(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("model").agg(F.count("*").alias("n_months"), F.count_if("n_violations = 0").alias("n_clean"), F.sum("n_violations").alias("n_violations"), F.max("max_abs_residual").alias("max_abs_residual"), F.avg("n_held").alias("mean_held"))
+    return summary.groupBy("model").agg(F.count("*").alias("n_months"), F.count_if(F.col("n_violations") == 0).alias("n_clean"), F.sum("n_violations").alias("n_violations"), F.max("max_abs_residual").alias("max_abs_residual"), F.avg("n_held").alias("mean_held"))
 
 
 def cap_table(spark: SparkSession, caps: Sequence[float | None] = (None, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)) -> DataFrame:

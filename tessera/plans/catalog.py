@@ -26,10 +26,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._settled: dict[str, DataFrame] = {}
+
+    def settled(self, name: str) -> DataFrame:
+        """A stand-in that a query uses many times over, computed once for it."""
+        if name not in self._settled:
+            self._settled[name] = standins.settled(standins.load(self.spark, self.sf_dir, name))
+        return self._settled[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in standins.VIEWS:
             raise AttributeError(name)
+        if name in self._settled:
+            return self._settled[name]
         return standins.load(self.spark, self.sf_dir, name)
 
     @property

@@ -14,6 +14,7 @@ from tessera.operators import portfolio as b
 from tessera.operators import windows as w
 from tessera.plans.catalog import Tables, query
 from tessera.plans.reports import adjusted, windows
+from tessera.plans.standins import settled
 
 MONTHS, LEAST = 36, 24
 
@@ -27,7 +28,7 @@ def factors(t: Tables) -> DataFrame:
 
 
 def betas(t: Tables) -> DataFrame:
-    return e.rolling_betas(excess(t).select("permno", "month", "market_cap", "excess"), factors(t), MONTHS, LEAST).cache()
+    return e.rolling_betas(excess(t).select("permno", "month", "market_cap", "excess"), factors(t), MONTHS, LEAST)
 
 
 def forms(t: Tables, first: str = "2001-01-01") -> DataFrame:
@@ -62,7 +63,7 @@ def _(t):
 
 
 def conditioned(t: Tables) -> DataFrame:
-    return e.conditioning_windows(t.factors.filter("mkt_rf IS NOT NULL"), t.macro.filter("volatility IS NOT NULL"), forms(t, "1999-01-01"), MONTHS).cache()
+    return e.conditioning_windows(t.factors.filter("mkt_rf IS NOT NULL"), t.macro.filter("volatility IS NOT NULL"), forms(t, "1999-01-01"), MONTHS)
 
 
 @query("e4_ridge_premia")
@@ -119,10 +120,10 @@ def _(t):
 
 
 def solved(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    window = windows(t, 30, "2001-06-01", 24)
-    shrunk = e.shrinkage(window).cache()
-    mu = e.forecast(betas(t).filter(F.col("month") >= "2001-06-01"), e.mean_premia(t.factors, MONTHS)).withColumn("model", F.lit("five_factor")).cache()
-    return window, shrunk, mu, b.mean_variance_weights(window, shrunk, mu, cap=0.1).cache()
+    window = settled(windows(t, 30, "2001-06-01", 24))
+    shrunk = settled(e.shrinkage(window))
+    mu = settled(e.forecast(betas(t).filter(F.col("month") >= "2001-06-01"), e.mean_premia(t.factors, MONTHS)).withColumn("model", F.lit("five_factor")))
+    return window, shrunk, mu, settled(b.mean_variance_weights(window, shrunk, mu, cap=0.1))
 
 
 @query("b2_mean_variance_weights")
@@ -152,7 +153,7 @@ CHARACTERISTICS, MACROS = ("reversal_st", "momentum", "illiquidity", "bm", "gp",
 def learning_panel(t: Tables) -> DataFrame:
     at = p.point_in_time_join(p.market_characteristics(t.stock), p.accounting_characteristics(t.accounting), t.links)
     at = j.with_series(j.with_series(at, t.factors.select("month", "rf")), t.macro.select("month", *MACROS))
-    return m.with_target(at).select("permno", "month", "siccd", "y", *CHARACTERISTICS, *MACROS).cache()
+    return settled(m.with_target(at).select("permno", "month", "siccd", "y", *CHARACTERISTICS, *MACROS))
 
 
 def builder() -> m.FeatureBuilder:
@@ -164,7 +165,7 @@ def halves(t: Tables) -> tuple[m.FeatureBuilder, DataFrame, DataFrame]:
     train, test = m.between(panel, (1997, 1998)), m.between(panel, (1999, 1999))
     a.assert_before(train, test)
     fitted = builder().fit(train)
-    return fitted, fitted.transform(train).cache(), fitted.transform(test).cache()
+    return fitted, settled(fitted.transform(train)), settled(fitted.transform(test))
 
 
 @query("m1_target", "SELECT s.permno, s.month, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 - f.rf AS y FROM stock s JOIN factors f ON s.month = f.month WHERE ret IS NOT NULL", "y")

@@ -12,6 +12,7 @@ from tessera.operators import evaluate as v
 from tessera.operators import portfolio as b
 from tessera.operators import windows as w
 from tessera.plans.catalog import Tables, query
+from tessera.plans.standins import settled
 
 MONTHS, TOP = 24, {"broad": 30, "large": 10}
 
@@ -47,21 +48,21 @@ _ALL = " ".join(v.METRICS)
 
 
 def adjusted(t: Tables) -> DataFrame:
-    return t.stock.withColumn("ret_adjusted", c.adjusted_return())
+    return t.settled("stock").withColumn("ret_adjusted", c.adjusted_return())
 
 
 def windows(t: Tables, top: int, first: str = "1997-06-01", months: int = MONTHS) -> DataFrame:
     forms = t.stock.filter(F.col("month") >= first).select(F.col("month").alias("form_month")).distinct()
-    return e.returns_window(adjusted(t), forms, months, top=top).cache()
+    return e.returns_window(adjusted(t), forms, months, top=top)
 
 
 def weights(t: Tables) -> DataFrame:
     parts = [b.equal_weights(windows(t, top)).select(F.lit(name).alias("model"), "form_month", "permno", "weight") for name, top in TOP.items()]
-    return parts[0].unionByName(parts[1]).cache()
+    return settled(parts[0].unionByName(parts[1]))
 
 
 def log(t: Tables) -> DataFrame:
-    return b.backtest_log(weights(t), adjusted(t)).cache()
+    return settled(b.backtest_log(weights(t), adjusted(t)))
 
 
 def risk_free(t: Tables) -> DataFrame:

@@ -91,7 +91,20 @@ def with_views(sql: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in as a DataFrame over the Parquet tables, kept in memory or on disk as a panel is between its uses."""
+    """A stand-in as a DataFrame over the Parquet tables."""
     sql = with_views(f"SELECT * FROM {name}")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
-    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(BASE) + r")\b", r"\1 {\2}", sql), **tables).cache()
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(BASE) + r")\b", r"\1 {\2}", sql), **tables)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, which also keeps the plans above it short.
+
+    The folder is the cluster's spark.checkpoint.dir; one is made only where none is set.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return df.checkpoint(eager=True)
