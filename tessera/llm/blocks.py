@@ -152,14 +152,25 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it back; compact where checkpoint() is not."""
-    spark = df.sparkSession
+def _place(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write df once to the shared checkpoint folder and read it back; compact where checkpoint() is not."""
+    path = _place(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As table(), bucketed by key, so that a later join on key does not shuffle df again."""
+    path = _place(df.sparkSession)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(df.sparkSession), key).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def narrow(ids: np.ndarray) -> bytes:

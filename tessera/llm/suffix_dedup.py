@@ -345,7 +345,7 @@ def _lost(key, owner, begin, size, start, text) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*gone, strict=True))
 
 
-_RANGES = "target int, places binary, begins binary, ends binary"
+_RANGES = "target int, n int, ids binary, places binary, begins binary, ends binary"
 
 
 def _sorted(buckets: int):
@@ -360,45 +360,53 @@ def _sorted(buckets: int):
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
         place = np.concatenate([b + blocks.wide(x.as_py(), n) for b, x, n in zip(table["base"].to_pylist(), table["places"], sizes, strict=True)])
         begin, size = join("starts", np.uint32).astype(np.int64), join("sizes", np.uint32).astype(np.int64)
-        gone = [(place, begin, begin + size)]
+        owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
+        gone = [(place, owner, begin, begin + size)]
         if table["bucket"][0].as_py() < buckets:
             key, text = join("keys", np.uint64), join("bytes", np.uint8)
-            owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
             start = np.cumsum(size) - size
             order = np.argsort(key, kind="stable")
             turn = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
             reached = np.concatenate(([0], np.cumsum(size[order])))[turn]
-            gone, at = [(place[:0], begin[:0], begin[:0])], 0
+            gone, at = [(place[:0], owner[:0], begin[:0], begin[:0])], 0
             while at < len(turn) - 1:
                 to = max(at + 1, int(np.searchsorted(reached, reached[at] + SORTED_BYTES, "right")) - 1)
                 k = order[turn[at] : turn[to]]
                 row, a, b = _lost(key[k], owner[k], begin[k], size[k], np.cumsum(size[k]) - size[k], text[_places(start[k], size[k])])
-                gone.append((place[k[row]], a, b))
+                gone.append((place[k[row]], owner[k[row]], a, b))
                 at = to
-        place, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
+        place, ids, a, b = (np.concatenate(x) for x in zip(*gone, strict=True))
         order = np.lexsort((a, place))
-        place, a, b = place[order], a[order], b[order]
+        place, ids, a, b = place[order], ids[order], a[order], b[order]
         runs = _slices(place)
         merged = [cutting.merged(a[lo:hi], b[lo:hi]) for lo, hi in runs]
-        where = np.repeat(place[[lo for lo, _ in runs]], [len(m[0]) for m in merged]) if runs else place
+        heads, many = [lo for lo, _ in runs], [len(m[0]) for m in merged]
+        where, whose = (np.repeat(x[heads], many) if runs else x for x in (place, ids))
         begins, ends = (np.concatenate([m[k] for m in merged]) if runs else a for k in (0, 1))
-        target = _targets(where, buckets)
+        target = _targets(whose, buckets)
         order = np.argsort(target, kind="stable")
-        where, begins, ends, target = where[order], begins[order].astype(np.int32), ends[order].astype(np.int32), target[order]
-        return _table(_RANGES, [(int(target[lo]), where[lo:hi].tobytes(), begins[lo:hi].tobytes(), ends[lo:hi].tobytes()) for lo, hi in _slices(target)] if runs else [])
+        where, whose, begins, ends, target = where[order], whose[order], begins[order].astype(np.int32), ends[order].astype(np.int32), target[order]
+        return _table(_RANGES, [(int(target[lo]), hi - lo, blocks.narrow(whose[lo:hi]), where[lo:hi].tobytes(), begins[lo:hi].tobytes(), ends[lo:hi].tobytes()) for lo, hi in _slices(target)])
 
     return reduce
 
 
-def _ranges_by_place(table: pa.Table) -> pa.Table:
-    """place, begins, ends (merged) of one target's blocks."""
+def _ranges_by_id(table: pa.Table) -> pa.Table:
+    """id, places, begins, ends of one target's blocks; the places tell rows with one id apart."""
+    owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], table["n"].to_pylist(), strict=True)])
     place, begin, end = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table[n]]) for n, k in (("places", np.int64), ("begins", np.int32), ("ends", np.int32)))
-    order = np.lexsort((begin, place))
-    place, begin, end = place[order], begin[order], end[order]
-    runs = _slices(place)
-    merged = [cutting.merged(begin[lo:hi], end[lo:hi]) for lo, hi in runs]
-    whole = pa.list_(pa.int32())
-    return pa.table({"place": pa.array([place[lo] for lo, _ in runs], pa.int64()), "begins": pa.array([m[0] for m in merged], whole), "ends": pa.array([m[1] for m in merged], whole)})
+    order = np.lexsort((begin, place, owner))
+    owner, place, begin, end = owner[order], place[order], begin[order], end[order]
+    ids, lists, at = [], ([], [], []), [0]
+    for lo, hi in _slices(owner):
+        for x, y in _slices(place[lo:hi]):
+            b, e = cutting.merged(begin[lo + x : lo + y], end[lo + x : lo + y])
+            for part, new in zip(lists, (np.full(len(b), place[lo + x]), b, e), strict=True):
+                part.append(new)
+        ids.append(owner[lo])
+        at.append(sum(map(len, lists[0][-len(_slices(place[lo:hi])) :])) + at[-1])
+    flat = [np.concatenate(p).astype(k) if p else np.zeros(0, k) for p, k in zip(lists, (np.int64, np.int32, np.int32), strict=True)]
+    return pa.table({"id": pa.array(ids, pa.int64())} | {n: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for n, x in zip(("places", "begins", "ends"), flat, strict=True)})
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -436,8 +444,10 @@ def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool
         F.sha2(F.when(copy, F.lit("")).otherwise(F.col("text")), 256).alias("whole_sha256"),
         copy.alias("copy"),
     )
-    marked = blocks.table(marked)
+    marked = blocks.bucketed(marked, "id")
     contexts = marked.filter("keys IS NOT NULL").select("id", "place", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
     lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), _RANGES)
-    ranges = lost.groupBy("target").applyInArrow(_ranges_by_place, "place long, begins array<int>, ends array<int>")
-    return cutting.cut(marked.drop("keys").join(ranges, "place", "left"), 0, full)
+    ranges = lost.groupBy("target").applyInArrow(_ranges_by_id, "id long, places array<long>, begins array<int>, ends array<int>")
+    own = lambda name: F.filter(name, lambda _, k: F.get("places", k) == F.col("place"))
+    both = marked.drop("keys").join(ranges, "id", "left").withColumns({"begins": own("begins"), "ends": own("ends")})
+    return cutting.cut(both, 0, full)
