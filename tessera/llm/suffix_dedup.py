@@ -195,7 +195,7 @@ def _repeated(buckets: int, hot: int):
                 out.append((-1, int(common.sum()), b"", found[common].tobytes(), total[common].tobytes()))
             many = (total[back] > 1) & (count == 1)
             key, owner = key[many], owner[many]
-        target = _targets(owner, buckets)
+        target = _targets(owner, max(1, buckets // 4))
         order = np.argsort(target, kind="stable")
         key, owner, target = key[order], owner[order], target[order]
         out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), key[lo:hi].tobytes(), b"") for lo, hi in _slices(target)]
@@ -383,7 +383,7 @@ def _sorted(buckets: int):
         heads, many = [lo for lo, _ in runs], [len(m[0]) for m in merged]
         where, whose = (np.repeat(x[heads], many) if runs else x for x in (place, ids))
         begins, ends = (np.concatenate([m[k] for m in merged]) if runs else a for k in (0, 1))
-        target = _targets(whose, buckets)
+        target = _targets(whose, max(1, buckets // 4))
         order = np.argsort(target, kind="stable")
         where, whose, begins, ends, target = where[order], whose[order], begins[order].astype(np.int32), ends[order].astype(np.int32), target[order]
         return _table(_RANGES, [(int(target[lo]), hi - lo, blocks.narrow(whose[lo:hi]), where[lo:hi].tobytes(), begins[lo:hi].tobytes(), ends[lo:hi].tobytes()) for lo, hi in _slices(target)])
