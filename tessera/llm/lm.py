@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import blocks
 
 PROBES = 3
-LEVELS = 16
+#: More than any count needs: level q holds the counts from 2^(q-1) up, and only levels that occur take room.
+LEVELS = 48
 _EDGE = np.uint64(0x5851F42D4C957F2D)  # stands before the first and after the last word
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 3_000_000

@@ -203,6 +203,24 @@ def test_lm_base_score(make, rows):
     assert known[65] > known[63]
 
 
+def quantised_scores(rows, prior=8.0):
+    """Sum of log10 of the smoothed pair probability, with every count read as the middle of its power of two."""
+    texts = [(i, [None, *WORD.findall((t or "").translate(LOWER)), None]) for i, t in rows]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    words = collections.Counter(x for i, ts in texts if not out(i) for x in ts[1:])
+    pairs = collections.Counter(p for i, ts in texts if not out(i) for p in itertools.pairwise(ts))
+    read = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    bottom = sum(words.values()) + len(words) + 1
+    chance = lambda a, b: (read(pairs[a, b]) + prior * (read(words[b]) + 1) / bottom) / (read(words[a]) + prior)
+    return {i: sum(math.log10(min(chance(a, b), 1.0)) for a, b in itertools.pairwise(ts)) for i, ts in texts}
+
+
+def test_lm_score_of_frequent_words(make):
+    often = [(7, "of the " * 140_000 + "of a " * 40_000), (2, "of the of a cat"), (3, "the cat"), (4, "a a of of"), (5, ""), (6, "the of a dog")]
+    found = lm.score(make(often), bits_per_entry=64).collect()
+    assert {x.doc_id: x.score for x in found} == pytest.approx(quantised_scores(often), rel=1e-9)
+
+
 def test_filter_never_forgets():
     keys = np.random.RandomState(1).randint(0, 2**63, 5000).astype(np.uint64)
     level = lm._level(np.arange(1, 5001))
