@@ -7,8 +7,10 @@ under the levels 1..q; the parts are broadcast together. A count is read back by
 levels in turn until one is missing, and stands for the middle of its level. Word pairs are
 smoothed with the word's own probability (Dirichlet prior).
 
-The filter is bounded: pairs are admitted from the highest count level down as far as
-`filter_bits` allow at `bits_per_entry`; every word and pair is counted whatever is admitted.
+The filter is bounded: words and pairs are admitted from the highest count level down as far as
+`filter_bits` allow at `bits_per_entry`. Those below are looked up: each block of texts asks for
+the keys that the filter lacks, once each and packed by bucket, and is scored with the answers.
+They stand for the middle of their level too, so the bound does not change the model.
 
 The base score needs exact counts. Words from a count up, chosen so that at most `head_words`
 reach it, are broadcast; the other words of the texts, rare by that choice, are joined with the
@@ -30,6 +32,8 @@ LEVELS = 48
 _EDGE = np.uint64(0x5851F42D4C957F2D)  # stands before the first and after the last word
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 3_000_000
+#: Rows of a block that asks for keys below the filter: 2 to this power.
+_BLOCK_ROWS = 11
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> Column:
@@ -107,7 +111,7 @@ _COUNTED = "bucket int, least int, distinct long, total long, entries long, keys
 
 
 def _counted(docs: DataFrame, buckets: int, bits_per_entry: int) -> DataFrame:
-    """Per bucket: a row of word counts (least = 0), and for each least level a filter of the words and pairs from it up."""
+    """Per bucket: a row of word counts (least = 0), and for each least level its keys and a filter of the words and pairs from it up."""
 
     def count(batches):
         held: dict[int, list] = {0: [], 1: []}
@@ -140,7 +144,7 @@ def _counted(docs: DataFrame, buckets: int, bits_per_entry: int) -> DataFrame:
         for least in range(1, int(level.max(initial=1)) + 1):
             some = level >= least
             entries = int(level[some].sum())
-            out.append((bucket, least, 0, 0, entries, b"", b"", _filter(keys[some], level[some], 64 + entries * bits_per_entry)))
+            out.append((bucket, least, 0, 0, entries, keys[level == least].tobytes(), b"", _filter(keys[some], level[some], 64 + entries * bits_per_entry)))
         names = [f.split()[0] for f in _COUNTED.split(", ")]
         kinds_of = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds_of, zip(*out, strict=True), strict=True)})
@@ -161,10 +165,10 @@ def _word_counts(counted: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """The broadcast filter: its parts by bucket in one array."""
+    """The broadcast filter: its parts by bucket in one array. Keys below level `least` are not in it."""
 
-    def __init__(self, parts: dict[int, tuple[int, bytes]], buckets: int):
-        self.buckets = buckets
+    def __init__(self, parts: dict[int, tuple[int, bytes]], buckets: int, least: int = 1):
+        self.buckets, self.least = buckets, least
         self.size = np.ones(buckets, np.uint64)
         length = np.zeros(buckets, np.int64)
         for b, (size, bits) in parts.items():
@@ -174,8 +178,8 @@ class Filter:
         for b, (_, bits) in parts.items():
             self.bits[self.at[b] : self.at[b] + len(bits)] = np.frombuffer(bits, np.uint8)
 
-    def counts(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Counts by level, found by probing the levels in turn."""
+    def levels(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Levels, found by probing them in turn; 0 for what is not in the filter."""
         level = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
         for q in range(1, LEVELS + 1):
@@ -186,13 +190,81 @@ class Filter:
             if not len(left):
                 break
             level[left] = q
+        level[level < self.least] = 0  # such a level is chance
+        return level
+
+    def counts(self, keys: np.ndarray, bucket: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Counts by level; `below` has the sorted keys and the levels of what is not in the filter."""
+        level = self.levels(keys, bucket)
+        if below is not None and len(below[0]):
+            known, of = below
+            lacking = np.flatnonzero(level == 0)
+            place = np.minimum(np.searchsorted(known, keys[lacking]), len(known) - 1)
+            level[lacking] = np.where(known[place] == keys[lacking], of[place], 0)
         return _MIDDLE[level]
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        return self.counts(hashes ^ _WORD_SALT, blocks.bucket_of(hashes, self.buckets))
+    def words(self, hashes: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        return self.counts(hashes ^ _WORD_SALT, blocks.bucket_of(hashes, self.buckets), below)
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts(keys, blocks.bucket_of(keys, self.buckets))
+    def pairs(self, keys: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        return self.counts(keys, blocks.bucket_of(keys, self.buckets), below)
+
+    def lacking(self, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words and pairs those not in the filter, as keys and their buckets."""
+        every = np.concatenate([hashes ^ _WORD_SALT, keys])
+        bucket = blocks.bucket_of(np.concatenate([hashes, keys]), self.buckets)
+        some = self.levels(every, bucket) == 0
+        return every[some], bucket[some]
+
+
+def _answered(texts: DataFrame, counted: DataFrame, shared, least: int) -> DataFrame:
+    """block, keys, levels: for each block of (block, doc_id, text) the counted keys below `least` that its texts use, in parts."""
+
+    def ask(batches):
+        held: dict[int, list] = {}
+
+        def rows():
+            for block, parts in held.items():
+                words, pairs = (np.unique(np.concatenate(p)) for p in zip(*parts, strict=True))
+                keys, bucket = shared.value[0].lacking(words, pairs)
+                order, slices = blocks.bucket_slices(bucket)
+                found = [(b, block, keys[order[i:j]].tobytes()) for b, i, j in slices]
+                for k in range(0, len(found), 64):
+                    some = list(zip(*found[k : k + 64], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], names=["bucket", "block", "keys"])
+            held.clear()
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if int(block[lo]) not in held:
+                    yield from rows()
+                for _, _, data, at in blocks.chunks(batch.column("text").slice(lo, hi - lo)):
+                    _, _, _, tokens = _tokens(data, at)
+                    held.setdefault(int(block[lo]), []).append((np.unique(tokens[1]), np.unique(_pairs(tokens))))
+        yield from rows()
+
+    def answer(asked: pa.Table, kept: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(k.as_py(), np.uint64), q) for k, q in zip(kept["keys"], kept["least"].to_pylist(), strict=True)]
+        known = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(k), q, np.uint8) for k, q in parts)])
+        order = np.argsort(known)
+        known, level = known[order], level[order]
+        blocks_of, keys, levels = [], [], []
+        for block, raw in zip(asked["block"].to_pylist() if len(known) else [], asked["keys"], strict=False):
+            wanted = np.frombuffer(raw.as_py(), np.uint64)
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            hit = known[place] == wanted
+            if hit.any():
+                blocks_of.append(block)
+                keys.append(wanted[hit].tobytes())
+                levels.append(level[place[hit]].tobytes())
+        return pa.table({"block": pa.array(blocks_of, pa.int64()), "keys": pa.array(keys, pa.binary()), "levels": pa.array(levels, pa.binary())})
+
+    asked = texts.select("block", "text").mapInArrow(ask, "bucket int, block long, keys binary")
+    kept = counted.filter((F.col("least") > 0) & (F.col("least") < least)).select("bucket", "least", "keys")
+    return asked.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(answer, "block long, keys binary, levels binary")
 
 
 def score(docs: DataFrame, bits_per_entry: int = 8, filter_bits: int = 1 << 31, head_words: int = 400_000, prior: float = 8.0) -> DataFrame:
@@ -216,11 +288,11 @@ def score(docs: DataFrame, bits_per_entry: int = 8, filter_bits: int = 1 << 31,
     head = table.filter(F.col("c") >= cut).toPandas()
     keys = head["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((Filter(parts, buckets), keys[order], head["c"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((Filter(parts, buckets, least), keys[order], head["c"].to_numpy(np.int64)[order]))
     del parts, head
     bottom = tokens + distinct + 1
 
-    def run(batches):
+    def run(batches, below=None):
         model, known, uses = shared.value
         for batch in batches:
             n = batch.num_rows
@@ -237,18 +309,29 @@ def score(docs: DataFrame, bits_per_entry: int = 8, filter_bits: int = 1 << 31,
                 rare = ~hit[back]
                 ends = np.searchsorted(owner[rare], np.arange(j - i + 1))
                 tails.append((pair[1][rare].view(np.int64), ends))
-                c = model.words(found)
+                c = model.words(found, below)
                 one = (c + 1.0) / bottom
                 before = np.empty(len(back), np.int64)
                 before[1:] = back[:-1]
                 before[0:1] = np.searchsorted(found, _EDGE)
-                two = (model.pairs(_pairs(pair)) + prior * one[back]) / (np.maximum(c[before], 0) + prior)
+                two = (model.pairs(_pairs(pair), below) + prior * one[back]) / (np.maximum(c[before], 0) + prior)
                 full[i:j] = np.bincount(owner, weights=np.log10(np.minimum(two, 1.0)), minlength=j - i)
             lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v)) for v, e in tails]
             tail = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(full), tail], names=["doc_id", "n_tokens", "head_known", "head_sum", "score", "tail"])
 
-    scored = at.mapInArrow(run, "doc_id long, n_tokens long, head_known long, head_sum double, score double, tail array<long>")
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(answers[name].to_pylist()), kind)
+        keys, first = np.unique(join("keys", np.uint64), return_index=True)
+        below = keys, join("levels", np.uint8)[first].astype(np.int64)
+        return pa.Table.from_batches(run(texts.select(["doc_id", "text"]).to_batches(), below))
+
+    kinds = "doc_id long, n_tokens long, head_known long, head_sum double, score double, tail array<long>"
+    if least == 1:  # the filter has every count
+        scored = at.mapInArrow(run, kinds)
+    else:
+        texts = blocks.table(at.withColumn("block", F.shiftright(F.monotonically_increasing_id(), _BLOCK_ROWS)))
+        scored = texts.groupBy("block").cogroup(_answered(texts, counted, shared, least).groupBy("block")).applyInArrow(finish, kinds)
     scored = blocks.checkpoint(scored.withColumn("place", F.monotonically_increasing_id()))
     rare = scored.select("place", F.explode("tail").alias("hash")).join(table, "hash").groupBy("place").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
     both = scored.join(rare, "place", "left")

@@ -221,6 +221,14 @@ def test_lm_score_of_frequent_words(make):
     assert {x.doc_id: x.score for x in found} == pytest.approx(quantised_scores(often), rel=1e-9)
 
 
+def test_lm_score_beyond_the_filter(make, rows):
+    some = [(k, t) for k, (_, t) in enumerate(rows)]
+    expected = quantised_scores(some)
+    for bits in (64 << 20, 512_000, 5_120):  # all counts in the filter, the frequent ones, nearly none
+        found = {x.doc_id: x.score for x in lm.score(make(some), bits_per_entry=512, filter_bits=bits).collect()}
+        assert found == pytest.approx(expected, rel=1e-9), bits
+
+
 def test_filter_never_forgets():
     keys = np.random.RandomState(1).randint(0, 2**63, 5000).astype(np.uint64)
     level = lm._level(np.arange(1, 5001))
