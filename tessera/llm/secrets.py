@@ -2,7 +2,8 @@
 
 Candidates are found in every text by pattern. Their values are hashed and counted over the
 whole corpus by distinct documents (repositories) and distinct owners: a value that several
-owners hold is a copied example, one that a single owner holds looks live. Wider candidates
+owners hold, or that stands in many documents of one owner, is a copied example; one that a single
+owner holds in a few looks live. Wider candidates
 (long mixed tokens) only become spans if they look live; base spans always stay.
 """
 
@@ -53,12 +54,14 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans; a row per input row.
+def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1, max_documents: int = 10) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans, spread; a row per input row.
 
-    A candidate is live if at most `max_owners` distinct owners hold its value and it is no
-    placeholder. Rows without an owner count as one owner together. Null texts have no spans.
-    The corpus counts take each document once, so repeated rows do not make a value common.
+    A candidate is live if at most `max_owners` distinct owners hold its value in at most
+    `max_documents` distinct documents and it is no placeholder. Rows without an owner count as
+    one owner together. Null texts have no spans. The corpus counts take each doc_id once (rows
+    without one by their text), so repeated rows do not make a value common. `spread` has
+    owners:documents of each of the spans.
     """
     base_ranks = [i for i, p in enumerate(PATTERNS) if p[0] in BASE]
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(blocks.column_or_null(docs, owner, "string"), F.lit("")).alias("owner"))
@@ -67,14 +70,16 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFra
     clear = F.filter("other", lambda o: F.rlike(o["value"], F.lit("[A-Z]")) & F.rlike(o["value"], F.lit("[a-z]")) & ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
     found = blocks.checkpoint(found.withColumn("base", base).select("doc_id", "owner", "rk", *(F.size(PATTERNS[k][0]).cast("long").alias(f"n_{PATTERNS[k][0]}") for k in base_ranks), "base", clear.alias("wide")))
 
-    # one row per candidate of each document; a value's counts are summed before they are shuffled
+    # one row per candidate of each document; a value's owners and documents are made distinct before they are counted
     each = found.select("doc_id", "owner", "rk", F.explode(F.concat("base", "wide")).alias("span")).select("doc_id", "owner", "rk", "span", F.sha2("span.value", 256).alias("hash"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("uses"))
-    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("uses").alias("uses"))
-    judged = each.join(owners, "hash").withColumn("live", (F.col("owners") <= max_owners) & ~F.rlike("span.value", F.lit(PLACEHOLDER)))
-    told = judged.filter("live OR span.rank < 3").groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.rank", "span.kind", "span.end", "live"))).alias("all"))
+    without_id = F.when(F.col("doc_id").isNull(), F.col("rk")).alias("no_id")
+    by_document = each.select("hash", "doc_id", without_id).distinct().groupBy("hash").agg(F.count("*").alias("documents"))
+    by_owner = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
+    counts = by_owner.join(by_document, "hash")
+    judged = each.join(counts, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("documents") <= max_documents) & ~F.rlike("span.value", F.lit(PLACEHOLDER)))
+    told = judged.filter("live OR span.rank < 3").groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.rank", "span.kind", "span.end", "live", "owners", "documents"))).alias("all"))
     both = found.alias("f").join(told.alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.rk") == F.col("t.rk")), "left")
-    spans = F.coalesce("t.all", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,live:boolean>>"))
+    spans = F.coalesce("t.all", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,live:boolean,owners:bigint,documents:bigint>>"))
     live = F.filter(spans, lambda s: s["live"])
     return both.select(
         "f.doc_id",
@@ -84,4 +89,5 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFra
         F.size(live).cast("long").alias("n_live"),
         F.size(F.filter(spans, lambda s: ~s["live"])).cast("long").alias("n_example"),
         _written(live).alias("live_spans"),
+        F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["owners"].cast("string"), s["documents"].cast("string"))), ",").alias("spread"),
     )

@@ -131,6 +131,15 @@ def test_secrets(spark):
     assert found[1][0].n_live == 0 and found[1][0].n_example == 1 and found[3][0].n_live >= 2
 
 
+def test_secret_in_many_documents_of_one_owner(spark):
+    example, own = "token = 'Qz81abcdef123456'", "token = 'Kf20ghijkl654321'"
+    data = [(k, example, "a") for k in range(40)] + [(50, own, "a")] * 40 + [(51, own, "a")] + [(None, f"{k} password=hunter2hunter", None) for k in range(30)]
+    found = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert found[0].n_live == 0 and found[0].n_example == 1 and found[0].spread == "1:40"
+    assert found[50].n_live == 1 and found[50].n_example == 0 and found[50].spread == "1:2"
+    assert found[None].n_live == 0 and found[None].spread == "1:30"
+
+
 def test_containment(spark, make, rows):
     r = random.Random(4)
     items = [(k, prose(r, n)) for k, n in enumerate((4, 5, 6, 9, 20, 41, 80))] + [(90, None), (91, "")]
