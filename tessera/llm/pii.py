@@ -4,7 +4,8 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers. Every
 every weaker mention (a long number, an obfuscated address, the bare local part of a found
 address) is a node. Neighbouring nodes share a chain potential; a node and the previous one
 with the same or a similar key (digits, last seven digits, letters) share a skip potential,
-however far apart. Loopy belief propagation makes the labels of a document consistent, so a
+however far apart, and so do a mention and the first base match with its key, so that evidence
+does not fade from repeat to repeat. Loopy belief propagation makes the labels of a document consistent, so a
 mention that repeats a found entity in another form is found too. Base spans always stay.
 
 The weights are fitted by pseudo-likelihood on the base labels of the whole corpus. A node
@@ -108,6 +109,8 @@ class Nodes:
         self.prev = [i - 1 if i and self.spans[i][0] - self.spans[i - 1][1] <= CHAIN_GAP else -1 for i in range(len(self.spans))]
         self.skips: list[tuple[int, int]] = []
         seen: dict[str, int] = {}
+        first: dict[str, int] = {}  # the first base match with a key
+        keys_of = []
         for i, (a, b, _) in enumerate(self.spans):
             word = text[a:b]
             digits = "".join(_DIGITS.findall(word))
@@ -115,8 +118,15 @@ class Nodes:
             keys = [f"={digits}", f"~{digits[-7:]}"] if len(digits) >= 7 and "." not in word else [f"={word.lower()}", f"@{letters}"]
             for j in {seen[k] for k in keys if k in seen}:
                 self.skips.append((j, i))
+            keys_of.append(keys)
             for key in keys:
                 seen[key] = i
+                if self.label[i] >= 0:
+                    first.setdefault(key, i)
+        linked = set(self.skips)
+        for i, keys in enumerate(keys_of):
+            if self.label[i] < 0:
+                self.skips += [(j, i) for j in sorted({first[k] for k in keys if k in first}) if (min(i, j), max(i, j)) not in linked]
 
     @staticmethod
     def _features(text: str, a: int, b: int) -> int:
@@ -173,8 +183,11 @@ class Weights:
             w[-1] = 0.0
         return self
 
-    def infer(self, nodes: Nodes, rounds: int = 10) -> np.ndarray:
-        """Marginals by loopy belief propagation; base labels are clamped."""
+    def infer(self, nodes: Nodes, patience: int = 50) -> np.ndarray:
+        """Marginals by loopy belief propagation until the messages settle; base labels are clamped.
+
+        Where `patience` rounds bring the messages no nearer, the step is halved, so that it always ends.
+        """
         n, m = len(nodes.code), len(LABELS)
         own = _one_hot(np.array(nodes.code)) @ self.node
         for i, k in enumerate(nodes.label):
@@ -189,7 +202,8 @@ class Weights:
         pot = np.stack([e[2][:-1] for e in edges] * 2)
         twin = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         msg = np.zeros((len(u), m))
-        for _ in range(rounds):
+        step, least, since = 0.5, np.inf, 0
+        while True:
             belief = own.copy()
             np.add.at(belief, v, msg)
             out = (belief[u] - msg[twin])[:, :, None] + pot
@@ -197,9 +211,12 @@ class Weights:
             new = (top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0]
             new -= new.max(axis=1, keepdims=True)
             change = np.abs(new - msg).max()
-            msg = 0.5 * msg + 0.5 * new
-            if change < 1e-4:
+            msg = (1 - step) * msg + step * new
+            if step * change < 1e-4:
                 break
+            least, since = (change, 0) if change < least else (least, since + 1)
+            if since == patience:
+                step, since = step / 2, 0
         belief = own.copy()
         np.add.at(belief, v, msg)
         belief -= belief.max(axis=1, keepdims=True)

@@ -172,6 +172,16 @@ def test_pii_base_and_skip_chain(make):
     assert pii.scan(make([])).collect() == []
 
 
+def test_pii_finds_every_repeat(make):
+    call, mail, gap = "call +49 170 1234567 today ", "write to jane.roe@mail.example.org ", "and so on " * 40
+    texts = [call + (gap + "again 0170 1234567 please ") * 50, (gap + "again 0170 1234567 please ") * 50 + call, mail + (gap + "ask jane.roe there ") * 50]
+    rows = [*enumerate(texts), *((10 + k, f"call +49 171 {7654321 + k} or 2.5 at 10.0.0.{k}, no {k} of 1000{k}") for k in range(40))]
+    found = {x.doc_id: x for x in pii.scan(make(rows)).collect()}
+    assert [found[k].n_added for k in range(3)] == [50, 50, 50]
+    redacted = {x.doc_id: x.text for x in pii.redact(make(rows)).collect()}
+    assert [redacted[k].count(f"[{name}]") for k, name in enumerate(("PHONE", "PHONE", "EMAIL"))] == [51, 51, 51]
+
+
 def test_bpe_equals_the_library(make, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
