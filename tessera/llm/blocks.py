@@ -7,6 +7,7 @@ the size of its partition.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -35,8 +36,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder only where none is set (tests)."""
+    """Use the cluster's spark.checkpoint.dir. Unset, a folder is made in local mode (tests), where all share one machine; else it is an error."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
@@ -152,10 +155,23 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+_made: list[str] = []
+
+
 def _place(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables made so far; for use when the results that read them have been written."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -166,11 +182,23 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """As table(), bucketed by key, so that a later join on key does not shuffle df again."""
-    path = _place(df.sparkSession)
+    """As table(), bucketed by key, so that a later join on key does not shuffle df again.
+
+    Only the catalog knows of buckets, so the files are named there until the table is read; then the name is dropped.
+    """
+    spark = df.sparkSession
+    path = _place(spark)
     name = path.rpartition("/")[2].replace("-", "_")
-    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(df.sparkSession), key).format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def hot_from(total: int, least: int) -> int:
+    """From how many entries a key counts as hot: at most 2^24 keys of `total` entries can have so many, so their list is bounded."""
+    return max(least, total >> 24)
 
 
 def narrow(ids: np.ndarray) -> bytes:

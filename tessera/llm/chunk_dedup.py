@@ -109,7 +109,7 @@ def _marked(buckets: int):
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """id, rk, at, size of every chunk of (id, rk, text) that an earlier document or place has."""
     buckets = 4 * blocks.partitions(rows.sparkSession)
-    packed = rows.mapInArrow(_mapper(buckets), _PACKED)
+    packed = rows.select("id", "rk", "text").mapInArrow(_mapper(buckets), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_marked(buckets), "id long, rk long, at int, size int")
 
 

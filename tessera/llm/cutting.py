@@ -16,9 +16,9 @@ NO_ID = (1 << 63) - 1
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """id (doc_id, NO_ID for null), rk (row key) and text of every row."""
+    """doc_id, id (doc_id, NO_ID for null), rk (row key) and text of every row."""
     at = blocks.corpus(docs)
-    return at.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), blocks.row_key().alias("rk"), "text")
+    return at.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), blocks.row_key().alias("rk"), "text")
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cut(rows: DataFrame, least: int = 0, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept) of rows
-    (id, text, n_bytes, whole_sha256, copy, begins, ends).
+    (doc_id, text, n_bytes, whole_sha256, copy, begins, ends).
 
     The ranges begins[k] to ends[k] (arrays of int, null: none) are united; runs shorter than
     `least` bytes stay. Rows without ranges need no text: they lose nothing, or all if `copy`,
     and whole_sha256 is the digest of what they keep.
     """
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * full
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * full
 
     def run(batches):
         for batch in batches:
@@ -69,9 +69,8 @@ def cut(rows: DataFrame, least: int = 0, full: bool = False) -> DataFrame:
                 removed[k], spans[k], digest[k] = int((e - b).sum()), len(b), hashlib.sha256(rest).hexdigest()
                 if full:
                     kept[k] = rest
-            columns = [batch.column("id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * full, names=names)
 
-    wanted = rows.select("id", "n_bytes", "text", "whole_sha256", "copy", "begins", "ends")
-    done = wanted.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
-    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *names[1:])
+    wanted = rows.select("doc_id", "n_bytes", "text", "whole_sha256", "copy", "begins", "ends")
+    return wanted.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)

@@ -37,6 +37,12 @@ SPAN = LENGTH - PIECE + 1
 HELD_KEYS, HELD_CONTEXTS = 1 << 20, 1 << 17
 #: Contexts that are sorted together.
 SORTED_BYTES = 1 << 18
+#: Text to a bucket, and to a target where what was found for a document comes together.
+BUCKET_BYTES, TARGET_BYTES = 8 << 20, 16 << 20
+#: From here up, ids stand for rows without one: by text, as rows alike in it are answered alike, but equal in order.
+NO_ID = 1 << 62
+#: Parts of a large group of exact copies.
+SALTS = 32
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -86,7 +92,8 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     while width < PIECE:
         h = h[:-width] * np.uint64(pow(blocks._BASE, width, 2**64)) + h[width:]
         width *= 2
-    least, width = blocks.mix(h), 1
+    least = pieces = blocks.mix(h)
+    width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
         least = np.minimum(least[:-step], least[step:])
@@ -94,12 +101,14 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     row_end = np.repeat(at[1:], np.diff(at))[: len(least)]
     valid = np.arange(len(least)) + LENGTH <= row_end
     turn = np.ones(len(least), bool)
-    turn[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
+    # also where the least piece comes in again from the right: so a run has at most SPAN windows, and equal windows still meet
+    turn[1:] = (least[1:] != least[:-1]) | ~valid[:-1] | (pieces[SPAN:] == least[1:])
     first = np.flatnonzero(valid & turn)
     stop = np.ones(len(least), bool)
     stop[:-1] = turn[1:] | ~valid[1:]
     last = np.flatnonzero(valid & stop)
-    return first, last, least[first], np.searchsorted(at, first, "right") - 1
+    # least hashes crowd at the low end; spread again, so that buckets are even
+    return first, last, blocks.mix(least[first] ^ np.uint64(blocks._BASE)), np.searchsorted(at, first, "right") - 1
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -128,7 +137,16 @@ def _slices(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
 
-_KEYS = "bucket int, n int, keys binary, ids binary, counts binary"
+_KEYS = "bucket int, n int, keys binary, ids binary, uses binary, many binary"
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """Counts in two bytes each where all fit, else in four."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
 
 
 def _anchors(buckets: int):
@@ -141,6 +159,7 @@ def _anchors(buckets: int):
             held.clear()
             order = np.lexsort((owner, key))
             key, owner = key[order], owner[order]
+            uses = np.diff(np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)))
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
             key, owner = key[once], owner[once]
@@ -148,13 +167,13 @@ def _anchors(buckets: int):
             count = np.diff(np.append(start, len(key)))
             sent = blocks.bucket_of(key[start], buckets)
             for lo, hi in _slices(sent):
-                yield (int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), np.minimum(count[lo:hi], 65535).astype(np.uint16).tobytes())
+                yield (int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), _short(uses[lo:hi]), np.packbits(count[lo:hi] > 1).tobytes())
             shared = np.flatnonzero(np.repeat(count > 1, count))
             salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
             for lo in range(0, len(shared), 1 << 12):  # known to be repeated without any other block
                 k = shared[lo : lo + (1 << 12)]
                 salt = (salt + 1) % buckets
-                yield (buckets + salt, len(k), key[k].tobytes(), blocks.narrow(owner[k]), b"")
+                yield (buckets + salt, len(k), key[k].tobytes(), blocks.narrow(owner[k]), b"", b"")
 
         for batch in batches:
             ids = batch.column("id").to_numpy()
@@ -175,11 +194,11 @@ def _targets(place: np.ndarray, n: int) -> np.ndarray:
     return (blocks.mix(place.view(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
-_FOUND = "target int, n int, ids binary, keys binary, counts binary"
+_FOUND = "target int, n int, ids binary, keys binary"
 
 
-def _repeated(buckets: int, hot: int):
-    """Blocks of (id, key) of repeated keys by the id's target; under target -1 the keys that `hot` documents or more have, with counts."""
+def _repeated(buckets: int, targets: int, hot: int):
+    """Blocks of (id, key) of repeated keys by the id's target; under target -1 the keys that are used `hot` times or more, with their uses."""
 
     def reduce(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
@@ -187,18 +206,21 @@ def _repeated(buckets: int, hot: int):
         owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
         out = []
         if table["bucket"][0].as_py() < buckets:
-            count = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table["counts"]]).astype(np.int64)
-            found, back = np.unique(key, return_inverse=True)
-            total = np.bincount(back, weights=count).astype(np.int64)
-            common = total >= hot
+            uses = np.concatenate([_counts(x.as_py(), n) for x, n in zip(table["uses"], sizes, strict=True)])
+            many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(table["many"], sizes, strict=True)])
+            found, back, rows = np.unique(key, return_inverse=True, return_counts=True)
+            total = np.bincount(back, weights=uses).astype(np.int64)
+            shared = rows > 1
+            shared[back[many]] = True
+            common = shared & (total >= hot)
             if common.any():
-                out.append((-1, int(common.sum()), b"", found[common].tobytes(), total[common].tobytes()))
-            many = (total[back] > 1) & (count == 1)
-            key, owner = key[many], owner[many]
-        target = _targets(owner, max(1, buckets // 4))
+                out.append((-1, int(common.sum()), b"", found[common].tobytes()))
+            some = shared[back] & ~many  # where a block has more documents it has sent them itself
+            key, owner = key[some], owner[some]
+        target = _targets(owner, targets)
         order = np.argsort(target, kind="stable")
         key, owner, target = key[order], owner[order], target[order]
-        out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), key[lo:hi].tobytes(), b"") for lo, hi in _slices(target)]
+        out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), key[lo:hi].tobytes()) for lo, hi in _slices(target)]
         return _table(_FOUND, out)
 
     return reduce
@@ -216,8 +238,13 @@ def _keys_by_id(table: pa.Table) -> pa.Table:
 
 def _common(batches):
     for batch in batches:
-        for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], names=["key", "n"])
+        for k in batch.column("keys"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64))], names=["key"])
+
+
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which x are in the sorted values."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 _CONTEXTS = "bucket int, n int, base long, keys binary, ids binary, places binary, starts binary, sizes binary, bytes binary"
@@ -235,7 +262,7 @@ def _contexts(buckets: int, hot_keys):
         tag = lambda r, k: blocks.mix(k + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         stay = np.isin(tag(row, key), tag(np.repeat(np.arange(len(lists) - 1), np.diff(lists)), wanted))
         first, last, key, row = first[stay], last[stay], key[stay], row[stay]
-        if len(hot) and (split := np.isin(key, hot)).any():  # every window of a hot key for itself
+        if (split := _among(hot, key)).any():  # every window of a hot key for itself
             size = np.where(split, last - first + 1, 1)
             k = np.repeat(np.arange(len(first)), size)
             within = _places(np.zeros(len(size), np.int64), size)
@@ -255,7 +282,8 @@ def _contexts(buckets: int, hot_keys):
             order = np.lexsort((begin, place, owner, like, key))
             key, like, owner, place, begin, size, start = (x[order] for x in (key, like, owner, place, begin, size, start))
             group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (like[1:] != like[:-1])))) - 1
-            lost = owner > owner[np.flatnonzero(np.diff(group, prepend=-1))][group]
+            rank = np.minimum(owner, NO_ID)
+            lost = rank > rank[np.flatnonzero(np.diff(group, prepend=-1))][group]
 
             def pack(bucket, k, raw):
                 base = int(place[k].min())
@@ -328,6 +356,7 @@ def _lost(key, owner, begin, size, start, text) -> tuple[np.ndarray, np.ndarray,
     alike = np.empty(len(order), np.int64)
     alike[order] = np.cumsum(new) - 1
     first = order[new]  # each distinct context, with its least id
+    owner = np.minimum(owner, NO_ID)
     later = owner > owner[first][alike]
     gone = [(np.flatnonzero(later), begin[later], begin[later] + size[later])]
     # keys with one distinct context have no other window to compare
@@ -348,7 +377,7 @@ def _lost(key, owner, begin, size, start, text) -> tuple[np.ndarray, np.ndarray,
 _RANGES = "target int, n int, ids binary, places binary, begins binary, ends binary"
 
 
-def _sorted(buckets: int):
+def _sorted(buckets: int, targets: int):
     """Blocks of place, begin, end of the ranges that each bucket's suffix order removes, by the place's target.
 
     Keys do not meet each other, so a bucket is sorted a few keys at a time: SORTED_BYTES of
@@ -383,7 +412,7 @@ def _sorted(buckets: int):
         heads, many = [lo for lo, _ in runs], [len(m[0]) for m in merged]
         where, whose = (np.repeat(x[heads], many) if runs else x for x in (place, ids))
         begins, ends = (np.concatenate([m[k] for m in merged]) if runs else a for k in (0, 1))
-        target = _targets(whose, max(1, buckets // 4))
+        target = _targets(whose, targets)
         order = np.argsort(target, kind="stable")
         where, whose, begins, ends, target = where[order], whose[order], begins[order].astype(np.int32), ends[order].astype(np.int32), target[order]
         return _table(_RANGES, [(int(target[lo]), hi - lo, blocks.narrow(whose[lo:hi]), where[lo:hi].tobytes(), begins[lo:hi].tobytes(), ends[lo:hi].tobytes()) for lo, hi in _slices(target)])
@@ -411,31 +440,39 @@ def _ranges_by_id(table: pa.Table) -> pa.Table:
 
 def _copies(rows: DataFrame) -> DataFrame:
     """id and rk of the rows whose whole text a smaller id has too; such texts need no search."""
+    order = F.least("id", F.lit(NO_ID))
     marks = blocks.table(rows.select("id", "rk", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("g"), F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH))
-    least = marks.groupBy("h", "g", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    return marks.join(least, ["h", "g", "n"]).filter("id > least").select("id", "rk")
+    least = marks.groupBy("h", "g", "n").agg(F.min(order).alias("least"), F.max(order).alias("most")).filter("least < most").drop("most")
+    parts = least.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    return marks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(parts, ["h", "g", "n", "salt"]).filter(order > F.col("least")).select("id", "rk")
 
 
-def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = 1000, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept, the bytes), one row per input row.
 
     Strings are judged on the input texts as UTF-8. Null texts are empty; texts under 50 bytes
-    lose nothing. Rows with one doc_id do not remove each other's strings; a null doc_id counts
-    as larger than all others. Rows alike in doc_id and text get the same answer.
+    lose nothing, an empty table gives an empty one. Rows with one doc_id do not remove each
+    other's strings; a null doc_id counts as larger than all others, and so do ids from 2^62 up.
+    Rows alike in doc_id and text get the same answer. A very long text is one row of a task like
+    any other, read a chunk at a time. Only doc_id and text are read, so other columns cannot clash.
     """
     spark = docs.sparkSession
-    rows = cutting.numbered(docs)
-    buckets = 4 * blocks.partitions(spark)
-    repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, hot), _FOUND))
-    common = repeated.filter("target = -1").select("keys", "counts").mapInArrow(_common, "key long, n long").orderBy(F.desc("n"), "key").limit(hot_keys)
-    common = common.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    rows = cutting.numbered(docs).withColumn("id", F.coalesce("doc_id", F.col("rk").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))))
+    # buckets, targets and the line between hot keys and others follow the bytes of all texts
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets, targets = 1 + total // BUCKET_BYTES, 1 + total // TARGET_BYTES
+    hot = blocks.hot_from(total, hot)
+    repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, targets, hot), _FOUND))
+    common = repeated.filter("target = -1").select("keys").mapInArrow(_common, "key long")
+    common = np.sort(common.toPandas()["key"].to_numpy(np.int64).view(np.uint64))  # a key is used `hot` times or more, which bounds their number
     # what each id has to be searched for; exact copies of smaller ids lose everything without a search
     by_id = repeated.filter("target >= 0").groupBy("target").applyInArrow(_keys_by_id, "id long, keys array<long>")
     copies = _copies(rows).groupBy("id").agg(F.collect_set("rk").alias("copies"))
     copy = F.coalesce(F.array_contains("copies", F.col("rk")), F.lit(False))
     searched = ~copy & (F.coalesce(F.size("keys"), F.lit(0)) > 0)
-    # texts are shuffled once for the search, and those that were searched once more for the cut
+    # texts are shuffled once, for the search; their table is bucketed, so the cut reads them in place
     marked = rows.join(by_id, "id", "left").join(copies, "id", "left").select(
+        "doc_id",
         "id",
         F.monotonically_increasing_id().alias("place"),
         F.when(searched, F.col("keys")).alias("keys"),
@@ -446,7 +483,7 @@ def dedup(docs: DataFrame, hot: int = 1000, hot_keys: int = 100_000, full: bool
     )
     marked = blocks.bucketed(marked, "id")
     contexts = marked.filter("keys IS NOT NULL").select("id", "place", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
-    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets), _RANGES)
+    lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets, targets), _RANGES)
     ranges = lost.groupBy("target").applyInArrow(_ranges_by_id, "id long, places array<long>, begins array<int>, ends array<int>")
     own = lambda name: F.filter(name, lambda _, k: F.get("places", k) == F.col("place"))
     both = marked.drop("keys").join(ranges, "id", "left").withColumns({"begins": own("begins"), "ends": own("ends")})
