@@ -201,6 +201,24 @@ def hot_from(total: int, least: int) -> int:
     return max(least, total >> 24)
 
 
+def text_bytes(rows: DataFrame) -> int:
+    """Bytes of all texts, from which the numbers of packed buckets follow."""
+    return rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def keyed(left: DataFrame, right: DataFrame, key: str, uses: str, total: int, least: int = 10_000) -> DataFrame:
+    """left joined with the row of right that has its key.
+
+    right has each key once, and in column `uses` the number of left's `total` rows with it. Keys with
+    a large share of the rows (at most 2^16 can have it) are broadcast, so that none of them gathers
+    in one task; all others are joined by sorted shuffle, whatever size is estimated.
+    """
+    line = max(least, total >> 16)
+    hot = F.broadcast(right.filter(F.col(uses) >= line).drop(uses))
+    rest = right.filter(F.col(uses) < line).drop(uses).hint("merge")
+    return left.join(hot, key).unionByName(left.join(rest, key))
+
+
 def narrow(ids: np.ndarray) -> bytes:
     """64-bit ids in four bytes each where all fit."""
     return ids.astype(np.uint32).tobytes() if len(ids) and ids.min() >= 0 and ids.max() < 1 << 32 else ids.astype(np.int64).tobytes()

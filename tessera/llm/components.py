@@ -19,15 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     now = blocks.checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m"))
-        now = blocks.checkpoint(small.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
         before = state
+        # a node with very many neighbours does not gather them in one task: keyed() tells such nodes by their uses
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("uses"))
+        large = blocks.keyed(both.filter("v > u"), least, "u", "uses", state.n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("uses"))
+        small = blocks.keyed(large, low, "u", "uses", state.n).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m"))
+        now = blocks.checkpoint(small.filter("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct())
     lows = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(lows)

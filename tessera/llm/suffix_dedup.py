@@ -459,7 +459,7 @@ def dedup(docs: DataFrame, hot: int = 1000, full: bool = False) -> DataFrame:
     spark = docs.sparkSession
     rows = cutting.numbered(docs).withColumn("id", F.coalesce("doc_id", F.col("rk").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))))
     # buckets, targets and the line between hot keys and others follow the bytes of all texts
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = blocks.text_bytes(rows)
     buckets, targets = 1 + total // BUCKET_BYTES, 1 + total // TARGET_BYTES
     hot = blocks.hot_from(total, hot)
     repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, targets, hot), _FOUND))

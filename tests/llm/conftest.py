@@ -17,13 +17,16 @@ def spark():
 
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use inside.
+CLASHING = ("id", "rk", "place", "words", "hashes", "row", "fp", "key", "hash", "target", "bucket", "item", "n", "owner", "uses", "lines")
 
 
 @pytest.fixture(scope="session")
 def make(spark):
-    """documents from (doc_id, text) pairs, with an extra column whose name the operators use inside."""
+    """documents from (doc_id, text) pairs, with extra columns whose names the operators use inside."""
 
     def build(rows, source="s"):
-        return spark.createDataFrame([(i, t, "en", source, len(t) if t else 0) for i, t in rows], DOCS)
+        extra = "".join(f", {c} string" for c in CLASHING)
+        return spark.createDataFrame([(i, t, "en", source, len(t) if t else 0, *("x" for _ in CLASHING)) for i, t in rows], DOCS + extra)
 
     return build
