@@ -157,13 +157,34 @@ def test_secret_in_many_documents_of_one_owner(spark):
 def test_containment(spark, make, rows):
     r = random.Random(4)
     items = [(k, prose(r, n)) for k, n in enumerate((4, 5, 6, 9, 20, 41, 80))] + [(90, None), (91, "")]
-    docs = [*rows, (100, prose(r, 300) + " " + items[4][1].upper() + ". " + prose(r, 200)), (101, items[5][1]), (102, " ".join(items[6][1].split()[:66])), (103, items[1][1] + " " + items[2][1]), (104, items[0][1])]
-    grams = lambda t: {tuple(w[k : k + 5]) for w in [[x for x in re.split(r"[^a-züé]+", (t or "").lower()) if x]] for k in range(len(w) - 4)}
-    expected = {(i, k): len(grams(t) & grams(s)) / len(grams(s)) for i, t in docs for k, s in items if grams(s) and len(grams(t) & grams(s)) >= 0.8 * len(grams(s)) - 1e-9}
+    docs = [*rows, (100, prose(r, 300) + " " + items[4][1].upper() + ". " + prose(r, 200)), (101, items[5][1]), (102, " ".join(items[6][1].split()[:66])), (103, items[1][1] + " " + items[2][1]), (104, items[0][1]), (None, f"x {items[4][1]} y"), (105, items[4][1]), (105, "clean under an id that another row has contaminated")]
+    items += [(92, "ab CD"), (93, "word"), (94, items[1][1])]
+    docs += [(106, "one ab, cd two"), (107, "a word"), (108, "ab"), (109, "abcd words")]
+    split = lambda t: [x for x in re.split(r"[^a-züé]+", (t or "").lower()) if x]
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    wanted = lambda s: runs(split(s), min(5, len(split(s)))) if split(s) else set()
+    grams = lambda t: set().union(*(runs(split(t), n) for n in range(1, 6)))
+    hits = [(i, t, k, len(grams(t) & wanted(s)) / len(wanted(s))) for i, t in docs for k, s in items if wanted(s) and len(grams(t) & wanted(s)) >= 0.8 * len(wanted(s)) - 1e-9]
+    expected = {}
+    for i, _, k, share in hits:
+        expected[i, k] = max(share, expected.get((i, k), 0))
+    assert (106, 92) in expected and (107, 93) in expected and (None, 4) in expected
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(x.doc_id, x.item_id): x.containment for x in decontaminate.contained(make(docs), bench).collect()} == pytest.approx(expected)
-    left = {x.doc_id for x in decontaminate.without_contaminated(make(docs), bench).collect()}
-    assert left == {i for i, _ in docs} - {i for i, _ in expected}
+    left = sorted((str(x.doc_id), str(x.text)) for x in decontaminate.without_contaminated(make(docs), bench).collect())
+    bad = {(i, t) for i, t, _, _ in hits}
+    assert left == sorted((str(i), str(t)) for i, t in docs if (i, t) not in bad) and any(i == "105" for i, _ in left)
+    assert decontaminate.contained(make([]), bench).collect() == [] and decontaminate.contained(make(docs), bench.limit(0)).collect() == []
+    assert len(decontaminate.without_contaminated(make(docs), bench.limit(0)).collect()) == len(docs)
+
+
+def test_phrase_that_opens_many_items(spark, make):
+    r = random.Random(11)
+    opening = prose(r, 8)
+    items = [(k, f"{opening} {prose(r, 12)}") for k in range(130)]
+    docs = [(k, f"{prose(r, 9)} {items[k][1] if k % 3 == 0 else opening} {prose(r, 9)}") for k in range(60)]
+    found = decontaminate.contained(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(k, k) for k in range(0, 60, 3)}
 
 
 def test_pii_base_and_skip_chain(make):
