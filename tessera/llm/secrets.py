@@ -3,13 +3,13 @@
 Candidates are found in every text by pattern. Their values are hashed and counted over the
 whole corpus by distinct documents (repositories) and distinct owners: a value that several
 owners hold, or that stands in many documents of one owner, is a copied example; one that a single
-owner holds in a few looks live. Wider candidates
+owner holds in a few looks live. A document stands for a repository, `source` for its owner. Wider candidates
 (long mixed tokens) only become spans if they look live; base spans always stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -19,35 +19,44 @@ PATTERNS = (
     ("assign", "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),  # the runs that [0-9a-f]+ finds and the length keeps, found at once
-    ("other", "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,99}[0-9])[A-Za-z0-9_+/=-]{20,}", 0, 20),
+    ("other", "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}", 0, 20),
 )
 BASE = ("assign", "access", "hex")
 #: Parts of values that stand for a secret in examples.
 PLACEHOLDER = "(?i)example|changeme|placeholder|your[_-]|xxxx|dummy|redacted"
 
+#: Matches whose positions are summed together.
+RUN = 128
 _SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 
 
-def _spans(text: Column, rank: int) -> Column:
-    """Matches of a kind, leftmost and non-overlapping, with code point positions, as an array of _SPAN."""
-    kind, pattern, group, least = PATTERNS[rank]
+def _matches(text: Column, rank: int) -> Column:
+    """before (text since the match before), match and value of each match of a kind: leftmost, non-overlapping."""
+    _, pattern, group, _ = PATTERNS[rank]
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    values = F.regexp_extract_all(text, p, F.lit(group))
-    # the pieces between the matches give the distances
-    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"), found.alias("match"), values.alias("value"))
+    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"), found.alias("match"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
+    return F.when(F.rlike(text, p), rows).otherwise(F.array().cast("array<struct<before:string,match:string,value:string>>"))
+
+
+def _spans(matches: str, rank: int) -> Column:
+    """The matches of a kind with code point positions, as an array of _SPAN.
+
+    Positions are running sums of lengths. They are built run by run of RUN matches, as an array
+    that grows by one value is copied each time: so the cost stays linear in the matches.
+    """
+    kind, _, _, least = PATTERNS[rank]
     empty = F.array().cast(f"array<{_SPAN}>")
     start = lambda s, x: s["at"] + F.length(x["before"])
-    walk = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (start(s, x) + F.length(x["match"])).alias("at"),
-            F.when(F.length(x["value"]) >= least, F.array_append(s["out"], F.struct(start(s, x).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start(s, x) + F.length(x["match"])).alias("end"), x["value"].alias("value")))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
+    end = lambda s, x: start(s, x) + F.length(x["match"])
+    span = lambda s, x: F.struct(start(s, x).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end(s, x).alias("end"), x["value"].alias("value"))
+    step = lambda s, x: F.struct(end(s, x).alias("at"), F.when(F.length(x["value"]) >= least, F.array_append(s["out"], span(s, x))).otherwise(s["out"]).alias("out"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
+    walk = lambda done, k: F.array_append(
+        done, F.aggregate(F.slice(matches, k * RUN + 1, F.lit(RUN)), F.struct(F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0)).alias("at"), empty.alias("out")), step)
     )
-    return F.when(F.rlike(text, p), walk).otherwise(empty)
+    walked = F.aggregate(runs, F.array().cast(f"array<struct<at:int,out:array<{_SPAN}>>>"), walk)
+    return F.when(F.size(matches) > 0, F.flatten(F.transform(walked, lambda r: r["out"]))).otherwise(empty)
 
 
 def _written(spans: Column) -> Column:
@@ -59,24 +68,32 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1, max_docume
 
     A candidate is live if at most `max_owners` distinct owners hold its value in at most
     `max_documents` distinct documents and it is no placeholder. Rows without an owner count as
-    one owner together. Null texts have no spans. The corpus counts take each doc_id once (rows
+    one owner together. Null and empty texts have no spans, an empty table gives an empty one; the cost
+    is linear in a text's length. Only doc_id, text and the owner's column are read. The corpus counts take each doc_id once (rows
     without one by their text), so repeated rows do not make a value common. `spread` has
     owners:documents of each of the spans.
     """
     base_ranks = [i for i, p in enumerate(PATTERNS) if p[0] in BASE]
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(blocks.column_or_null(docs, owner, "string"), F.lit("")).alias("owner"))
-    found = at.select("doc_id", "owner", blocks.row_key().alias("rk"), *(_spans(F.col("text"), k).alias(p[0]) for k, p in enumerate(PATTERNS)))
-    base = F.array_sort(F.concat(*BASE))
-    clear = F.filter("other", lambda o: F.rlike(o["value"], F.lit("[A-Z]")) & F.rlike(o["value"], F.lit("[a-z]")) & ~F.exists("base", lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    found = blocks.checkpoint(found.withColumn("base", base).select("doc_id", "owner", "rk", *(F.size(PATTERNS[k][0]).cast("long").alias(f"n_{PATTERNS[k][0]}") for k in base_ranks), "base", clear.alias("wide")))
+    found = at.select("doc_id", "owner", blocks.row_key().alias("rk"), *(_matches(F.col("text"), k).alias(f"m_{p[0]}") for k, p in enumerate(PATTERNS)))
+    found = found.select("doc_id", "owner", "rk", *(_spans(f"m_{p[0]}", k).alias(p[0]) for k, p in enumerate(PATTERNS)))
+    mixed = F.filter("other", lambda o: F.rlike(o["value"], F.lit("[A-Z]")) & F.rlike(o["value"], F.lit("[a-z]")))
+    found = blocks.checkpoint(found.select("doc_id", "owner", "rk", *(F.size(PATTERNS[k][0]).cast("long").alias(f"n_{PATTERNS[k][0]}") for k in base_ranks), F.array_sort(F.concat(*BASE)).alias("base"), mixed.alias("wide")))
 
-    # one row per candidate of each document; a value's owners and documents are made distinct before they are counted
-    each = found.select("doc_id", "owner", "rk", F.explode(F.concat("base", "wide")).alias("span")).select("doc_id", "owner", "rk", "span", F.sha2("span.value", 256).alias("hash"))
+    # one row per candidate of each document; wide ones that meet a base span of their text go
+    each = found.select("doc_id", "owner", "rk", F.explode(F.concat("base", "wide")).alias("span")).distinct()
+    text = Window.partitionBy("doc_id", "rk")
+    before = F.max(F.when(F.col("span.rank") < 3, F.col("span.end"))).over(text.orderBy("span.start", "span.rank").rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.min(F.when(F.col("span.rank") < 3, F.col("span.start"))).over(text.orderBy(F.desc("span.start"), F.desc("span.rank")).rowsBetween(Window.unboundedPreceding, -1))
+    alone = (F.coalesce(F.col("before"), F.lit(0)) <= F.col("span.start")) & (F.coalesce(F.col("behind"), F.col("span.end")) >= F.col("span.end"))
+    each = each.withColumn("before", before).withColumn("behind", behind).filter((F.col("span.rank") < 3) | alone)
+    each = blocks.checkpoint(each.select("doc_id", "owner", "rk", "span", F.sha2("span.value", 256).alias("hash")))
+    # a value's owners and documents are made distinct before they are counted
     without_id = F.when(F.col("doc_id").isNull(), F.col("rk")).alias("no_id")
     by_document = each.select("hash", "doc_id", without_id).distinct().groupBy("hash").agg(F.count("*").alias("documents"))
-    by_owner = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    counts = by_owner.join(by_document, "hash")
-    judged = each.join(counts, "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("documents") <= max_documents) & ~F.rlike("span.value", F.lit(PLACEHOLDER)))
+    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("uses"))
+    counts = by_owner.join(by_document.hint("merge"), "hash")
+    judged = blocks.keyed(each, counts, "hash", "uses", each.count()).withColumn("live", (F.col("owners") <= max_owners) & (F.col("documents") <= max_documents) & ~F.rlike("span.value", F.lit(PLACEHOLDER)))
     told = judged.filter("live OR span.rank < 3").groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct("span.start", "span.rank", "span.kind", "span.end", "live", "owners", "documents"))).alias("all"))
     both = found.alias("f").join(told.alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.rk") == F.col("t.rk")), "left")
     spans = F.coalesce("t.all", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,live:boolean,owners:bigint,documents:bigint>>"))

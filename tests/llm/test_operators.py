@@ -154,6 +154,36 @@ def test_secret_in_many_documents_of_one_owner(spark):
     assert found[None].n_live == 0 and found[None].spread == "1:30"
 
 
+def test_secret_counts_against_brute_force(spark):
+    """Wide candidates, verdicts and counts; a digit late in a token; matches beyond one run of positions."""
+    r = random.Random(12)
+    token = lambda n: "".join(r.choice("abcXYZ019_") for _ in range(n))
+    pool = [token(r.randint(18, 40)) for _ in range(30)] + ["aB" * 60 + "7x", "your_Token_example_1234567"]
+    data = []
+    for k in range(60):
+        parts = [r.choice(("see ", "password=", "é: ")) + r.choice(pool) for _ in range(r.randint(0, 6))]
+        data.append((k if k % 9 else None, " ".join(parts), r.choice("abc")))
+    data += [(200, "token=abcdef " * 400 + pool[-2], "a"), (201, None, "a"), (202, "", None)]
+    spans = {}
+    for i, t, s in data:
+        base = sorted((m.start(), rank, kind, m.end(), m[group]) for rank, (kind, p, group, least) in enumerate(secrets.PATTERNS[:3]) for m in re.finditer(p, t or "") if len(m[group]) >= least)
+        wide = [(m.start(), 3, "other", m.end(), m[0]) for m in re.finditer(secrets.PATTERNS[3][1], t or "") if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
+        spans[i, t, s] = base + [w for w in wide if not any(b[0] < w[3] and w[0] < b[3] for b in base)]
+    owners, documents = collections.defaultdict(set), collections.defaultdict(set)
+    for (i, t, s), found in spans.items():
+        for x in found:
+            owners[x[4]].add(s or "")
+            documents[x[4]].add(t if i is None else i)
+    live = lambda v: len(owners[v]) <= 1 and len(documents[v]) <= 10 and not re.search(secrets.PLACEHOLDER, v)
+    expected = []
+    for i, t, s in data:
+        told = sorted(x for x in spans[i, t, s] if x[1] < 3 or live(x[4]))
+        expected.append((str(i), ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in told), sum(live(x[4]) for x in told), ",".join(f"{len(owners[x[4]])}:{len(documents[x[4]])}" for x in told)))
+    found = secrets.scan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert sorted((str(x.doc_id), x.spans, x.n_live, x.spread) for x in found) == sorted(expected)
+    assert any(pool[-2] in (t or "") and live(pool[-2]) for _, t, _ in data) or len(owners[pool[-2]]) > 1
+
+
 def test_containment(spark, make, rows):
     r = random.Random(4)
     items = [(k, prose(r, n)) for k, n in enumerate((4, 5, 6, 9, 20, 41, 80))] + [(90, None), (91, "")]
