@@ -1,7 +1,9 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line with words is judged on its own (symbols, shouting, navigation, boilerplate,
-one word over and over). Failing lines go. A document that loses too large a part of its
+Every line with words is judged on its own: punctuation (symbols, rows of exclamation marks),
+shouting, navigation (link marks, labels, lines of capitalised words without a sentence mark),
+boilerplate (fixed phrases in English, German, French and Spanish) and one word over and over.
+All but the phrases hold in any language. Failing lines go. A document that loses too large a part of its
 word characters that way is rejected, as is one that fails the base rules: under ten words,
 or over 20 % of its words inside five-word windows that the text repeats.
 
@@ -24,11 +26,14 @@ BOILERPLATE = (
     "all rights reserved", "terms of service", "terms of use", "privacy policy",
     "cookie policy", "use cookies", "copyright (c)", "copyright ©", "enable javascript", "lorem ipsum",
     "click here", "sign up for our newsletter", "subscribe to our", "follow us on", "share this",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "verwendet cookies", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "abonnez-vous à",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "suscríbete a",
 )
 
 
 #: Lines that are a link's label.
-LABELS = ("home", "menu", "next", "previous", "back to top")
+LABELS = ("home", "menu", "next", "previous", "back to top", "startseite", "weiter", "zurück", "nach oben", "accueil", "suivant", "précédent", "inicio", "siguiente", "anterior")
 
 
 def _words(text: Column) -> Column:
@@ -41,7 +46,8 @@ def _line_ok(line: Column, words: Column, max_symbols: float, max_shouts: float,
     small = F.lower(line)
     punctuation = (F.regexp_count(line, F.lit(SYMBOLS)) > n * max_symbols) | (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!"))) > n * max_shouts)
     links = F.regexp_count(line, F.lit("[|\u2022\u00bb]"))
-    navigation = ((links >= 2) & (links * 4 >= n)) | ((n <= 3) & F.trim(small).isin(*LABELS))
+    titles = F.rlike(line, F.lit("^\\s*+(?:[\\p{Lu}\\p{Lt}]\\S*+\\s*+){2,12}$")) & ~F.rlike(line, F.lit("[.!?\u2026:;,\"]"))
+    navigation = ((links >= 2) & (links * 4 >= n)) | ((n <= 3) & F.trim(small).isin(*LABELS)) | titles
     boilerplate = reduce(Column.__or__, (F.contains(small, F.lit(p)) for p in BOILERPLATE))
     shouting = (n >= 5) & F.rlike(line, F.lit("^\\P{Ll}*+$")) & F.rlike(line, F.lit("\\p{Lu}"))
     dull = (n >= 10) & (F.size(F.array_distinct(words)) < n * min_distinct)
@@ -60,7 +66,8 @@ def judge(
     """row (struct of the input's columns), cleaned (text of the lines that stay) and the figures of each row.
 
     Figures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost (share of the
-    word characters in failed lines, 0 for no words), base_failed, kept.
+    word characters in failed lines, 0 for no words), base_failed, kept. One row per input row, also for
+    rows that repeat; an empty table gives an empty one; the input's columns may have any names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     at = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))

@@ -119,6 +119,35 @@ def test_quality_figures(make, rows):
         assert x.base_failed == (expected[0] < 10 or 100 * expected[4] > 20 * expected[0]) and not (x.base_failed and x.kept)
 
 
+def line_ok(line):
+    words = WORD.findall(line)
+    n, small = len(words), line.lower()
+    links = sum(c in "|\u2022\u00bb" for c in line)
+    bad = len(re.findall(r"[#*$%&|<>]", line)) > 0.5 * n or len(line) - len(line.replace("!!", "!")) > 0.3 * n
+    bad |= links >= 2 and links * 4 >= n or n <= 3 and small.strip(" ") in quality_rules.LABELS
+    bad |= 2 <= n <= 12 and all(w[0].isupper() for w in words) and not re.search('[.!?\u2026:;,"]', line)
+    bad |= any(p in small for p in quality_rules.BOILERPLATE)
+    bad |= n >= 5 and any(c.isupper() for c in line) and not any(c.islower() for c in line)
+    bad |= n >= 10 and len(set(words)) < 0.2 * n
+    return not n or not bad
+
+
+def test_quality_verdicts_against_brute_force(make, rows):
+    r = random.Random(14)
+    junk = ["BUY!! NOW!! HERE!!", "Home | About | News", "Privacy Policy applies to all.", "Alle Rechte vorbehalten.", "ALL CAPS LINE OF SIX WORDS", "## ** $$ %% a", "Startseite", "About Us Contact News", "la " * 12, "", "  ", "a b c", "É Ü ß É Ü"]
+    texts = ["\n".join(r.choice(junk) if r.random() < 0.5 else prose(r, r.randint(3, 14)) + "." for _ in range(r.randint(1, 8))) for _ in range(150)]
+    docs = [*rows, *enumerate(texts, 1000)]
+    found = {(x.row.doc_id, x.row.text): x for x in quality_rules.judge(make(docs)).collect()}
+    for i, t in docs:
+        stay = [x for x in (t or "").split("\n") if line_ok(x)]
+        chars = lambda s: sum(map(len, WORD.findall(s)))
+        lost = 1 - chars("\n".join(stay)) / chars(t) if chars(t or "") else 0.0
+        x = found[i, t]
+        assert x.cleaned == "\n".join(stay) and x.lost == pytest.approx(lost, abs=1e-12), (i, t)
+        assert x.kept == (not x.base_failed and lost <= 0.5 + 1e-12)
+    assert {x.kept for x in found.values()} == {True, False}
+
+
 def test_quality_lines(make):
     good = "The quick brown fox jumps over the lazy dog and then it sleeps well."
     junk = "BUY!! NOW!! BEST!! PRICE!! EVER!! HERE!!"
