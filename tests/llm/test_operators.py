@@ -292,13 +292,52 @@ def test_bpe_equals_the_library(make, rows):
     assert {x.decoded for x in again.collect()} <= {d for _, d in found}
 
 
-def test_automaton_of_every_merge():
-    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
-        spec = json.load(f)
-    encoder = bpe.WordEncoder(spec)
-    for a, b in spec["model"]["merges"][:500]:
-        u, v = spec["model"]["vocab"][a], spec["model"]["vocab"][b]
-        assert not encoder.automaton.arc(u, v)
+def test_bpe_on_every_code_point(make):
+    """All assigned and unassigned code points but surrogates, 64 to a text, alone and inside words."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 or 0x1E000 <= c < 0x1FC00)]
+    texts = ["".join(points[k : k + 64]) for k in range(0, len(points), 64)] + [" ".join(f"a{c}b" for c in points[k : k + 64]) for k in range(0, 13312, 64)]
+    found = {x.doc_id: x.ids for x in bpe.encode(make(list(enumerate(texts))), path, full=True).collect()}
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    assert all(found[k] == e.ids for k, e in enumerate(expected))
+
+
+def test_bpe_of_empty_tables_and_other_files(make, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe.encode(make([]), path).collect() == []
+    with pytest.raises(ValueError, match="tokenizer file"):
+        bpe._encoder(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+
+
+def test_compiled_rows_are_the_gadgets():
+    r = random.Random(21)
+    for _ in range(60):
+        symbols, merges = list("abc"), []
+        known = list(symbols)
+        while len(merges) < 8:
+            u, v = r.choice(known), r.choice(known)
+            if u + v not in known:
+                merges.append((u, v))
+                known.append(u + v)
+        pieces = {p: i for i, p in enumerate(known)}
+        machine = bpe.MergeAutomaton(pieces, merges, "")
+        for _ in range(40):
+            word = "".join(r.choice("abc") for _ in range(r.randint(1, 12)))
+            tokens = list(word)
+            for u, v in merges:
+                out = []
+                for x in tokens:
+                    if out and out[-1] == u and x == v:
+                        out[-1] = u + v
+                    else:
+                        out.append(x)
+                tokens = out
+            assert [known[i] for i in machine.encode(word)] == tokens, (merges, word)
+            for a, b in itertools.pairwise(tokens):
+                assert machine.arc(pieces[a], pieces[b])
+        for u, v in merges:
+            assert not machine.arc(pieces[u], pieces[v])
 
 
 def test_lm_base_score(make, rows):
