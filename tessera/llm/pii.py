@@ -1,9 +1,9 @@
 """Personal data with a skip-chain conditional random field.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. Every match and
-every weaker mention (a long number, an obfuscated address, the bare local part of a found
-address) is a node. Neighbouring nodes share a chain potential; a node and the previous one
-with the same or a similar key (digits, last seven digits, letters) share a skip potential,
+every weaker mention (a long number, an address written around, the name of a found address with
+other marks between its parts) is a node. Neighbouring nodes share a chain potential; a node and the previous one
+with the same or a similar key (digits, last seven digits, name or its parts) share a skip potential,
 however far apart, and so do a mention and the first base match with its key, so that evidence
 does not fade from repeat to repeat. Loopy belief propagation makes the labels of a document consistent, so a
 mention that repeats a found entity in another form is found too. Base spans always stay.
@@ -11,7 +11,9 @@ mention that repeats a found entity in another form is found too. Base spans alw
 The weights are fitted by pseudo-likelihood on the base labels of the whole corpus. A node
 enters as its discrete pattern, so the counts of all patterns are a small table whatever the
 size of the corpus. Mentions with a skip link to a found entity are left out of the fit, as
-their label is what the model is for.
+their label is what the model is for. In their place, found entities with a link to another one
+enter once more with their form masked: what made the pattern find them (the plus, the at sign,
+the dots, the check digit) is hidden, so that the link has to tell the label, as for a mention.
 
 Null and empty texts have no spans. Time and memory are linear in a text's length and nodes.
 """
@@ -42,7 +44,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?<![0-9])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
-_AT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,8}", re.I)
+_AT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++", re.I)
+_AT_DOT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{2,}+\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++", re.I)
+_IP_AROUND = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[\[(](?:\.|dot)[\])][0-9]{1,3}){3}(?![0-9])", re.I)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_BETWEEN = frozenset(" ._-")
 _CUES = (re.compile(r"mail|contact", re.I), re.compile(r"\bip\b|host|addr|server", re.I), re.compile(r"card|visa|iban|account", re.I), re.compile(r"tel|phone|call|fax|mobil", re.I))
 _DIGITS = re.compile("[0-9]")
 
@@ -82,18 +88,48 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [emails, ips, cards, phones]
 
 
+def _named(text: str, names: set[str]) -> list[tuple[int, int]]:
+    """Where the local part of a found address stands, as it is or with other marks between its parts."""
+    plain = {n for n in names if len(n) >= 5}
+    parts = {"".join(p).lower(): len(p) for n in names if len(p := _PART.findall(n)) >= 2 and sum(map(len, p)) >= 5}
+    if not plain and not parts:
+        return []
+    out = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]{5,}+", text) if m[0] in plain]
+    longest, near = max(parts.values(), default=0), []  # the parts that stand one mark apart, at most as many as a name has
+    for m in _PART.finditer(text) if parts else ():
+        if near and not (m.start() - near[-1][1] == 1 and text[near[-1][1]] in _BETWEEN):
+            near = []
+        near = [*near, (m.start(), m.end(), m[0].lower())][-longest:]
+        joined = ""
+        for k in range(len(near) - 1, -1, -1):
+            joined = near[k][2] + joined
+            if parts.get(joined) == len(near) - k:
+                out.append((near[k][0], m.end()))
+    return out
+
+
+def _keys(word: str) -> list[str]:
+    """What makes two nodes alike: for numbers all digits and the last seven, for names the word, the name and its parts."""
+    digits = "".join(_DIGITS.findall(word))
+    numbers = re.split(r"[.\[\]()]+|dot", word, flags=re.I)
+    if len(numbers) == 4 and all(n.isdigit() for n in numbers):
+        return [f"={'.'.join(numbers)}"]
+    if len(digits) >= 7 and "." not in word and "@" not in word and not re.search("[A-Za-z]", word):
+        return [f"={digits}", f"~{digits[-7:]}"]
+    name = re.split(r"@|\x20?[\[(]at[\])]|\x20at\x20", word.lower())[0].strip()
+    return [f"={word.lower()}", f"@{name}", f"#{''.join(_PART.findall(name))}"]
+
+
 class Nodes:
     """The nodes of one text in order: spans, base labels (-1 for a mention), feature codes, chain and skip links."""
 
     def __init__(self, text: str, base: list[list[tuple[int, int]]]):
         found = [(a, b, k + 1) for k, spans in enumerate(base) for a, b in spans]
         taken = sorted((a, b) for a, b, _ in found)
-        mentions = [m.span() for p in (_NUMBER, _AT) for m in p.finditer(text)]
-        names = {text[a : text.index("@", a)] for a, _ in base[0]}
-        names = sorted({n for n in names if len(n) >= 5}, key=len, reverse=True)
-        if names:
-            known = set(names)
-            mentions += [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]{5,}", text) if m[0] in known]
+        mentions = [m.span() for p in (_NUMBER, _AT, _IP_AROUND) for m in p.finditer(text)]
+        if " dot " in text.lower():
+            mentions += [m.span() for m in _AT_DOT.finditer(text)]
+        mentions += _named(text, {text[a : text.index("@", a)] for a, _ in base[0]})
         last = -1
         free, k, reach = [], 0, -1
         for a, b in sorted(mentions):
@@ -112,10 +148,7 @@ class Nodes:
         first: dict[str, int] = {}  # the first base match with a key
         keys_of = []
         for i, (a, b, _) in enumerate(self.spans):
-            word = text[a:b]
-            digits = "".join(_DIGITS.findall(word))
-            letters = re.split(r"@|[\[(]at[\])]", word.lower())[0].strip()
-            keys = [f"={digits}", f"~{digits[-7:]}"] if len(digits) >= 7 and "." not in word else [f"={word.lower()}", f"@{letters}"]
+            keys = _keys(text[a:b])
             for j in {seen[k] for k in keys if k in seen}:
                 self.skips.append((j, i))
             keys_of.append(keys)
@@ -164,6 +197,8 @@ class Weights:
         if not rows:
             return self
         code, y, before, after, far, count = (np.array(c) for c in zip(*rows, strict=True))
+        for k in np.unique(y[(far > 0) & (far == y)]):  # linked entities of a kind tell its weight, which needs no prior then
+            self.skip[k, k] = 0.0
         x, weight, goal = _one_hot(code), count / count.sum(), np.eye(len(LABELS))[y]
         start = [w.copy() for w in (self.node, self.chain, self.skip)]
         eye = np.eye(len(LABELS) + 1)
@@ -224,24 +259,40 @@ class Weights:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def _masked(code: int) -> int:
+    """The code without what only the form of a base match shows: a plus, an at sign, three dots, a check digit."""
+    values = []
+    for size in reversed(SIZES):
+        values.append(code % size)
+        code //= size
+    digits, _, _, _, _, cue = reversed(values)
+    for v, size in zip((digits, 0, 0, 0, 0, cue), SIZES, strict=True):
+        code = code * size + v
+    return code
+
+
 def _patterns(nodes: Nodes) -> Counter:
-    far = {}
+    """Counts of (code, label, label before, label after, label at the skip link); of several links one to a found entity counts."""
+    far: dict[int, int] = {}
+    label = [max(k, 0) for k in nodes.label]
     for j, i in nodes.skips:
-        far[i], far[j] = j, far.get(j, i)
+        far[i] = max(far.get(i, 0), label[j])
+        far[j] = max(far.get(j, 0), label[i])
     out: Counter = Counter()
-    label = [max(k, 0) for k in nodes.label]
     for i, k in enumerate(nodes.label):
-        linked = i in far and nodes.label[far[i]] > 0
+        linked = far.get(i, 0) > 0
         if k < 0 and linked:
             continue
         after = label[i + 1] if i + 1 < len(label) and nodes.prev[i + 1] == i else -1
         before = label[i - 1] if nodes.prev[i] >= 0 else -1
-        out[nodes.code[i], label[i], before, after, label[far[i]] if i in far else -1] += 1
+        out[nodes.code[i], label[i], before, after, far.get(i, -1)] += 1
+        if k > 0 and linked:
+            out[_masked(nodes.code[i]), label[i], before, after, far[i]] += 1
     return out
 
 
 #: Only these texts can hold a node; others reach Python as null.
-_WORTH = "[0-9@]|(?i:[\\[(]at[\\])])"
+_WORTH = "[0-9@]|(?i:[\\[(]at[\\])]| dot )"
 
 
 def fit(docs: DataFrame) -> Weights:
@@ -279,7 +330,10 @@ def _written(spans: list[list[tuple[int, int]]]) -> str:
 
 
 def scan(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; one row per input row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; one row per input row, also for rows that repeat.
+
+    An empty table gives an empty one. Only doc_id and text are read, so other columns cannot clash.
+    """
     model = docs.sparkSession.sparkContext.broadcast(weights or fit(docs))
 
     def run(batches):

@@ -266,6 +266,46 @@ def test_pii_base_and_skip_chain(make):
     assert pii.scan(make([])).collect() == []
 
 
+def test_pii_weights_of_links_are_learned(make):
+    """Found entities that repeat teach the link, and with it mentions in other forms are found, others left alone."""
+    r = random.Random(31)
+    number = lambda: f"{r.randint(100, 999)} {r.randint(1000000, 9999999)}"
+    docs = [(k, f"call +49 {(n := number())} or +49 {n} at once") for k in range(60)]
+    docs += [(100 + k, f"order {r.randint(10**15, 10**16 - 1)} of a set {r.randint(10**15, 10**16 - 1)}") for k in range(60)]
+    docs += [(300 + k, f"write jane.roe{k}@mail.example.org and jane.roe{k}@mail.example.org") for k in range(40)]
+    docs += [(200, "call +49 170 1234567, later 0170 1234567; order 9807915762804490"), (201, "9807915762804490 and 9807915762804490"), (202, "jane.roe@mail.example.org, that is Jane Roe or jane_roe, not Janet Roe"), (203, "host 10.1.2.3 once, 10[.]1[.]2[.]3 again"), (204, "jane.roe@mail.example.org, jane.roe at mail dot example dot org")]
+    weights = pii.fit(make(docs))
+    phone, mail = pii.LABELS.index("phone"), pii.LABELS.index("email")
+    assert weights.skip[phone, phone] > max(0, weights.skip[0, phone]) and weights.skip[mail, mail] > max(0, weights.skip[0, mail])
+    found = {x.doc_id: x for x in pii.scan(make(docs), weights).collect()}
+    assert found[200].spans == "phone:5:20,phone:28:40" and found[201].spans == ""
+    assert [found[k].n_added for k in (202, 203, 204)] == [2, 1, 1]
+    assert all(found[k].n_added == 0 for k in range(160) if k in found)
+
+
+def test_marginals_equal_enumeration():
+    """Belief propagation against the sum over all labelings, on chains and trees of links (exact there)."""
+    r = np.random.RandomState(3)
+    for case in range(20):
+        w = pii.Weights()
+        w.node, w.chain, w.skip = r.normal(size=w.node.shape), r.normal(size=w.chain.shape), r.normal(size=w.skip.shape)
+        w.chain[:-1], w.skip[:-1] = (x[:-1] + x[:-1].T for x in (w.chain, w.skip))
+        nodes = object.__new__(pii.Nodes)
+        n = 5
+        nodes.code = r.randint(0, int(np.prod(pii.SIZES)), n).tolist()
+        nodes.label = [int(r.randint(1, 5)) if r.rand() < 0.2 else -1 for _ in range(n)]
+        nodes.prev = [-1, 0, 1, -1, 3] if case % 2 else [-1, 0, -1, 2, -1]
+        nodes.skips = [(1, 3)] if case % 2 else [(0, 4), (1, 3)]
+        own = pii._one_hot(np.array(nodes.code)) @ w.node
+        total = np.zeros((n, 5))
+        for y in itertools.product(range(5), repeat=n):
+            if any(k >= 0 and k != a for k, a in zip(nodes.label, y, strict=True)):
+                continue
+            score = sum(own[i, a] for i, a in enumerate(y)) + sum(w.chain[y[nodes.prev[i]], y[i]] for i in range(n) if nodes.prev[i] >= 0) + sum(w.skip[y[j], y[i]] for j, i in nodes.skips)
+            total[range(n), y] += np.exp(score)
+        assert w.infer(nodes) == pytest.approx(total / total.sum(axis=1, keepdims=True), abs=2e-3)
+
+
 def test_pii_finds_every_repeat(make):
     call, mail, gap = "call +49 170 1234567 today ", "write to jane.roe@mail.example.org ", "and so on " * 40
     texts = [call + (gap + "again 0170 1234567 please ") * 50, (gap + "again 0170 1234567 please ") * 50 + call, mail + (gap + "ask jane.roe there ") * 50]
