@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 16 bytes cuts every text where five of its bits are zero,
 about every 32 bytes, so an insertion moves no cut further than 16 bytes from it. Chunks are
-deduplicated by digest: the first document (by doc_id, then place) keeps a chunk, other
+deduplicated by 128-bit digest: the first document (by doc_id, then place) keeps a chunk, other
 occurrences are marked, and runs of marked chunks of `least` bytes or more are removed.
 
 Digests travel packed, one sorted block per task and bucket. Of a digest's occurrences in a
@@ -25,6 +25,8 @@ WINDOW = 16
 BLOCK_BYTES = 4 << 20
 #: Marked chunks that ride together under one random bucket.
 PIECE = 512
+#: Text to a bucket of digests.
+BUCKET_BYTES = 8 << 20
 _GEAR = np.random.RandomState(64).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -54,12 +56,12 @@ def cuts(data: np.ndarray, at: np.ndarray, bits: int = 5, longest: int = 512) ->
     return start, end, row
 
 
-_PACKED = "bucket int, n int, keys binary, ids binary, rks binary, starts binary, sizes binary"
+_PACKED = "bucket int, n int, keys binary, more binary, ids binary, rks binary, starts binary, sizes binary"
 
 
 def _mapper(buckets: int):
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         salt = 0
         for batch in batches:
             ids, rks = batch.column("id").to_numpy(), batch.column("rk").to_numpy()
@@ -68,11 +70,11 @@ def _mapper(buckets: int):
                 if not len(start):
                     continue
                 raw = data.tobytes()
-                key = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+                key, more = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.uint64).reshape(-1, 2).T.copy()
                 owner, rk, begin, size = ids[i + row], rks[i + row], (start - at[row]).astype(np.uint32), (end - start).astype(np.uint16)
-                order = np.lexsort((begin, rk, owner, key))
+                order = np.lexsort((begin, rk, owner, more, key))
                 first = np.ones(len(order), bool)
-                first[1:] = key[order][1:] != key[order][:-1]
+                first[1:] = (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])
                 for chosen, spread in ((order[first], blocks.bucket_of(key[order[first]], buckets)), (order[~first], None)):
                     if spread is None:  # marked at once: pieces under random buckets
                         salt = (salt * 31 + int(key[0] % np.uint64(65521)) + 7) % buckets
@@ -81,7 +83,7 @@ def _mapper(buckets: int):
                     rows = []
                     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                         k = chosen[lo:hi]
-                        rows.append((int(spread[lo]), hi - lo, key[k].tobytes(), blocks.narrow(owner[k]), rk[k].tobytes(), begin[k].tobytes(), size[k].tobytes()))
+                        rows.append((int(spread[lo]), hi - lo, *((key[k].tobytes(), more[k].tobytes()) if spread[lo] < buckets else (b"", b"")), blocks.narrow(owner[k]), rk[k].tobytes(), begin[k].tobytes(), size[k].tobytes()))
                     if rows:
                         cols = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=[f.split()[0] for f in _PACKED.split(", ")])
@@ -94,11 +96,12 @@ def _marked(buckets: int):
         n = table["n"].to_pylist()
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
         owner = np.concatenate([blocks.wide(x.as_py(), k) for x, k in zip(table["ids"], n, strict=True)])
-        key, rk, begin, size = join("keys", np.uint64), join("rks", np.int64), join("starts", np.uint32), join("sizes", np.uint16)
+        rk, begin, size = join("rks", np.int64), join("starts", np.uint32), join("sizes", np.uint16)
         if table["bucket"][0].as_py() < buckets:
-            order = np.lexsort((begin, rk, owner, key))
+            key, more = join("keys", np.uint64), join("more", np.uint64)
+            order = np.lexsort((begin, rk, owner, more, key))
             again = np.zeros(len(order), bool)
-            again[1:] = key[order][1:] == key[order][:-1]
+            again[1:] = (key[order][1:] == key[order][:-1]) & (more[order][1:] == more[order][:-1])
             some = order[again]
             owner, rk, begin, size = owner[some], rk[some], begin[some], size[some]
         return pa.table({"id": pa.array(owner), "rk": pa.array(rk), "at": pa.array(begin.astype(np.int32)), "size": pa.array(size.astype(np.int32))})
@@ -108,7 +111,7 @@ def _marked(buckets: int):
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """id, rk, at, size of every chunk of (id, rk, text) that an earlier document or place has."""
-    buckets = 4 * blocks.partitions(rows.sparkSession)
+    buckets = 1 + blocks.text_bytes(rows) // BUCKET_BYTES
     packed = rows.select("id", "rk", "text").mapInArrow(_mapper(buckets), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_marked(buckets), "id long, rk long, at int, size int")
 
@@ -116,7 +119,8 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, least: int = 100, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept, the bytes), one row per input row.
 
-    Null and empty texts have no chunks. Rows alike in doc_id and text are answered alike: both
+    Null and empty texts have no chunks, an empty table gives an empty one, a very long text is one
+    row of a task like any other. Only doc_id and text are read, so other columns cannot clash. Rows alike in doc_id and text are answered alike: both
     are measured against other documents, not against each other.
     """
     rows = cutting.numbered(docs)
