@@ -34,6 +34,8 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 3_000_000
 #: Rows of a block that asks for keys below the filter: 2 to this power.
 _BLOCK_ROWS = 11
+#: Text to a bucket of counts.
+BUCKET_BYTES = 8 << 20
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> Column:
@@ -270,17 +272,19 @@ def _answered(texts: DataFrame, counted: DataFrame, shared, least: int) -> DataF
 def score(docs: DataFrame, bits_per_entry: int = 8, filter_bits: int = 1 << 31, head_words: int = 400_000, prior: float = 8.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row.
 
-    A null or empty text has one token, its end. With no training text every count is 0.
+    A null or empty text has one token, its end. With no training text every count is 0; an empty
+    table gives an empty one, rows that repeat are counted each. A long text is read a chunk of
+    rows at a time, itself whole. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     at = blocks.corpus(docs)
-    buckets = 4 * blocks.partitions(spark)
+    buckets = 1 + blocks.text_bytes(at) // BUCKET_BYTES
     counted = blocks.checkpoint(_counted(at.filter(~held_out()), buckets, bits_per_entry))
     table = _word_counts(counted)
     total = counted.filter("least = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     distinct, tokens = int(total[0]), int(total[1])
     levels = {r["least"]: r["entries"] for r in counted.filter("least > 0").groupBy("least").agg(F.sum("entries").alias("entries")).collect()}
-    least = next((q for q in sorted(levels) if levels[q] * bits_per_entry <= filter_bits), max(levels, default=1))
+    least = next((q for q in sorted(levels) if levels[q] * bits_per_entry <= filter_bits), max(levels, default=0) + 1)  # beyond the last: nothing fits, all is looked up
     parts = {r["bucket"]: (64 + r["entries"] * bits_per_entry, bytes(r["bits"])) for r in counted.filter(F.col("least") == least).select("bucket", "entries", "bits").toLocalIterator()}
     # the least power of two that at most head_words words reach
     reach = table.select(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(48))).first()
