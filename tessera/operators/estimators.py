@@ -21,22 +21,23 @@ FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma")
 MACROS = ("dp_ratio", "term_spread", "real_short_rate", "default_spread", "indpro_growth", "volatility")
 
 
-def returns_window(stock: DataFrame, forms: DataFrame, months: int = 60, least_share: float = 0.8, top: int = 500, ret: str = "ret_adjusted") -> DataFrame:
+def returns_window(stock: DataFrame, forms: DataFrame, months: int = 60, least_share: float = 0.8, top: int = 500, ret: str = "ret_adjusted", ranked: bool = False) -> DataFrame:
     """form_month, month, permno, r, imputed: trailing returns of the entities chosen at each formation month.
 
     Entities need `least_share` of the window's returns; of these the `top` largest by market cap
     in the formation month (a missing cap counts as 0; without 50 caps all stay). Gaps get the
-    entity's mean; months in which no entity has a return are dropped.
+    entity's mean; months in which no entity has a return are dropped. With `ranked` also rank by
+    market cap (0 where all stay), so that smaller choices can be cut from one window.
     """
     long = j.trailing_window(stock.filter(F.col(ret).isNotNull()).select("permno", "month", F.col(ret).alias("r")), forms, months)
-    counted = long.groupBy("form_month", "permno").agg(F.count("r").alias("n"), F.avg("r").alias("mean")).filter(F.col("n") >= math.ceil(months * least_share))
+    packed = long.groupBy("form_month", "permno").agg(F.avg("r").alias("mean"), F.map_from_entries(F.collect_list(F.struct("month", "r"))).alias("rs")).filter(F.size("rs") >= math.ceil(months * least_share))
     caps = stock.select(F.col("month").alias("form_month"), "permno", "market_cap")
-    at = counted.join(caps, ["form_month", "permno"], "left").withColumn("_caps", F.count("market_cap").over(Window.partitionBy("form_month")))
+    at = packed.join(caps, ["form_month", "permno"], "left").withColumn("_caps", F.count("market_cap").over(Window.partitionBy("form_month")))
     rank = F.row_number().over(Window.partitionBy("form_month").orderBy(F.coalesce("market_cap", F.lit(0.0)).desc(), "permno"))
-    chosen = at.withColumn("_rank", rank).filter((F.col("_rank") <= top) | (F.col("_caps") < 50)).select("form_month", "permno", "mean")
-    live = long.join(chosen.select("form_month", "permno"), ["form_month", "permno"], "left_semi").select("form_month", "month").distinct()
-    grid = chosen.join(live, "form_month")
-    return grid.join(long, ["form_month", "permno", "month"], "left").select("form_month", "month", "permno", F.coalesce("r", "mean").alias("r"), F.col("r").isNull().alias("imputed"))
+    chosen = at.withColumn("rank", rank).filter((F.col("rank") <= top) | (F.col("_caps") < 50)).select("form_month", "permno", "mean", "rs", F.when(F.col("_caps") < 50, 0).otherwise(F.col("rank")).alias("rank"))
+    live = chosen.select("form_month", F.explode(F.map_keys("rs")).alias("month")).distinct()
+    r = F.try_element_at("rs", F.col("month"))
+    return chosen.join(live, "form_month").select("form_month", "month", "permno", F.coalesce(r, "mean").alias("r"), r.isNull().alias("imputed"), *(["rank"] if ranked else []))
 
 
 def rolling_betas(stock: DataFrame, factors: DataFrame, months: int = 60, least: int = 48, names: Sequence[str] = FACTORS, y: str = "excess") -> DataFrame:
@@ -64,26 +65,22 @@ def rolling_betas(stock: DataFrame, factors: DataFrame, months: int = 60, least:
 
     @F.pandas_udf("betas array<double>, idio_var double, r2 double")
     def solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"betas": [None] * len(n), "idio_var": np.nan, "r2": np.nan})
+        betas, idio, fit = np.empty(len(n), object), np.full(len(n), np.nan), np.full(len(n), np.nan)
         use = np.flatnonzero(n.to_numpy() >= least)
         if len(use):
-            tri = np.stack(xx.to_numpy()[use])
-            rhs = np.stack(xy.to_numpy()[use])
             m = np.zeros((len(use), k, k))
             a, b = np.triu_indices(k)
-            m[:, a, b] = m[:, b, a] = tri
+            m[:, a, b] = m[:, b, a] = np.stack(xx.to_numpy()[use])
             good = np.linalg.cond(m) < 1e14
-            beta = np.full((len(use), k), np.nan)
-            beta[good] = np.linalg.solve(m[good], rhs[good][:, :, None])[:, :, 0]
+            use, rhs = use[good], np.stack(xy.to_numpy()[use])[good]
+            beta = np.linalg.solve(m[good], rhs[:, :, None])[:, :, 0]
             y2, count = yy.to_numpy()[use], n.to_numpy()[use]
             sse = np.maximum(y2 - (beta * rhs).sum(axis=1), 0)
             sst = y2 - rhs[:, 0] ** 2 / count
-            for i, row in enumerate(use):
-                if good[i]:
-                    out.at[row, "betas"] = beta[i].tolist()
-                    out.at[row, "idio_var"] = sse[i] / (count[i] - k)
-                    out.at[row, "r2"] = 1 - sse[i] / sst[i] if sst[i] > 0 else np.nan
-        return out
+            betas[use] = list(beta)
+            idio[use] = sse / (count - k)
+            fit[use] = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), np.nan)
+        return pd.DataFrame({"betas": betas, "idio_var": idio, "r2": fit})
 
     fitted = sums.withColumn("fit", solve("n_obs", "xx", "xy", "yy"))
     return fitted.select(*stock.columns, "n_obs", "fit.betas", F.nanvl("fit.idio_var", F.lit(None).cast("double")).alias("idio_var"), F.nanvl("fit.r2", F.lit(None).cast("double")).alias("r2"))

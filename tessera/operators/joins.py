@@ -31,6 +31,12 @@ def link_join(figures: DataFrame, links: DataFrame, valid_dates: bool = True, pr
     return out.drop("linkdt", "linkenddt")
 
 
+def link_join_by_year(figures: DataFrame, links: DataFrame, stock: DataFrame, year: str = "fyear", primary: tuple[str, ...] = ("P", "C")) -> DataFrame:
+    """figures of each linked permno beside all its stock rows of the same calendar year, whatever the link's dates."""
+    linked = link_join(figures, links, False, primary).distinct()
+    return linked.join(stock.withColumn(year, F.year("month")), ["permno", year])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, entity: str = "permno", at: str = "month", from_: str = "available", max_age: int | None = None, order: str | None = None) -> DataFrame:
     """Each left row with the entity's latest right row of from_ <= at, or NULLs.
 
@@ -83,9 +89,11 @@ def splice(first: DataFrame, second: DataFrame, value: str, least_overlap: int =
 def trailing_window(panel: DataFrame, forms: DataFrame, months: int, month: str = "month") -> DataFrame:
     """Every panel row once for each formation month whose last `months` months hold it.
 
-    A row only yields the formation months it belongs to, at most `months` of them.
+    A short list of formation months (up to SERIES_ROWS) picks a row's months before it is multiplied.
     """
-    ahead = F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda k: F.add_months(F.col(month), k))).alias("form_month")
-    return panel.select("*", ahead).join(F.broadcast(forms.select("form_month")) if forms.count() <= SERIES_ROWS else forms.select("form_month"), "form_month", "left_semi")
-
-
+    known = [r[0] for r in forms.select("form_month").distinct().limit(SERIES_ROWS + 1).collect()]
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda k: F.add_months(F.col(month), k))
+    if len(known) <= SERIES_ROWS:
+        wanted = F.array(*(F.lit(d) for d in sorted(known))).cast("array<date>")
+        return panel.select("*", F.explode(F.array_intersect(ahead, wanted)).alias("form_month"))
+    return panel.select("*", F.explode(ahead).alias("form_month")).join(forms.select("form_month"), "form_month", "left_semi")

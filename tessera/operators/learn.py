@@ -17,6 +17,10 @@ from tessera.operators import aggregates as a
 from tessera.operators import windows as w
 
 
+#: Training rows up to which medians are exact.
+EXACT_ROWS = 1_000_000
+
+
 def splits(first_test: int, last_test: int, start: int, validation_years: int = 5) -> list[dict]:
     """Per test year the bounds (years, inclusive) of tuning, validation, training and test windows."""
     return [
@@ -66,9 +70,10 @@ class FeatureBuilder:
     def fit(self, train: DataFrame) -> FeatureBuilder:
         self.kept = a.dense_columns(train, list(self.characteristics), self.most_missing)
         at = train.withColumn("_ind", c.industry(self.industry))
-        overall = a.medians(at, self.kept).first()
+        exact = at.count() <= EXACT_ROWS  # beyond, a column's values do not meet in one task
+        overall = a.medians(at, self.kept, exact=exact).first()
         self.overall = {n: overall[n] if overall[n] is not None else 0.0 for n in self.kept}
-        self.grouped = a.medians(at, self.kept, "_ind", self.least) if self.by_industry else None
+        self.grouped = a.medians(at, self.kept, "_ind", self.least, exact=exact) if self.by_industry else None
         self.industries = [r[0] for r in at.select("_ind").distinct().orderBy("_ind").collect()]
         state = train.select("month", *self.macros).distinct()
         self.scale = {r["name"]: (r["mean"] or 0.0, r["std"]) for r in a.scaler(state, list(self.macros)).collect()} if self.macros else {}
@@ -264,11 +269,12 @@ def forest_report(model: RandomForestRegressionModel, names: Sequence[str], spar
     return importance, spark.createDataFrame([row], "mean_depth double, min_depth int, max_depth int, std_depth double, at_ceiling double, overfit boolean")
 
 
-def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Sequence[float], ratios: Sequence[float], k: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Forecasts of every test year and the validation surfaces (reest_year first): tuned on the validation
-    window, refitted on all years before the test. `builder` makes a fresh FeatureBuilder.
+def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Sequence[float], ratios: Sequence[float], k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forecasts of every test year, the validation surfaces and the chosen parameters (reest_year first): tuned
+    on the validation window, refitted on all years before the test. `builder` makes a fresh FeatureBuilder.
     """
     forecasts = surfaces = None
+    chosen = []
     for s in plan:
         tune, validation, train, test = (between(panel, s[r]) for r in ("tune", "validation", "train", "test"))
         a.assert_before(train, test)
@@ -287,4 +293,6 @@ def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Seq
         surface = surface.select(F.lit(s["test_year"]).alias("reest_year"), "*")
         forecasts = part if forecasts is None else forecasts.unionByName(part)
         surfaces = surface if surfaces is None else surfaces.unionByName(surface)
-    return forecasts, surfaces
+        chosen.append((s["test_year"], *s["train"], *s["validation"], best["alpha"], best["l1"], best["r2"], n, len(second.names), min(k, len(second.names)), int(np.count_nonzero(model.coefficients.toArray()))))
+    names = "reest_year int, train_from int, train_to int, validation_from int, validation_to int, alpha double, l1 double, validation_r2 double, n_train long, n_features int, n_components int, n_nonzero int"
+    return forecasts, surfaces, panel.sparkSession.createDataFrame(chosen, names)

@@ -29,10 +29,10 @@ def screened(stock: DataFrame, q: float = 0.35, exchange: int = 0, least_price:
     )
 
 
-def holding_months(yearly: DataFrame, first_month: int = 7) -> DataFrame:
-    """permno, month: each yearly member held for twelve months from `first_month` of its year."""
+def holding_months(yearly: DataFrame, first_month: int = 7, months: int = 12) -> DataFrame:
+    """permno, month: each yearly member held for `months` months from `first_month` of its year."""
     start = F.make_date("year", F.lit(first_month), F.lit(1))
-    return yearly.select("permno", F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.add_months(start, k))).alias("month"))
+    return yearly.select("permno", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda k: F.add_months(start, k))).alias("month"))
 
 
 def yearly_members(stock: DataFrame, cap: int = 1500, **screens) -> DataFrame:
@@ -41,9 +41,23 @@ def yearly_members(stock: DataFrame, cap: int = 1500, **screens) -> DataFrame:
     return w.top_k(passed, "market_cap", cap, "year").select("year", "permno", "market_cap")
 
 
+def seed_members(stock: DataFrame, q: float = 0.35, exchange: int = 0, least_price: float = 1.0) -> DataFrame:
+    """permno, month: January to June of the table's first year, before any June: January's rows above the
+    reference exchange's size quantile and the least price, without a history screen or a cap."""
+    first = stock.agg(F.year(F.min("month")).alias("year"))
+    january = stock.filter(F.month("month") == 1).withColumn("year", F.year("month")).join(F.broadcast(first), "year", "left_semi")
+    limits = a.group_quantile(january, "market_cap", q, "year", F.col("exchcd") == exchange).drop("n")
+    passed = january.join(F.broadcast(limits), "year").filter((F.col("market_cap") >= F.col("threshold")) & (F.col("prc") >= least_price))
+    return holding_months(passed.select("year", "permno").distinct(), 1, 6)
+
+
 def size_breakpoint_universe(stock: DataFrame, cap: int = 1500, **screens) -> DataFrame:
-    """permno, month: members from July to the next June. Screens: size quantile of the reference exchange, price, history."""
-    return holding_months(yearly_members(stock, cap, **screens))
+    """permno, month: members from July to the next June, and seed members before the first June.
+
+    Screens: size quantile of the reference exchange, price, history.
+    """
+    seed = seed_members(stock, **{k: v for k, v in screens.items() if k != "least_history"})
+    return holding_months(yearly_members(stock, cap, **screens)).unionByName(seed).distinct()
 
 
 def topn_universe(stock: DataFrame, n: int = 500) -> DataFrame:
@@ -55,30 +69,33 @@ def topn_universe(stock: DataFrame, n: int = 500) -> DataFrame:
     return holding_months(both, 1)
 
 
-def membership_turnover(yearly: DataFrame, high: float = 0.3) -> DataFrame:
-    """year, n, n_exits, turnover (exits over members of the year before), flag; for years with a year before."""
-    before = yearly.select((F.col("year") + 1).alias("year"), "permno")
-    years = yearly.select("year").distinct()
-    exits = before.join(yearly, ["year", "permno"], "left_anti").groupBy("year").agg(F.count("*").alias("n_exits"))
+def membership_turnover(yearly: DataFrame, high: float = 0.25) -> DataFrame:
+    """year, n, n_exits, turnover (exits over members of the year computed before), flag; for years with one before."""
     sizes = yearly.groupBy("year").agg(F.count("*").alias("n"))
-    prior = sizes.select((F.col("year") + 1).alias("year"), F.col("n").alias("n_before"))
-    out = years.join(sizes, "year").join(prior, "year").join(exits, "year", "left")
+    order = Window.orderBy("year")  # a row for each year
+    years = sizes.withColumns({"before": F.lag("year").over(order), "n_before": F.lag("n").over(order)}).filter("before IS NOT NULL")
+    following = years.select(F.col("before").alias("year"), F.col("year").alias("after"))
+    exits = yearly.join(following, "year").select(F.col("after").alias("year"), "permno").join(yearly, ["year", "permno"], "left_anti").groupBy("year").agg(F.count("*").alias("n_exits"))
     rate = F.coalesce("n_exits", F.lit(0)) / F.col("n_before")
-    return out.select("year", "n", F.coalesce("n_exits", F.lit(0)).cast("long").alias("n_exits"), rate.alias("turnover"), c.band(rate, high=high).alias("flag"))
+    return years.join(exits, "year", "left").select("year", "n", F.coalesce("n_exits", F.lit(0)).cast("long").alias("n_exits"), rate.alias("turnover"), c.band(rate, high=high).alias("flag"))
 
 
-def universe_funnel(stock: DataFrame, **screens) -> DataFrame:
-    """Per year: snapshot rows and how many pass size, then price, then history."""
-    at = screened(stock, **screens)
-    return a.funnel(at, {"n_size": F.col("by_size"), "n_price": F.col("by_price"), "n_history": F.col("by_history")}, "year")
+def universe_funnel(stock: DataFrame, cap: int = 1500, **screens) -> DataFrame:
+    """Per year: the threshold, snapshot rows, how many pass size, then price, then history, and how many the cap leaves."""
+    at = screened(stock, **screens).filter("threshold IS NOT NULL")
+    steps = a.funnel(at, {"n_size": F.col("by_size"), "n_price": F.col("by_price"), "n_history": F.col("by_history")}, "year")
+    limits = at.groupBy("year").agg(F.first("threshold").alias("threshold"))
+    return steps.withColumn("n_final", F.least("n_history", F.lit(cap).cast("long"))).join(limits, "year")
 
 
-def universe_summary(stock: DataFrame, universe: DataFrame) -> DataFrame:
-    """Per year: member months, members, mean, least and largest market cap."""
+def universe_summary(stock: DataFrame, universe: DataFrame, low: float = 1000, high: float = 1600) -> DataFrame:
+    """Per year: member months, members, mean, least and largest market cap, members of a mean month with their LOW / HIGH flag."""
     held = j.members_only(stock, universe).withColumn("year", F.year("month"))
-    return held.groupBy("year").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("permno").alias("n_members"), F.avg("market_cap").alias("mean_cap"), F.min("market_cap").alias("low_cap"), F.max("market_cap").alias("high_cap")
-    )
+    figures = held.groupBy("year").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("permno").alias("n_members"), F.avg("market_cap").alias("mean_cap"), F.min("market_cap").alias("low_cap"), F.max("market_cap").alias("high_cap"),
+        (F.count("*") / F.count_distinct("month")).alias("avg_members"),
+    )
+    return figures.withColumn("flag", c.band("avg_members", low, high))
 
 
 def market_characteristics(stock: DataFrame) -> DataFrame:

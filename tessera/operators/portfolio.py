@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import estimators as e
 
-#: Models by name: functions from the panel to (form_month, permno, mu) or (form_month, permno, weight).
-MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: Models by name: functions from the panel, or any holder of its tables, to (form_month, permno, mu).
+MODELS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def model(name: str):
@@ -25,7 +25,7 @@ def model(name: str):
     return add
 
 
-def forecasts(panel: DataFrame, names: Sequence[str]) -> DataFrame:
+def forecasts(panel, names: Sequence[str]) -> DataFrame:
     """model, form_month, permno, mu of the named models."""
     parts = [MODELS[n](panel).select(F.lit(n).alias("model"), "form_month", "permno", "mu") for n in names]
     out = parts[0]

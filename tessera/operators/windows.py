@@ -104,6 +104,14 @@ def spans(df: DataFrame, flag: str, order: str = "month") -> DataFrame:
     return marked.groupBy("_run", F.col(flag).alias("state")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
+def closed_spans(df: DataFrame, flag: str, order: str = "month") -> DataFrame:
+    """(start, end) of the runs of 1: to the row that ends them, or to the month end of the last row."""
+    w = Window.orderBy(order)
+    runs = spans(df, flag, order).filter("state = 1")
+    following = df.select(F.col(order).alias("last"), F.lead(order).over(w).alias("_next"))
+    return runs.join(following, "last").select(F.col("first").alias("start"), F.coalesce("_next", F.last_day("last")).alias("end"))
+
+
 def nav(ret: str = "net_return", group: str = "model", month: str = "month") -> Column:
     """Cumulative product of 1 + return."""
     return F.exp(F.sum(F.log1p(ret)).over(Window.partitionBy(group).orderBy(month)))

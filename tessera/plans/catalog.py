@@ -21,6 +21,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+#: Stand-ins of a row a month: computed once for a query.
+SERIES = ("factors", "monthly", "macro", "recession")
+
+
 class Tables:
     """The stand-in tables of one directory as attributes."""
 
@@ -37,8 +41,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in standins.VIEWS:
             raise AttributeError(name)
-        if name in self._settled:
-            return self._settled[name]
+        if name in self._settled or name in SERIES:
+            return self.settled(name)
         return standins.load(self.spark, self.sf_dir, name)
 
     @property
@@ -152,9 +156,10 @@ def _(t):
     return j.link_join(t.accounting.withColumn("available", c.available_from("datadate")), t.links).select("gvkey", "fyear", "permno", "sale")
 
 
-@query("j5_link_join_by_year", "SELECT a.gvkey, a.fyear, l.lpermno AS permno FROM accounting a JOIN links l ON a.gvkey = l.gvkey WHERE l.linkprim IN ('P', 'C')")
+@query("j5_link_join_by_year", """
+SELECT DISTINCT a.gvkey, a.fyear, l.lpermno AS permno, s.month FROM accounting a JOIN links l ON a.gvkey = l.gvkey JOIN stock s ON s.permno = l.lpermno AND year(s.month) = a.fyear WHERE l.linkprim IN ('P', 'C')""")
 def _(t):
-    return j.link_join(t.accounting, t.links, valid_dates=False).select("gvkey", "fyear", "permno")
+    return j.link_join_by_year(t.accounting.select("gvkey", "fyear"), t.links, t.stock.select("permno", "month")).select("gvkey", "fyear", "permno", "month")
 
 
 @query("j6_asof_backward", """
@@ -371,6 +376,13 @@ def _(t):
     return w.spans(t.recession, "usrec")
 
 
+@query("w16_recession_spans", """
+WITH x AS (SELECT month, usrec, lead(month) OVER (ORDER BY month) AS nx, CASE WHEN usrec IS NOT DISTINCT FROM lag(usrec) OVER (ORDER BY month) THEN 0 ELSE 1 END AS turn FROM recession), y AS (SELECT *, sum(turn) OVER (ORDER BY month) AS run FROM x)
+SELECT min(month) AS start, CASE WHEN count(nx) = count(*) THEN max(nx) ELSE last_day(max(month)) END AS "end" FROM y WHERE usrec = 1 GROUP BY run""")
+def _(t):
+    return w.closed_spans(t.recession, "usrec")
+
+
 # --- top-k, dedup, sets, reshape -----------------------------------------------------------------
 
 
@@ -396,36 +408,44 @@ _JUNE = """
 n AS (SELECT *, count(ret) OVER (PARTITION BY permno ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_prior FROM stock),
 j AS (SELECT *, year(month) AS year FROM n WHERE month(month) = 6),
 b AS (SELECT year, quantile_cont(market_cap, 0.35) AS threshold FROM j WHERE exchcd = 0 GROUP BY year),
-s AS (SELECT j.*, coalesce(market_cap >= threshold, false) AS c1, prc >= 1 AS c2, n_prior >= 24 AS c3 FROM j LEFT JOIN b USING (year)),
+s AS (SELECT j.*, threshold, coalesce(market_cap >= threshold, false) AS c1, prc >= 1 AS c2, n_prior >= 24 AS c3 FROM j LEFT JOIN b USING (year)),
 y AS (SELECT year, permno, market_cap FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY market_cap DESC, permno) AS i FROM s WHERE c1 AND c2 AND c3) WHERE i <= {cap})"""
 
 
+# before the first June: January's rows above its threshold, from January to June of the first year
+_SEED = """
+jn AS (SELECT * FROM stock WHERE month(month) = 1 AND year(month) = (SELECT min(year(month)) FROM stock)),
+seed AS (SELECT permno, CAST(month + to_months(CAST(k AS INT)) AS DATE) AS month FROM jn, (SELECT unnest(range(6)) AS k) m
+         WHERE market_cap >= (SELECT quantile_cont(market_cap, 0.35) FROM jn WHERE exchcd = 0) AND prc >= 1)"""
+
+
 @query("r1_size_breakpoint_universe", f"""
-WITH {_JUNE.format(cap=1500)} SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m""")
+WITH {_JUNE.format(cap=1500)}, {_SEED} SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m UNION SELECT permno, month FROM seed""")
 def _(t):
     return p.size_breakpoint_universe(t.stock)
 
 
 @query("r3_funnel", f"""
-WITH {_JUNE.format(cap=1500)} SELECT year, count(*) AS n_all, count(*) FILTER (c1) AS n_size, count(*) FILTER (c1 AND c2) AS n_price, count(*) FILTER (c1 AND c2 AND c3) AS n_history FROM s GROUP BY year""")
+WITH {_JUNE.format(cap=1500)} SELECT year, count(*) AS n_all, count(*) FILTER (c1) AS n_size, count(*) FILTER (c1 AND c2) AS n_price, count(*) FILTER (c1 AND c2 AND c3) AS n_history, least(count(*) FILTER (c1 AND c2 AND c3), 40) AS n_final, max(threshold) AS threshold FROM s WHERE threshold IS NOT NULL GROUP BY year""", "threshold")
 def _(t):
-    return p.universe_funnel(t.stock)
+    return p.universe_funnel(t.stock, 40)
 
 
 @query("r3_membership_turnover", f"""
 WITH {_JUNE.format(cap=50)}, n2 AS (SELECT year, count(*) AS n FROM y GROUP BY year),
 x AS (SELECT o.year + 1 AS year, count(*) AS n_exits FROM y o WHERE NOT EXISTS (SELECT 1 FROM y z WHERE z.year = o.year + 1 AND z.permno = o.permno) GROUP BY 1)
-SELECT a.year, a.n, coalesce(x.n_exits, 0) AS n_exits, coalesce(x.n_exits, 0) / b.n AS turnover, CASE WHEN coalesce(x.n_exits, 0) / b.n > 0.3 THEN 'HIGH' ELSE 'OK' END AS flag
+SELECT a.year, a.n, coalesce(x.n_exits, 0) AS n_exits, coalesce(x.n_exits, 0) / b.n AS turnover, CASE WHEN coalesce(x.n_exits, 0) / b.n > 0.25 THEN 'HIGH' ELSE 'OK' END AS flag
 FROM n2 a JOIN n2 b ON a.year = b.year + 1 LEFT JOIN x ON x.year = a.year""", "turnover")
 def _(t):
     return p.membership_turnover(p.yearly_members(t.stock, 50))
 
 
 @query("r3_universe_summary", f"""
-WITH {_JUNE.format(cap=50)}, u AS (SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m)
-SELECT year(t.month) AS year, count(*) AS n_rows, count(DISTINCT t.permno) AS n_members, avg(market_cap) AS mean_cap, min(market_cap) AS low_cap, max(market_cap) AS high_cap FROM stock t JOIN u ON t.permno = u.permno AND t.month = u.month GROUP BY 1""", "mean_cap low_cap high_cap")
+WITH {_JUNE.format(cap=50)}, {_SEED}, u AS (SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m UNION SELECT permno, month FROM seed),
+g AS (SELECT year(t.month) AS year, count(*) AS n_rows, count(DISTINCT t.permno) AS n_members, avg(market_cap) AS mean_cap, min(market_cap) AS low_cap, max(market_cap) AS high_cap, count(*) / count(DISTINCT t.month) AS avg_members FROM stock t JOIN u ON t.permno = u.permno AND t.month = u.month GROUP BY 1)
+SELECT *, CASE WHEN avg_members > 49.5 THEN 'HIGH' WHEN avg_members < 40 THEN 'LOW' ELSE 'OK' END AS flag FROM g""", "mean_cap low_cap high_cap avg_members")
 def _(t):
-    return p.universe_summary(t.stock, t.universe)
+    return p.universe_summary(t.stock, t.universe, 40, 49.5)
 
 
 _ACCOUNT = """
@@ -473,7 +493,7 @@ def _(t):
 
 
 @query("r9_s5_s6_signal_panel", f"""
-WITH {_JUNE.format(cap=50)}, u AS (SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m)
+WITH {_JUNE.format(cap=50)}, {_SEED}, u AS (SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m UNION SELECT permno, month FROM seed)
 SELECT t.permno, t.vol AS turnover_signal, t.ret AS reversal_signal, t.month FROM stock t SEMI JOIN u ON t.permno = u.permno AND t.month = u.month""", "turnover_signal reversal_signal")
 def _(t):
     wide = t.stock.select("permno", c.yyyymm().alias("YYYYMM"), F.col("vol").alias("Vol"), F.col("ret").alias("STreversal"), F.col("prc").alias("Price"))

@@ -31,8 +31,8 @@ def betas(t: Tables) -> DataFrame:
     return e.rolling_betas(excess(t).select("permno", "month", "market_cap", "excess"), factors(t), MONTHS, LEAST)
 
 
-def forms(t: Tables, first: str = "2001-01-01") -> DataFrame:
-    return t.monthly.filter(F.col("month") >= first).select(F.col("month").alias("form_month"))
+def forms(t: Tables) -> DataFrame:
+    return t.monthly.select(F.col("month").alias("form_month"))
 
 
 @query("e2_single_factor_beta", """
@@ -59,11 +59,11 @@ def _(t):
 
 @query("e3_forecast")
 def _(t):
-    return e.forecast(betas(t).filter(F.col("month") >= "2001-01-01"), e.mean_premia(t.factors, MONTHS))
+    return e.forecast(betas(t), e.mean_premia(t.factors, MONTHS))
 
 
 def conditioned(t: Tables) -> DataFrame:
-    return e.conditioning_windows(t.factors.filter("mkt_rf IS NOT NULL"), t.macro.filter("volatility IS NOT NULL"), forms(t, "1999-01-01"), MONTHS)
+    return e.conditioning_windows(t.factors.filter("mkt_rf IS NOT NULL"), t.macro.filter("volatility IS NOT NULL"), forms(t), MONTHS)
 
 
 @query("e4_ridge_premia")
@@ -77,8 +77,8 @@ def _(t):
 
 
 def bounded(t: Tables, n: int = 20) -> DataFrame:
-    """Betas of the n largest entities of each of the last formation months; the pair tables have n squared rows."""
-    return w.top_k(betas(t).filter((F.col("month") >= "2001-06-01") & F.col("betas").isNotNull()), "market_cap", n, "month").drop("top_rank")
+    """Betas of the n largest entities of each formation month; the pair tables have n squared rows, so n bounds the operator."""
+    return w.top_k(betas(t).filter(F.col("betas").isNotNull()), "market_cap", n, "month").drop("top_rank")
 
 
 @query("e8_conditional_covariance")
@@ -98,12 +98,12 @@ def _(t):
 
 _SHRINK = """
 x AS (SELECT *, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 AS ra FROM stock),
-fm AS (SELECT DISTINCT month AS form_month FROM stock WHERE month >= DATE '2001-06-01'),
+fm AS (SELECT DISTINCT month AS form_month FROM stock),
 lw AS (SELECT form_month, x.month, permno, ra AS r FROM fm JOIN x ON x.month > form_month - INTERVAL 24 MONTH AND x.month <= form_month WHERE ra IS NOT NULL),
 ct AS (SELECT form_month, permno, avg(r) AS mean FROM lw GROUP BY 1, 2 HAVING count(*) >= 20),
 cp AS (SELECT ct.*, s.market_cap, count(s.market_cap) OVER (PARTITION BY ct.form_month) AS caps FROM ct LEFT JOIN stock s ON s.permno = ct.permno AND s.month = ct.form_month),
 rk AS (SELECT *, row_number() OVER (PARTITION BY form_month ORDER BY coalesce(market_cap, 0) DESC, permno) AS i FROM cp),
-ch AS (SELECT * FROM rk WHERE i <= 30 OR caps < 50), lv AS (SELECT DISTINCT lw.form_month, lw.month FROM lw JOIN ch ON lw.form_month = ch.form_month AND lw.permno = ch.permno),
+ch AS (SELECT * FROM rk WHERE i <= 500 OR caps < 50), lv AS (SELECT DISTINCT lw.form_month, lw.month FROM lw JOIN ch ON lw.form_month = ch.form_month AND lw.permno = ch.permno),
 wd AS (SELECT ch.form_month, lv.month, ch.permno, coalesce(lw.r, ch.mean) AS r FROM ch JOIN lv ON ch.form_month = lv.form_month LEFT JOIN lw ON lw.form_month = ch.form_month AND lw.permno = ch.permno AND lw.month = lv.month),
 cx AS (SELECT *, r - avg(r) OVER (PARTITION BY form_month, permno) AS c FROM wd),
 cv AS (SELECT a.form_month, a.permno AS i, b.permno AS j, sum(a.c * b.c) AS s, count(*) AS t FROM cx a JOIN cx b ON a.form_month = b.form_month AND a.month = b.month GROUP BY 1, 2, 3),
@@ -116,13 +116,13 @@ ro AS (SELECT a.form_month, avg(a.s / sqrt(b.s * e.s)) AS rho FROM cv a JOIN cv
 WITH {_SHRINK} SELECT d.form_month, n_months, n_assets, greatest(0, least(1, least(second - mu * mu, (q.d2 / n_months - second * n_assets) / (n_assets * n_months)) / (second - mu * mu))) AS delta, rho
 FROM d JOIN q ON d.form_month = q.form_month JOIN ro ON ro.form_month = d.form_month""", "delta rho")
 def _(t):
-    return e.shrinkage(windows(t, 30, "2001-06-01", 24))
+    return e.shrinkage(windows(t))
 
 
 def solved(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    window = settled(windows(t, 30, "2001-06-01", 24))
+    window = settled(windows(t))
     shrunk = settled(e.shrinkage(window))
-    mu = settled(e.forecast(betas(t).filter(F.col("month") >= "2001-06-01"), e.mean_premia(t.factors, MONTHS)).withColumn("model", F.lit("five_factor")))
+    mu = settled(e.forecast(betas(t), e.mean_premia(t.factors, MONTHS)).withColumn("model", F.lit("five_factor")))
     return window, shrunk, mu, settled(b.mean_variance_weights(window, shrunk, mu, cap=0.1))
 
 
@@ -145,6 +145,38 @@ def _(t):
     return b.optimality_by_model(b.optimality_summary(b.optimality(window, shrunk, chosen, weights, cap=0.1)))
 
 
+# --- models as plug-ins: functions of the tables that return forecasts ----------------------------
+
+
+@b.model("trailing_mean")
+def _(t):
+    at = adjusted(t).select("permno", "month", w.rolling(F.avg, "ret_adjusted", MONTHS, LEAST, calendar=True).alias("mu"))
+    return at.filter("mu IS NOT NULL").select(F.col("month").alias("form_month"), "permno", "mu")
+
+
+@b.model("market_beta")
+def _(t):
+    at = e.rolling_betas(excess(t).select("permno", "month", "excess"), factors(t).select("month", "mkt_rf"), MONTHS, LEAST, ("mkt_rf",))
+    return e.forecast(at, e.mean_premia(t.factors, MONTHS, ("mkt_rf",)))
+
+
+@b.model("five_factor")
+def _(t):
+    return e.forecast(betas(t), e.mean_premia(t.factors, MONTHS))
+
+
+@query("b7_model_forecasts", """
+WITH x AS (SELECT s.permno, s.month, (1 + s.ret) * (1 + coalesce(s.dlret, 0)) - 1 AS ra FROM stock s),
+tm AS (SELECT permno, month, CASE WHEN count(ra) OVER o >= 24 THEN avg(ra) OVER o END AS mu FROM x WINDOW o AS (PARTITION BY permno ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW)),
+y AS (SELECT x.permno, x.month, x.ra - f.rf AS y, f.mkt_rf AS x FROM x JOIN factors f ON x.month = f.month),
+bt AS (SELECT permno, month, CASE WHEN count(CASE WHEN y IS NOT NULL AND x IS NOT NULL THEN 1 END) OVER o >= 24 THEN regr_slope(y, x) OVER o END AS beta FROM y WINDOW o AS (PARTITION BY permno ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW)),
+pr AS (SELECT month, avg(rf) OVER o AS rf, avg(mkt_rf) OVER o AS mkt FROM factors WINDOW o AS (ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW))
+SELECT 'trailing_mean' AS model, month AS form_month, permno, mu FROM tm WHERE mu IS NOT NULL
+UNION ALL SELECT 'market_beta', bt.month, permno, pr.rf + beta * pr.mkt FROM bt JOIN pr ON bt.month = pr.month WHERE beta IS NOT NULL""", "mu")
+def _(t):
+    return b.forecasts(t, ["trailing_mean", "market_beta"])
+
+
 # --- learned models ------------------------------------------------------------------------------
 
 CHARACTERISTICS, MACROS = ("reversal_st", "momentum", "illiquidity", "bm", "gp", "dlret"), ("dp_ratio", "volatility")
@@ -162,7 +194,7 @@ def builder() -> m.FeatureBuilder:
 
 def halves(t: Tables) -> tuple[m.FeatureBuilder, DataFrame, DataFrame]:
     panel = learning_panel(t)
-    train, test = m.between(panel, (1997, 1998)), m.between(panel, (1999, 1999))
+    train, test = m.between(panel, (1995, 1998)), m.between(panel, (1999, 2001))
     a.assert_before(train, test)
     fitted = builder().fit(train)
     return fitted, settled(fitted.transform(train)), settled(fitted.transform(test))
@@ -198,7 +230,12 @@ def _(t):
 
 @query("m6_m11_m15_expanding_forecasts")
 def _(t):
-    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1996, 2), (1e-3, 1e-1), (0.5,), 8)[0]
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), (1e-3, 1e-1), (0.5,), 8)[0]
+
+
+@query("m15_chosen_parameters")
+def _(t):
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), (1e-3, 1e-1), (0.5,), 8)[2]
 
 
 @query("m9_huber")

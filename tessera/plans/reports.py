@@ -14,18 +14,18 @@ from tessera.operators import windows as w
 from tessera.plans.catalog import Tables, query
 from tessera.plans.standins import settled
 
-MONTHS, TOP = 24, {"broad": 30, "large": 10}
+MONTHS, TOP = 24, {"broad": 500, "large": 10}
 
 _WINDOW = """
 x AS (SELECT *, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 AS ra FROM stock),
-fm AS (SELECT DISTINCT month AS form_month FROM stock WHERE month >= DATE '1997-06-01'),
+fm AS (SELECT DISTINCT month AS form_month FROM stock ),
 lw AS (SELECT form_month, x.month, permno, ra AS r FROM fm JOIN x ON x.month > form_month - INTERVAL 24 MONTH AND x.month <= form_month WHERE ra IS NOT NULL),
 ct AS (SELECT form_month, permno, count(*) AS n, avg(r) AS mean FROM lw GROUP BY 1, 2 HAVING count(*) >= 20),
 cp AS (SELECT ct.*, s.market_cap, count(s.market_cap) OVER (PARTITION BY ct.form_month) AS caps FROM ct LEFT JOIN stock s ON s.permno = ct.permno AND s.month = ct.form_month),
 rk AS (SELECT *, row_number() OVER (PARTITION BY form_month ORDER BY coalesce(market_cap, 0) DESC, permno) AS i FROM cp)"""
 
 _LOG = f"""{_WINDOW},
-wt AS (SELECT 'broad' AS model, form_month, permno, 1.0::DOUBLE / count(*) OVER (PARTITION BY form_month) AS weight FROM rk WHERE i <= 30 OR caps < 50
+wt AS (SELECT 'broad' AS model, form_month, permno, 1.0::DOUBLE / count(*) OVER (PARTITION BY form_month) AS weight FROM rk WHERE i <= 500 OR caps < 50
        UNION ALL SELECT 'large', form_month, permno, 1.0::DOUBLE / count(*) OVER (PARTITION BY form_month) FROM rk WHERE i <= 10 OR caps < 50),
 mo AS (SELECT model, form_month, lag(form_month) OVER (PARTITION BY model ORDER BY form_month) AS before FROM (SELECT DISTINCT model, form_month FROM wt)),
 mv AS (SELECT model, form_month, permno, sum(d) AS d FROM (SELECT model, form_month, permno, weight AS d FROM wt
@@ -51,13 +51,15 @@ def adjusted(t: Tables) -> DataFrame:
     return t.settled("stock").withColumn("ret_adjusted", c.adjusted_return())
 
 
-def windows(t: Tables, top: int, first: str = "1997-06-01", months: int = MONTHS) -> DataFrame:
-    forms = t.stock.filter(F.col("month") >= first).select(F.col("month").alias("form_month")).distinct()
-    return e.returns_window(adjusted(t), forms, months, top=top)
+def windows(t: Tables, top: int = 500, months: int = MONTHS, ranked: bool = False) -> DataFrame:
+    forms = t.monthly.select(F.col("month").alias("form_month"))
+    return e.returns_window(adjusted(t), forms, months, top=top, ranked=ranked)
 
 
 def weights(t: Tables) -> DataFrame:
-    parts = [b.equal_weights(windows(t, top)).select(F.lit(name).alias("model"), "form_month", "permno", "weight") for name, top in TOP.items()]
+    """Both portfolios from one window, each the largest of it."""
+    window = settled(windows(t, max(TOP.values()), ranked=True).select("form_month", "permno", "rank").distinct())
+    parts = [b.equal_weights(window.filter(F.col("rank") <= top)).select(F.lit(name).alias("model"), "form_month", "permno", "weight") for name, top in TOP.items()]
     return settled(parts[0].unionByName(parts[1]))
 
 
@@ -70,12 +72,12 @@ def risk_free(t: Tables) -> DataFrame:
 
 
 @query("e1_returns_window", f"""
-WITH {_WINDOW}, ch AS (SELECT form_month, permno, mean FROM rk WHERE i <= 30 OR caps < 50),
+WITH {_WINDOW}, ch AS (SELECT form_month, permno, mean FROM rk WHERE i <= 500 OR caps < 50),
 lv AS (SELECT DISTINCT lw.form_month, lw.month FROM lw JOIN ch ON lw.form_month = ch.form_month AND lw.permno = ch.permno)
 SELECT ch.form_month, lv.month, ch.permno, coalesce(lw.r, ch.mean) AS r, lw.r IS NULL AS imputed FROM ch JOIN lv ON ch.form_month = lv.form_month
-LEFT JOIN lw ON lw.form_month = ch.form_month AND lw.permno = ch.permno AND lw.month = lv.month WHERE ch.form_month >= DATE '2001-01-01'""", "r")
+LEFT JOIN lw ON lw.form_month = ch.form_month AND lw.permno = ch.permno AND lw.month = lv.month""", "r")
 def _(t):
-    return windows(t, 30, "2001-01-01")
+    return windows(t)
 
 
 @query("b1_b3_b5_j9_backtest_log", f"WITH {_LOG} SELECT * FROM lg", "gross_return turnover cost net_return")
@@ -88,6 +90,13 @@ def _(t):
     return b.backtest_log(weights(t), adjusted(t), digits=6)
 
 
+@query("b4_capped_chain")
+def _(t):
+    """Weights after caps that bind: the smaller portfolio turns over more than 1 % a month."""
+    capped = b.capped_weights(weights(t), b.cap_table(t.spark, [0.01, 0.05]))
+    return capped.groupBy("model", "cap_label", "form_month").agg(F.count("*").alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("top"), F.max("at_cap").alias("at_cap"))
+
+
 @query("b4_uncapped_chain", f"WITH {_LOG} SELECT model, 'none' AS cap_label, count(*) AS n, sum(weight) AS total FROM wt GROUP BY 1", "total")
 def _(t):
     return b.capped_weights(weights(t), b.cap_table(t.spark, [None])).groupBy("model", "cap_label").agg(F.count("*").alias("n"), F.sum("weight").alias("total"))

@@ -100,10 +100,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, which also keeps the plans above it short.
 
-    The folder is the cluster's spark.checkpoint.dir; one is made only where none is set.
+    The folder is the cluster's spark.checkpoint.dir; unset, one is made in local mode (tests), else it is an error.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
