@@ -211,7 +211,8 @@ def predict_linear(df: DataFrame, weights: np.ndarray, intercept: float, feature
 
 def choose_epsilon(tune: DataFrame, validation: DataFrame, alpha: float, l1: float, grid: Sequence[float] = (0.5, 0.7, 0.9, 1.35), **options) -> DataFrame:
     """epsilon, r2, best on the validation window."""
-    rows = [(float(x), r2(predict_linear(validation, *huber_elastic_net(tune, alpha, l1, x, **options)))) for x in grid]
+    features = options.get("features", "components")
+    rows = [(float(x), r2(predict_linear(validation, *huber_elastic_net(tune, alpha, l1, x, **options), features))) for x in grid]
     top = max((r for r in rows if r[1] is not None), key=lambda r: r[1], default=None)
     return tune.sparkSession.createDataFrame([(*r, r == top) for r in rows], "epsilon double, r2 double, best boolean")
 
