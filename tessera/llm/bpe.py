@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 from . import blocks
 
 #: Words kept per Python worker with their ids; beyond that the memory is emptied and filled anew.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 300_000
 #: Compiled states (a bit for each token) and transitions kept per Python worker.
-KEPT_ROWS, KEPT_MOVES = 4_096, 200_000
+KEPT_ROWS, KEPT_MOVES = 4_096, 600_000
 _NEVER = 1 << 30
 #: Fixed value: the usual pattern of such files. Of ASCII letters with a mark behind them it makes the letters and the mark.
 LETTERS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -140,7 +140,7 @@ class MergeAutomaton:
             to = self.ids[after] = len(self.under_way)
             self.under_way.append(after)
             self.moves.append({})
-        move = self.moves[state][symbol] = (to, ended, token, left)
+        move = self.moves[state][symbol] = (to, ended, token, tuple(left))
         self.kept += 1
         return move
 
