@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, decontaminate, lm, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import bpe, chunk_dedup, decontaminate, lm, oracles, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op6_quality_rules": oracles.QUALITY_RULES,
+        "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op8_secret_scan": oracles.SECRET_SCAN,
+    }
