@@ -31,7 +31,7 @@ PROBES = 3
 LEVELS = 48
 _EDGE = np.uint64(0x5851F42D4C957F2D)  # stands before the first and after the last word
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 #: Rows of a block that asks for keys below the filter: 2 to this power.
 _BLOCK_ROWS = 11
 #: Text to a bucket of counts.
