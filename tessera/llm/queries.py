@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, decontaminate, lm, oracles, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import bpe, chunk_dedup, decontaminate, lm, oracles, phrases, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_dedup,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_lm_scoring,
         op10_simhash_near_dedup,
+        op11_collocations,
     )
     return {f.__name__: f for f in operators}
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": oracles.QUALITY_RULES,
         "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op8_secret_scan": oracles.SECRET_SCAN,
+        "op11_collocations": phrases.ORACLE_SQL,
     }
