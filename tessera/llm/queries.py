@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, decontaminate, lm, oracles, phrases, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import align, bpe, chunk_dedup, decontaminate, lm, oracles, phrases, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_pair() -> tuple[str, str]:
+    """The installed byte-level and piece vocabularies, the default of op12; the operator takes any paths."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), *tokenizer_pair())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_dedup,
@@ -79,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_lm_scoring,
         op10_simhash_near_dedup,
         op11_collocations,
+        op12_tokenizer_alignment,
     )
     return {f.__name__: f for f in operators}
 
