@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, chunk_dedup, decontaminate, lm, oracles, phrases, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from . import align, bpe, chunk_dedup, decontaminate, html_text, lm, oracles, phrases, pii, quality_model, quality_rules, secrets, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"), *tokenizer_pair())
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_dedup,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_simhash_near_dedup,
         op11_collocations,
         op12_tokenizer_alignment,
+        op13_html_extraction,
     )
     return {f.__name__: f for f in operators}
 
