@@ -50,6 +50,16 @@ def test_suffix_dedup_is_exact(make):
     compare(suffix_dedup.dedup(make(rows), hot=2), expected)  # every key split as a hot one
 
 
+def test_suffix_dedup_over_the_whole_range_of_ids(make):
+    """Also ids from 2^62 up are told apart, in their order, beside negative and null ones."""
+    r = random.Random(15)
+    text = "".join(r.choice("abcdefghij ") for _ in range(90))
+    big = 2**62
+    rows = [(big + 2, text), (big, text), (big + 1, "x " + text), (2**63 - 1, text), (-(2**63), text[:60]), (None, text), (None, text + "!"), (5, "short")]
+    found = {(x.doc_id, x.n_bytes): x.n_removed for x in suffix_dedup.dedup(make(rows)).collect()}
+    assert found == {(big + 2, 90): 90, (big, 90): 60, (big + 1, 92): 90, (2**63 - 1, 90): 90, (-(2**63), 60): 0, (None, 90): 90, (None, 91): 90, (5, 5): 0}
+
+
 def chunks_of(raw):
     out, start = [], 0
     for k in range(len(raw)):
