@@ -36,6 +36,7 @@ NAMED = frozenset(
 )
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+_WHOLE = re.compile(r"[A-Za-z]+")
 #: An open tag of these is closed by the next of its kind or a block around it.
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]),
@@ -128,7 +129,8 @@ def _flag(tag: str, attrs: dict) -> str:
     """`out` for elements never read, `comment` or `named` by class, id or role, else nothing."""
     if tag in OUTSIDE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
         return "out"
-    words = {w.lower() for a in ("class", "id") for w in _NAME.findall(attrs.get(a) or "")}
+    names = [attrs.get(a) or "" for a in ("class", "id")]
+    words = {w.lower() for name in names for w in _NAME.findall(name) + _WHOLE.findall(name)}  # sideBar is side, bar and sidebar
     if words & COMMENTS:
         return "comment"
     if tag == "header" or words & NAMED or (attrs.get("role") or "").lower() in ROLES:
@@ -162,7 +164,7 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.7) -> str:
     at = np.array([x[3] for x in lines])
 
     # what is outside, from the root down. A wrapper that only has a menu's or a comment's name holds the
-    # headline or the main part or, where no article is, most of the text
+    # headline or the main part or, where no article is, nearly all text
     article, headline, much = [False] * n, [False] * n, np.zeros(n)
     shut = [False] * n
     for k in range(1, n):
@@ -176,7 +178,7 @@ def main_text(html: str | None, share: float = 0.5, hold: float = 0.7) -> str:
     outside = [False] * n
     for k in range(1, n):
         wrapper = tag[k] in ("article", "main", "body", "html") if page.flag[k] == "named" else tag[k] in ("main", "body", "html")
-        wrapper |= headline[k] or page.flag[k] == "named" and (article[k] or not article[0] and much[k] > 0.5 * much[0])
+        wrapper |= headline[k] or page.flag[k] == "named" and (article[k] or not article[0] and much[k] > 0.9 * much[0])
         outside[k] = outside[parent[k]] or page.flag[k] == "out" or page.flag[k] != "" and not wrapper
     live = ~np.array(outside)[at]
     if not live.any():
