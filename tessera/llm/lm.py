@@ -31,11 +31,11 @@ PROBES = 3
 LEVELS = 48
 _EDGE = np.uint64(0x5851F42D4C957F2D)  # stands before the first and after the last word
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 #: Rows of a block that asks for keys below the filter: 2 to this power.
 _BLOCK_ROWS = 11
 #: Text to a bucket of counts.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def held_out(modulus: int = 7, remainder: int = 2) -> Column:
@@ -109,11 +109,11 @@ def _filter(keys: np.ndarray, level: np.ndarray, size: int) -> bytes:
 
 
 _WORD_SALT = np.uint64(0xA0761D6478BD642F)
-_COUNTED = "bucket int, least int, distinct long, total long, entries long, keys binary, counts binary, bits binary"
+_COUNTED = "bucket int, distinct long, total long, entries array<long>, words binary, uses binary, keys binary, levels binary"
 
 
-def _counted(docs: DataFrame, buckets: int, bits_per_entry: int) -> DataFrame:
-    """Per bucket: a row of word counts (least = 0), and for each least level its keys and a filter of the words and pairs from it up."""
+def _counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket: its words and their counts; keys of words and pairs with their levels, and how many filter entries the levels from each one up need."""
 
     def count(batches):
         held: dict[int, list] = {0: [], 1: []}
@@ -141,15 +141,12 @@ def _counted(docs: DataFrame, buckets: int, bits_per_entry: int) -> DataFrame:
         kinds = table["kind"].to_numpy()
         parts = [_summed(*_unpacked(table["keys"].filter(pa.array(kinds == k)), table["counts"].filter(pa.array(kinds == k)))) for k in (0, 1)]
         (words, uses), (pairs, times) = parts
-        out = [(bucket, 0, len(words), int(uses.sum()), 0, words.tobytes(), uses.tobytes(), b"")]
         keys, level = np.concatenate([words ^ _WORD_SALT, pairs]), _level(np.concatenate([uses, times]))
-        for least in range(1, int(level.max(initial=1)) + 1):
-            some = level >= least
-            entries = int(level[some].sum())
-            out.append((bucket, least, 0, 0, entries, keys[level == least].tobytes(), b"", _filter(keys[some], level[some], 64 + entries * bits_per_entry)))
-        names = [f.split()[0] for f in _COUNTED.split(", ")]
-        kinds_of = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds_of, zip(*out, strict=True), strict=True)})
+        of_level = np.bincount(level, minlength=LEVELS + 1) * np.arange(LEVELS + 1)
+        entries = np.cumsum(of_level[::-1])[::-1]
+        row = (bucket, len(words), int(uses.sum()), entries.tolist(), words.tobytes(), uses.tobytes(), keys.tobytes(), level.astype(np.uint8).tobytes())
+        kinds_of = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table({f.split()[0]: pa.array([x], k) for f, k, x in zip(_COUNTED.split(", "), kinds_of, row, strict=True)})
 
     packed = docs.select("text").mapInArrow(count, "bucket int, kind int, keys binary, counts binary")
     return packed.groupBy("bucket").applyInArrow(reduce, _COUNTED)
@@ -158,12 +155,25 @@ def _counted(docs: DataFrame, buckets: int, bits_per_entry: int) -> DataFrame:
 def _word_counts(counted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+            for k, c in zip(batch.column("words"), batch.column("uses"), strict=True):
                 hashes, n = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
                 for at in range(0, len(hashes), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["hash", "c"])
 
-    return counted.filter("least = 0").select("keys", "counts").mapInArrow(run, "hash long, c long")
+    return counted.select("words", "uses").mapInArrow(run, "hash long, c long")
+
+
+def _filters(counted: DataFrame, least: int, bits_per_entry: int) -> DataFrame:
+    """bucket, size, bits: of each bucket the filter of its words and pairs from level `least` up."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, k, q, entries in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("levels"), batch.column("entries").to_pylist(), strict=True):
+                keys, level = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint8).astype(np.int64)
+                size = 64 + (entries[least] if least <= LEVELS else 0) * bits_per_entry
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([_filter(keys[level >= least], level[level >= least], size)], pa.binary())], names=["bucket", "size", "bits"])
+
+    return counted.select("bucket", "keys", "levels", "entries").mapInArrow(run, "bucket int, size long, bits binary")
 
 
 class Filter:
@@ -248,9 +258,9 @@ def _answered(texts: DataFrame, counted: DataFrame, shared, least: int) -> DataF
         yield from rows()
 
     def answer(asked: pa.Table, kept: pa.Table) -> pa.Table:
-        parts = [(np.frombuffer(k.as_py(), np.uint64), q) for k, q in zip(kept["keys"], kept["least"].to_pylist(), strict=True)]
-        known = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)])
-        level = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(k), q, np.uint8) for k, q in parts)])
+        known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k.as_py(), np.uint64) for k in kept["keys"])])
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(q.as_py(), np.uint8) for q in kept["levels"])])
+        known, level = known[level < least], level[level < least]
         order = np.argsort(known)
         known, level = known[order], level[order]
         blocks_of, keys, levels = [], [], []
@@ -265,7 +275,7 @@ def _answered(texts: DataFrame, counted: DataFrame, shared, least: int) -> DataF
         return pa.table({"block": pa.array(blocks_of, pa.int64()), "keys": pa.array(keys, pa.binary()), "levels": pa.array(levels, pa.binary())})
 
     asked = texts.select("block", "text").mapInArrow(ask, "bucket int, block long, keys binary")
-    kept = counted.filter((F.col("least") > 0) & (F.col("least") < least)).select("bucket", "least", "keys")
+    kept = counted.select("bucket", "keys", "levels")
     return asked.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(answer, "block long, keys binary, levels binary")
 
 
@@ -279,13 +289,13 @@ def score(docs: DataFrame, bits_per_entry: int = 8, filter_bits: int = 1 << 31,
     spark = docs.sparkSession
     at = blocks.corpus(docs)
     buckets = 1 + blocks.text_bytes(at) // BUCKET_BYTES
-    counted = blocks.checkpoint(_counted(at.filter(~held_out()), buckets, bits_per_entry))
+    counted = blocks.table(_counted(at.filter(~held_out()), buckets))
     table = _word_counts(counted)
-    total = counted.filter("least = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    distinct, tokens = int(total[0]), int(total[1])
-    levels = {r["least"]: r["entries"] for r in counted.filter("least > 0").groupBy("least").agg(F.sum("entries").alias("entries")).collect()}
-    least = next((q for q in sorted(levels) if levels[q] * bits_per_entry <= filter_bits), max(levels, default=0) + 1)  # beyond the last: nothing fits, all is looked up
-    parts = {r["bucket"]: (64 + r["entries"] * bits_per_entry, bytes(r["bits"])) for r in counted.filter(F.col("least") == least).select("bucket", "entries", "bits").toLocalIterator()}
+    total = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), *(F.coalesce(F.sum(F.col("entries")[q]), F.lit(0)) for q in range(LEVELS + 1))).first()
+    distinct, tokens, entries = int(total[0]), int(total[1]), list(total[2:])
+    # beyond the last level that occurs: nothing fits, all is looked up
+    least = next(q for q in range(1, LEVELS + 2) if q > LEVELS or entries[q] * bits_per_entry <= filter_bits)
+    parts = {r["bucket"]: (r["size"], bytes(r["bits"])) for r in _filters(counted, least, bits_per_entry).toLocalIterator()}
     # the least power of two that at most head_words words reach
     reach = table.select(*(F.count_if(F.col("c") >= (1 << k)).alias(f"k{k}") for k in range(48))).first()
     cut = next(1 << k for k in range(48) if reach[k] <= head_words)
