@@ -37,22 +37,32 @@ def link_join_by_year(figures: DataFrame, links: DataFrame, stock: DataFrame, ye
     return linked.join(stock.withColumn(year, F.year("month")), ["permno", year])
 
 
+#: Parts that left rows without an entity are dealt to.
+NO_ENTITY_PARTS = 1024
+
+
 def asof_backward(left: DataFrame, right: DataFrame, entity: str = "permno", at: str = "month", from_: str = "available", max_age: int | None = None, order: str | None = None) -> DataFrame:
     """Each left row with the entity's latest right row of from_ <= at, or NULLs.
 
-    Right rows become half-open intervals, so the join is on the entity with a range condition
-    and every left row meets at most one right row. Of right rows with one (entity, from_) the
-    last by `order` counts. `max_age` limits the distance in days.
+    Both sides are united and sorted once by entity and time, right rows first; a left row gets
+    the last right row before it, so no left row meets more than its own. Of right rows with one
+    (entity, from_) the last by `order` counts. `max_age` limits the distance in days. Left rows
+    without an entity or a time meet nothing.
     """
     keep = [n for n in right.columns if n != entity]
-    if order is not None:
-        right = right.withColumn("_n", F.row_number().over(Window.partitionBy(entity, from_).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
-    until = F.lead(from_).over(Window.partitionBy(entity).orderBy(from_))
-    spans = right.select(F.col(entity).alias("_e"), F.col(from_).alias("_a"), until.alias("_u"), *(F.col(n) for n in keep))
-    on = (F.col(entity) == F.col("_e")) & (F.col(at) >= F.col("_a")) & (F.col("_u").isNull() | (F.col(at) < F.col("_u")))
+    nothing = lambda df, names: F.lit(None).cast(df.select(F.struct(*names)).schema[0].dataType)
+    whole, row = F.struct(*(F.col(f"`{n}`") for n in left.columns)), F.struct(*(F.col(f"`{n}`") for n in keep))
+    rank = F.col(order) if order is not None else F.lit(0)
+    part = F.when(F.col(entity).isNull(), F.pmod(F.xxhash64(*(F.col(f"`{n}`") for n in left.columns)), F.lit(NO_ENTITY_PARTS)))
+    asks = left.select(F.col(entity).alias("_e"), part.alias("_part"), F.col(at).alias("_at"), F.lit(1).alias("_side"), (F.lit(None).cast(right.schema[order].dataType) if order is not None else F.lit(0)).alias("_rank"), whole.alias("_left"), nothing(right, keep).alias("_right"))
+    known = right.filter(F.col(entity).isNotNull() & F.col(from_).isNotNull())
+    known = known.select(F.col(entity).alias("_e"), F.lit(None).cast("bigint").alias("_part"), F.col(from_).alias("_at"), F.lit(0).alias("_side"), rank.alias("_rank"), nothing(left, left.columns).alias("_left"), row.alias("_right"))
+    over = Window.partitionBy("_e", "_part").orderBy("_at", "_side", "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last("_right", ignorenulls=True).over(over)
+    found = asks.unionByName(known).withColumn("_right", latest).filter("_side = 1")
     if max_age is not None:
-        on = on & (F.datediff(F.col(at), F.col("_a")) <= max_age)
-    return left.join(spans, on, "left").drop("_e", "_a", "_u")
+        found = found.withColumn("_right", F.when(F.datediff("_at", F.col("_right")[from_]) <= max_age, F.col("_right")))
+    return found.select(*(F.col("_left")[n].alias(n) for n in left.columns), *(F.col("_right")[n].alias(n) for n in keep))
 
 
 def fill_forward(months: DataFrame, series: DataFrame, names: list[str], month: str = "month") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
 from tessera.operators import aggregates as a
+from tessera.operators import moments as mo
 from tessera.operators import windows as w
 
 
@@ -132,75 +133,31 @@ def r2(df: DataFrame, p: str = "prediction") -> float | None:
     return a.zero_r2(df, "y", p).first()["r2"]
 
 
-def elastic_net_surface(tune: DataFrame, validation: DataFrame, alphas: Sequence[float], ratios: Sequence[float], features: str = "components") -> DataFrame:
-    """alpha, l1, r2, best, alpha_at_edge, l1_at_edge for every grid cell; cells share the cached tables."""
+#: The grids that models are tuned on.
+ALPHAS = tuple(float(x) for x in np.logspace(-5, 1, 20))
+RATIOS = (0.0, 0.01, 0.1, 0.3, 0.5)
+EPSILONS = (0.5, 0.7, 0.9, 1.35)
+
+
+def elastic_net_surface(tune: DataFrame, validation: DataFrame, alphas: Sequence[float] = ALPHAS, ratios: Sequence[float] = RATIOS, features: str = "components") -> DataFrame:
+    """alpha, l1, r2, best, alpha_at_edge, l1_at_edge for every grid cell.
+
+    One pass over each window gives its moments; all cells are fitted and scored from these, so
+    the number of cells costs no further pass.
+    """
     spark = tune.sparkSession
-    tune, validation = tune.select("y", features).cache(), validation.select("y", features).cache()
-    n, sd = tune.select(F.count("y"), F.stddev_samp("y")).first()
-    rows = [(float(al), float(l1), r2(elastic_net(tune, al, l1, sd or 1.0, features, rows=n).transform(validation))) for al in alphas for l1 in ratios]
-    tune.unpersist()
-    validation.unpersist()
+    fitted, scored = (mo.moments(mo.with_target(x, features)) for x in (tune, validation))
+    path = mo.elastic_net_path(fitted, alphas, ratios) if fitted is not None else {}
+    rows = [(float(al), float(l1), mo.zero_r2(scored, *path[float(al), float(l1)]) if path and scored is not None else None) for al in alphas for l1 in ratios]
     top = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=None)
     table = spark.createDataFrame([(*r, r == top) for r in rows], "alpha double, l1 double, r2 double, best boolean")
     edge = lambda n, v: F.col("best") & F.col(n).isin(float(min(v)), float(max(v)))
     return table.withColumns({"alpha_at_edge": edge("alpha", alphas), "l1_at_edge": edge("l1", ratios)})
 
 
-def huber_elastic_net(train: DataFrame, alpha: float, l1: float, epsilon: float, features: str = "components", l1_floor: float = 0.1, steps: int = 300, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weights and intercept of Huber loss with an elastic-net penalty, by accelerated proximal gradient.
-
-    Every step is one aggregation over the cached table; the driver holds vectors of the number
-    of features only. The step size follows from the largest eigenvalue of the features' second
-    moments, also one aggregation.
-    """
-    l1 = max(l1, l1_floor)
-    at = train.select(F.col("y").cast("double").alias("y"), F.concat(vector_to_array(features), F.array(F.lit(1.0))).alias("x")).repartition(max(1, train.sparkSession.sparkContext.defaultParallelism)).cache()
-    k, n = len(at.select("x").first()[0]), at.count()
-
-    def moments(it):
-        g = np.zeros((k, k))
-        for b in it:
-            x = np.stack(b["x"].to_numpy())
-            g += x.T @ x
-        yield _frame(g.ravel())
-
-    def gradient(w_):
-        def run(it):
-            g = np.zeros(k)
-            for b in it:
-                x = np.stack(b["x"].to_numpy())
-                g += x.T @ np.clip(x @ w_ - b["y"].to_numpy(), -epsilon, epsilon)
-            yield _frame(g)
-
-        return _summed(at, run) / n
-
-    rate = 1 / (np.linalg.eigvalsh(_summed(at, moments).reshape(k, k) / n)[-1] + alpha * (1 - l1) + 1e-12)
-    free = np.ones(k)
-    free[-1] = 0  # the intercept is not penalised
-    w_ = y_ = np.zeros(k)
-    t = 1.0
-    for _ in range(steps):
-        step = y_ - rate * (gradient(y_) + alpha * (1 - l1) * free * y_)
-        new = np.sign(step) * np.maximum(np.abs(step) - rate * alpha * l1 * free, 0)
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y_ = new + (t - 1) / nt * (new - w_)
-        moved = np.abs(new - w_).max()
-        w_, t = new, nt
-        if moved < tolerance:
-            break
-    at.unpersist()
-    return w_[:-1], float(w_[-1])
-
-
-def _frame(values):
-    import pandas as pd
-
-    return pd.DataFrame({"i": np.arange(len(values)), "v": values})
-
-
-def _summed(at: DataFrame, run) -> np.ndarray:
-    parts = at.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    return np.array([r["v"] for r in parts])
+def huber_elastic_net(train: DataFrame, alpha: float, l1: float, epsilon: float, features: str = "components", l1_floor: float = 0.1, steps: int = 20, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
+    """Weights and intercept of Huber loss with an elastic-net penalty, by proximal Newton: a few passes over the rows."""
+    return mo.huber_paths(train, alpha, max(l1, l1_floor), (epsilon,), features, steps, tolerance)[0][float(epsilon)]
 
 
 def predict_linear(df: DataFrame, weights: np.ndarray, intercept: float, features: str = "components") -> DataFrame:
@@ -209,10 +166,11 @@ def predict_linear(df: DataFrame, weights: np.ndarray, intercept: float, feature
     return df.withColumn("prediction", dot)
 
 
-def choose_epsilon(tune: DataFrame, validation: DataFrame, alpha: float, l1: float, grid: Sequence[float] = (0.5, 0.7, 0.9, 1.35), **options) -> DataFrame:
-    """epsilon, r2, best on the validation window."""
-    features = options.get("features", "components")
-    rows = [(float(x), r2(predict_linear(validation, *huber_elastic_net(tune, alpha, l1, x, **options), features))) for x in grid]
+def choose_epsilon(tune: DataFrame, validation: DataFrame, alpha: float, l1: float, grid: Sequence[float] = EPSILONS, features: str = "components", l1_floor: float = 0.1, **options) -> DataFrame:
+    """epsilon, r2, best on the validation window; every pass serves all epsilons, one scores them."""
+    fits, _ = mo.huber_paths(tune, alpha, max(l1, l1_floor), grid, features, **options)
+    scored = mo.moments(mo.with_target(validation, features))
+    rows = [(float(x), mo.zero_r2(scored, *fits[float(x)]) if scored is not None and len(fits[float(x)][0]) else None) for x in grid]
     top = max((r for r in rows if r[1] is not None), key=lambda r: r[1], default=None)
     return tune.sparkSession.createDataFrame([(*r, r == top) for r in rows], "epsilon double, r2 double, best boolean")
 
@@ -288,12 +246,12 @@ def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Seq
         x = second.transform(train)
         projection = Projection(k).fit(x)
         ready = projection.transform(x)
-        n, sd = ready.select(F.count("y"), F.stddev_samp("y")).first()
-        model = elastic_net(ready, best["alpha"], best["l1"], sd, rows=n)
-        part = forecast_table(model.transform(projection.transform(second.transform(test))))
+        known = mo.moments(mo.with_target(ready, "components"))
+        weights, level = mo.elastic_net_path(known, (best["alpha"],), (best["l1"],))[best["alpha"], best["l1"]]
+        part = forecast_table(predict_linear(projection.transform(second.transform(test)), weights, level))
         surface = surface.select(F.lit(s["test_year"]).alias("reest_year"), "*")
         forecasts = part if forecasts is None else forecasts.unionByName(part)
         surfaces = surface if surfaces is None else surfaces.unionByName(surface)
-        chosen.append((s["test_year"], *s["train"], *s["validation"], best["alpha"], best["l1"], best["r2"], n, len(second.names), min(k, len(second.names)), int(np.count_nonzero(model.coefficients.toArray()))))
+        chosen.append((s["test_year"], *s["train"], *s["validation"], best["alpha"], best["l1"], best["r2"], known.n, len(second.names), min(k, len(second.names)), int(np.count_nonzero(weights))))
     names = "reest_year int, train_from int, train_to int, validation_from int, validation_to int, alpha double, l1 double, validation_r2 double, n_train long, n_features int, n_components int, n_nonzero int"
     return forecasts, surfaces, panel.sparkSession.createDataFrame(chosen, names)

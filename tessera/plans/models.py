@@ -224,29 +224,56 @@ def _(t):
 @query("m7_m8_m10_surface")
 def _(t):
     _, train, test = halves(t)
-    projection = m.Projection(8).fit(train)
-    return m.elastic_net_surface(projection.transform(train), projection.transform(test), (1e-4, 1e-2), (0.0, 0.5))
+    projection = m.Projection().fit(train)
+    return m.elastic_net_surface(projection.transform(train), projection.transform(test))
+
+
+#: Every cell of the grid for two features in closed form: of the nine patterns of signs the one with the least objective.
+@query("m8_two_feature_surface", """
+WITH base AS (SELECT s.month, (1 + ret) * (1 + coalesce(dlret, 0)) - 1 - f.rf AS y, ln(prc) AS p, ln(vol) AS v FROM stock s JOIN factors f ON s.month = f.month WHERE ret IS NOT NULL),
+tune AS (SELECT * FROM base WHERE year(month) <= 1998), test AS (SELECT * FROM base WHERE year(month) >= 1999),
+k AS (SELECT count(*) AS n, avg(y) AS my, avg(p) AS mp, avg(v) AS mv, stddev_pop(p) AS sp, stddev_pop(v) AS sv, covar_pop(p, v) / (stddev_pop(p) * stddev_pop(v)) AS c, covar_pop(p, y) / stddev_pop(p) AS g1, covar_pop(v, y) / stddev_pop(v) AS g2 FROM tune),
+cells AS (SELECT power(10, -5 + 6 * i / 19.0) AS alpha, l1 FROM range(20) a(i), (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE)) r(l1)),
+cost AS (SELECT *, CASE WHEN l1 < 0.05 THEN 0 ELSE alpha * l1 END AS lasso, CASE WHEN l1 < 0.05 THEN alpha / n ELSE alpha * (1 - l1) END AS ridge FROM cells, k),
+signs AS (SELECT cost.*, a, b, 1 + ridge AS d FROM cost, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) z(b)),
+points AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN b = 0 THEN (g1 - a * lasso) / d ELSE (d * (g1 - a * lasso) - c * (g2 - b * lasso)) / (d * d - c * c) END AS w1,
+    CASE WHEN b = 0 THEN 0 WHEN a = 0 THEN (g2 - b * lasso) / d ELSE (d * (g2 - b * lasso) - c * (g1 - a * lasso)) / (d * d - c * c) END AS w2 FROM signs),
+best AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY alpha, l1 ORDER BY (w1 * w1 + w2 * w2) * d / 2 + c * w1 * w2 - g1 * w1 - g2 * w2 + lasso * (abs(w1) + abs(w2)), a, b) = 1),
+scored AS (SELECT alpha, l1, 1 - sum((y - my - w1 * (p - mp) / sp - w2 * (v - mv) / sv) ** 2) / sum(y * y) AS r2 FROM best, test GROUP BY 1, 2)
+SELECT alpha, l1, r2 FROM scored""", "alpha r2")
+def _(t):
+    from pyspark.ml.functions import array_to_vector
+
+    at = m.with_target(j.with_series(adjusted(t), t.factors.select("month", "rf"))).filter("y IS NOT NULL")
+    at = at.select("month", "y", array_to_vector(F.array(F.ln("prc"), F.ln("vol"))).alias("features"))
+    return m.elastic_net_surface(m.between(at, (1995, 1998)), m.between(at, (1999, 2001)), features="features").select("alpha", "l1", "r2")
 
 
 @query("m6_m11_m15_expanding_forecasts")
 def _(t):
-    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), (1e-3, 1e-1), (0.5,), 8)[0]
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), m.ALPHAS, m.RATIOS)[0]
 
 
 @query("m15_chosen_parameters")
 def _(t):
-    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), (1e-3, 1e-1), (0.5,), 8)[2]
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), m.ALPHAS, m.RATIOS)[2]
 
 
 @query("m9_huber")
 def _(t):
     _, train, test = halves(t)
-    projection = m.Projection(8).fit(train)
-    x = projection.transform(train)
-    weights, level = m.huber_elastic_net(x, 1e-3, 0.5, 0.7, steps=60)
+    projection = m.Projection().fit(train)
+    weights, level = m.huber_elastic_net(projection.transform(train), 1e-3, 0.5, 0.7)
     return a.zero_r2(m.predict_linear(projection.transform(test), weights, level), "y", "prediction", "month")
 
 
+@query("m9_epsilon_grid")
+def _(t):
+    _, train, test = halves(t)
+    projection = m.Projection().fit(train)
+    return m.choose_epsilon(projection.transform(train), projection.transform(test), 1e-3, 0.5)
+
+
 @query("m12_importance")
 def _(t):
     fitted, train, test = halves(t)
@@ -265,3 +292,11 @@ def _(t):
 def _(t):
     fitted, train, _ = halves(t)
     return m.forest_report(m.forest(train, 10, 4, "sqrt", 20), fitted.names, t.spark, max_depth=4)[0]
+
+
+@query("m14_forest_depths")
+def _(t):
+    fitted, train, test = halves(t)
+    model = m.forest(train, 10, 4, "sqrt", 20)
+    fits = [m.r2(model.transform(x)) for x in (train, test)]
+    return m.forest_report(model, fitted.names, t.spark, *fits, max_depth=4)[1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import estimators as e
 from tessera.operators import evaluate as v
 from tessera.operators import learn as m
+from tessera.operators import moments as mo
 from tessera.operators import portfolio as b
 
 K, Q = len(e.FACTORS), len(e.MACROS)
@@ -216,20 +217,60 @@ def test_surface_picks_the_best_cell(sample):
     top = max(got.values(), key=lambda r: r.r2)
     assert top.best and top.alpha_at_edge and top.l1_at_edge
     ys = np.array([r.y for r in validation.orderBy("permno").collect()])
-    fit = m.elastic_net(tune, 0.3, 0.5, float(np.std([r.y for r in tune.collect()], ddof=1)), "features", rows=120)
+    fit = m.elastic_net(tune, 0.3, 0.5, float(np.std([r.y for r in tune.collect()])), "features", rows=120)
     p = np.array([r.prediction for r in fit.transform(validation).orderBy("permno").collect()])
     assert got[0.3, 0.5].r2 == pytest.approx(1 - ((ys - p) ** 2).sum() / (ys**2).sum(), abs=1e-6)
 
 
+def test_grid_costs_two_passes(sample, spark):
+    """All 100 cells equal a NumPy fit of their own, and take as many jobs as four cells."""
+    df, x, y = sample
+    tune, validation = df.filter("permno < 120").cache(), df.filter("permno >= 120").cache()
+    jobs = []
+    for name, alphas, ratios in (("few", (1e-3, 0.3), (0.0, 0.5)), ("all", m.ALPHAS, m.RATIOS)):
+        spark.sparkContext.setJobGroup(name, name)
+        got = {(r.alpha, r.l1): r.r2 for r in m.elastic_net_surface(tune, validation, alphas, ratios, "features").collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 100 and jobs[1] <= jobs[0]  # the first run also fills the cache
+    rows = sorted(tune.collect(), key=lambda r: r.permno)
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.y for r in rows])
+    other = sorted(validation.collect(), key=lambda r: r.permno)
+    xv, yv = np.array([r.features.toArray() for r in other]), np.array([r.y for r in other])
+    mean, sd = x.mean(0), x.std(0)
+    z, c = (x - mean) / sd, y - y.mean()
+    for (alpha, l1), r2 in got.items():
+        if l1 < 0.05:
+            w = np.linalg.solve(z.T @ z / len(y) + alpha / len(y) * np.eye(z.shape[1]), z.T @ c / len(y))
+        else:
+            w, rate = np.zeros(z.shape[1]), 1 / (np.linalg.eigvalsh(z.T @ z / len(y))[-1] + alpha * (1 - l1))
+            for _ in range(4000):  # proximal gradient
+                step = w + rate * (z.T @ (c - z @ w) / len(y) - alpha * (1 - l1) * w)
+                w = np.sign(step) * np.maximum(np.abs(step) - rate * alpha * l1, 0)
+        p = y.mean() + (xv - mean) / sd @ w
+        assert r2 == pytest.approx(1 - ((yv - p) ** 2).sum() / (yv**2).sum(), abs=1e-8), (alpha, l1)
+
+
+def test_moments_merge_exactly():
+    r = np.random.RandomState(2)
+    x = r.randn(1000, 4) * [1, 1e-3, 5, 1] + [1e6, 3, -1e4, 0]
+    parts = [mo.Moments.of(p) for p in np.array_split(x, [10, 11, 11, 400])]
+    total = parts[3] + parts[0] + (parts[4] + parts[2]) + parts[1]
+    assert total.n == 1000 and np.allclose(total.products / 999, np.cov(x.T), rtol=1e-9, atol=1e-12)
+
+
 def test_huber_is_optimal(sample):
     df, x, y = sample
     alpha, l1, eps = 0.05, 0.5, 0.4
-    w, level = m.huber_elastic_net(df, alpha, l1, eps, "features", steps=150, tolerance=1e-7)
+    (fits, passes) = mo.huber_paths(df, alpha, l1, (eps, 0.9, 5.0))
+    assert passes <= 20
+    w, level = fits[eps]
+    assert np.allclose(np.append(w, level), np.append(*m.huber_elastic_net(df, alpha, l1, eps, "features")), atol=1e-7)
     pull = np.clip(y - x @ w - level, -eps, eps)
     slope = x.T @ pull / len(y) - alpha * (1 - l1) * w
     on = np.abs(w) > 1e-6
-    assert abs(pull.mean()) < 2e-3 and np.allclose(slope[on], alpha * l1 * np.sign(w[on]), atol=4e-3) and (np.abs(slope[~on]) <= alpha * l1 + 4e-3).all()
-    picked = m.choose_epsilon(df.filter("permno < 120"), df.filter("permno >= 120"), alpha, l1, (0.4, 5.0), features="features", steps=12).collect()
+    assert abs(pull.mean()) < 1e-7 and np.allclose(slope[on], alpha * l1 * np.sign(w[on]), atol=1e-7) and (np.abs(slope[~on]) <= alpha * l1 + 1e-7).all()
+    picked = m.choose_epsilon(df.filter("permno < 120"), df.filter("permno >= 120"), alpha, l1, (0.4, 5.0), features="features").collect()
     assert sum(r.best for r in picked) == 1 and max(picked, key=lambda r: r.r2).best
 
 
