@@ -11,11 +11,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.operators import joins as j
+from tessera.operators.moments import Moments
 
 FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma")
 MACROS = ("dp_ratio", "term_spread", "real_short_rate", "default_spread", "indpro_growth", "volatility")
@@ -40,50 +43,132 @@ def returns_window(stock: DataFrame, forms: DataFrame, months: int = 60, least_s
     return chosen.join(live, "form_month").select("form_month", "month", "permno", F.coalesce(r, "mean").alias("r"), r.isNull().alias("imputed"), *(["rank"] if ranked else []))
 
 
+def _running(z: np.ndarray, first: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, means and centred products of z over each block from its start to a row, or from a row to its end.
+
+    first marks the blocks' first rows. Values are taken from a middle of their block, so running
+    sums stay small whatever the level; nothing is ever subtracted from a sum.
+    """
+    block = np.cumsum(first) - 1
+    begin = np.flatnonzero(first)
+    count = np.diff(np.append(begin, len(z)))
+    middle = (np.add.reduceat(z, begin, axis=0) / count[:, None])[block]
+    low = z - middle
+    products = low[:, :, None] * low[:, None, :]
+    if not forward:
+        low, products = low[::-1], products[::-1]
+    starts = begin if forward else (len(z) - 1 - (begin + count - 1))[::-1]
+    sums, squares = np.empty_like(low), np.empty_like(products)
+    for lo, hi in zip(starts, [*starts[1:], len(z)], strict=True):
+        np.cumsum(low[lo:hi], axis=0, out=sums[lo:hi])
+        np.cumsum(products[lo:hi], axis=0, out=squares[lo:hi])
+    place = np.arange(len(z))
+    n = (place - begin[block] + 1) if forward else (begin + count)[block] - place
+    if not forward:
+        sums, squares = sums[::-1], squares[::-1]
+    mean = sums / n[:, None]
+    return n, middle + mean, squares - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+
+
+def sliding_moments(index: np.ndarray, z: np.ndarray, months: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, means and centred products of z over the rows within the last `months` of every row, index being sorted.
+
+    The time line is cut into blocks of one window's length. A window is the end of one block and
+    the start of the next, whose running moments are merged, so its length costs nothing.
+    """
+    if not len(index):
+        k = z.shape[1]
+        return np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, k, k))
+    block = index // months
+    first = np.append(True, block[1:] != block[:-1])
+    n, mean, products = _running(z, first, True)
+    m, mean_b, products_b = _running(z, first, False)
+    # rows of one month see each other, so the start of a block runs to the last row of the month
+    to = np.searchsorted(index, index, "right") - 1
+    n, mean, products = n[to], mean[to], products[to]
+    at = np.searchsorted(index, index - months, "right")  # the window's first row
+    split = block[at] != block
+    m = np.where(split, m[at], 0)
+    gap = (mean_b[at] - mean) * split[:, None]
+    total = n + m
+    weight = (n * m / total)[:, None, None]
+    both = products + products_b[at] * split[:, None, None] + gap[:, :, None] * gap[:, None, :] * weight
+    return total, mean + gap * (m / total)[:, None], both
+
+
+def least_squares(total: np.ndarray, mean: np.ndarray, products: np.ndarray, least: int, rank: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows have a unique fit of the last column on the others, and their betas (intercept first), sums of squared errors and R2.
+
+    Systems are scaled to correlations and eliminated together; a pivot below `rank` means that
+    a column follows from those before it.
+    """
+    k = products.shape[1] - 1
+    size = np.sqrt(np.maximum(products[:, range(k), range(k)], 0))
+    scale = np.where(size > 0, size, 1)
+    a = products[:, :k, :k] / (scale[:, :, None] * scale[:, None, :])
+    b = products[:, :k, k] / scale
+    good = (total >= least) & (size > 0).all(axis=1) & (total > k)
+    r, v = a.copy(), b.copy()
+    for j in range(k):
+        pivot = r[:, j, j]
+        good &= pivot > rank
+        safe = np.where(pivot > rank, pivot, 1)
+        for i in range(j + 1, k):
+            f = r[:, i, j] / safe
+            r[:, i] -= f[:, None] * r[:, j]
+            v[:, i] -= f * v[:, j]
+    w = np.zeros_like(v)
+    for j in reversed(range(k)):
+        w[:, j] = (v[:, j] - (r[:, j, j + 1 :] * w[:, j + 1 :]).sum(axis=1)) / np.where(good, r[:, j, j], 1)
+    beta = w / scale
+    level = mean[:, k] - (beta * mean[:, :k]).sum(axis=1)
+    sst = products[:, k, k]
+    sse = np.maximum(sst - 2 * (w * b).sum(axis=1) + np.einsum("ni,nij,nj->n", w, a, w), 0)
+    return good, np.column_stack([level, beta]), sse, np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), np.nan)
+
+
 def rolling_betas(stock: DataFrame, factors: DataFrame, months: int = 60, least: int = 48, names: Sequence[str] = FACTORS, y: str = "excess") -> DataFrame:
     """Adds n_obs, betas (intercept first, NULL below `least` rows or without a unique solution), idio_var and r2.
 
-    The windows are calendar months, so gaps shorten them. Sums of products over one sort give
-    the normal equations of every row; batches of small systems are solved together.
+    The windows are calendar months, so gaps shorten them; rows with a NULL among y and factors
+    count for none. An entity's history is one group, read in order; the window's length costs
+    nothing, and moments are centred, so levels do not blur them.
     """
-    at = j.with_series(stock, factors)
-    x = [F.lit(1.0), *(F.col(n) for n in names)]
-    index = F.year("month") * 12 + F.month("month")
-    over = Window.partitionBy("permno").orderBy(index).rangeBetween(-(months - 1), 0)
-    seen = F.col(y).isNotNull()
-    for n in names:
-        seen = seen & F.col(n).isNotNull()
-    part = lambda e: F.coalesce(F.sum(F.when(seen, e)).over(over), F.lit(0.0))
-    k = len(x)
-    sums = at.select(
-        *stock.columns,
-        F.count(F.when(seen, 1)).over(over).alias("n_obs"),
-        F.array(*(part(x[a] * x[b]) for a in range(k) for b in range(a, k))).alias("xx"),
-        F.array(*(part(e * F.col(y)) for e in x)).alias("xy"),
-        part(F.col(y) * F.col(y)).alias("yy"),
-    )
-
-    @F.pandas_udf("betas array<double>, idio_var double, r2 double")
-    def solve(n: pd.Series, xx: pd.Series, xy: pd.Series, yy: pd.Series) -> pd.DataFrame:
-        betas, idio, fit = np.empty(len(n), object), np.full(len(n), np.nan), np.full(len(n), np.nan)
-        use = np.flatnonzero(n.to_numpy() >= least)
-        if len(use):
-            m = np.zeros((len(use), k, k))
-            a, b = np.triu_indices(k)
-            m[:, a, b] = m[:, b, a] = np.stack(xx.to_numpy()[use])
-            good = np.linalg.cond(m) < 1e14
-            use, rhs = use[good], np.stack(xy.to_numpy()[use])[good]
-            beta = np.linalg.solve(m[good], rhs[:, :, None])[:, :, 0]
-            y2, count = yy.to_numpy()[use], n.to_numpy()[use]
-            sse = np.maximum(y2 - (beta * rhs).sum(axis=1), 0)
-            sst = y2 - rhs[:, 0] ** 2 / count
-            betas[use] = list(beta)
-            idio[use] = sse / (count - k)
-            fit[use] = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), np.nan)
-        return pd.DataFrame({"betas": betas, "idio_var": idio, "r2": fit})
-
-    fitted = sums.withColumn("fit", solve("n_obs", "xx", "xy", "yy"))
-    return fitted.select(*stock.columns, "n_obs", "fit.betas", F.nanvl("fit.idio_var", F.lit(None).cast("double")).alias("idio_var"), F.nanvl("fit.r2", F.lit(None).cast("double")).alias("r2"))
+    at = j.with_series(stock, factors).withColumns({"_index": F.year("month") * 12 + F.month("month") - 1, "_z": F.array(*(F.col(n).cast("double") for n in (*names, y)))})
+    k = len(names) + 1
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("_index", "ascending")]))
+        index = t["_index"].to_numpy()
+        z = t["_z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(float)
+        seen = np.isfinite(z).all(axis=1)
+        total, mean, products = sliding_moments(index[seen], z[seen], months)
+        # a row without values has the window of the last seen row, less what has left it since: asked for by a value of no weight
+        n_obs, betas = np.zeros(len(t), np.int64), np.full((len(t), k), np.nan)
+        idio, fits = np.full(len(t), np.nan), np.full(len(t), np.nan)
+        where = np.flatnonzero(seen)
+        rest = np.flatnonzero(~seen)
+        lo, hi = (np.searchsorted(index[seen], x, "right") for x in (index[rest] - months, index[rest]))
+        n_obs[where], n_obs[rest] = total, hi - lo
+        if len(rest):  # few rows: each window anew
+            some = [Moments.of(z[seen][a:b]) for a, b in zip(lo, hi, strict=True)]
+            total, mean, products = (np.concatenate([x, np.array(s)]) for x, s in ((total, [s.n for s in some]), (mean, [s.mean for s in some]), (products, [s.products for s in some])))
+        good, beta, sse, r2 = least_squares(total, mean, products, least)
+        order = np.concatenate([where, rest])
+        use = order[good]
+        betas[use], idio[use], fits[use] = beta[good], sse[good] / np.maximum(total[good] - k, 1), r2[good]
+        idio[n_obs <= k] = np.nan
+        fitted = np.isin(np.arange(len(t)), use)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(fitted * k))), pa.int32()), pa.array(betas[fitted].ravel()), mask=pa.array(~fitted))
+        out = t.drop_columns(["_index", "_z"])
+        return out.append_column("n_obs", pa.array(n_obs)).append_column("betas", lists).append_column("idio_var", pa.array(idio, from_pandas=True)).append_column("r2", pa.array(fits, from_pandas=True))
+
+    wanted = at.select(*stock.columns, "_index", "_z")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stock.schema), "n_obs long, betas array<double>, idio_var double, r2 double"])
+    # rows without an entity are no group that could be fitted
+    whole = wanted.filter("permno IS NOT NULL").groupBy("permno").applyInArrow(fit, schema)
+    none = wanted.filter("permno IS NULL").select(*stock.columns, F.lit(0).cast("long").alias("n_obs"), F.lit(None).cast("array<double>").alias("betas"), F.lit(None).cast("double").alias("idio_var"), F.lit(None).cast("double").alias("r2"))
+    return whole.unionByName(none)
 
 
 def mean_premia(factors: DataFrame, months: int = 60, names: Sequence[str] = FACTORS) -> DataFrame:
@@ -206,8 +291,8 @@ def var_premia(windows: DataFrame, tau: int = 1, least_var: int = 36, least_pric
 def conditional_covariance(betas: DataFrame, fits: DataFrame, tau: int = 1) -> DataFrame:
     """form_month, i, j (i <= j), cov over tau months: state risk through the pricing matrix, pricing errors, own risk.
 
-    The core between factors is one small matrix per formation month; pairs of entities are a
-    join within the formation month, as the result has a row for each.
+    The core between factors is one small matrix per formation month; the result has a row for each
+    pair of entities of it, so their number bounds the operator.
     """
     k, q = len(FACTORS), len(MACROS)
 
@@ -225,23 +310,39 @@ def conditional_covariance(betas: DataFrame, fits: DataFrame, tau: int = 1) -> D
         return pd.Series(out)
 
     cores = fits.filter("var_ok AND pricing_ok").select("form_month", core("a", "omega", "p", "gamma").alias("core"))
-    at = betas.filter("betas IS NOT NULL").select(F.col("month").alias("form_month"), "permno", F.slice("betas", 2, k).alias("b"), "idio_var").join(cores, "form_month")
-    left = at.select("form_month", F.col("permno").alias("i"), "idio_var", *((sum((F.col("b")[r] * F.col("core")[r * k + c] for r in range(k)), F.lit(0.0))).alias(f"l{c}") for c in range(k)))
-    right = at.select("form_month", F.col("permno").alias("j"), F.col("b").alias("bj"))
-    dot = sum((F.col(f"l{c}") * F.col("bj")[c] for c in range(k)), F.lit(0.0))
-    return left.join(right, "form_month").filter("i <= j").select("form_month", "i", "j", (dot + F.when(F.col("i") == F.col("j"), tau * F.col("idio_var")).otherwise(0.0)).alias("cov"))
+    return _pair_covariances(betas, cores, k, tau * F.col("idio_var"))
+
 
+def _pair_covariances(betas: DataFrame, cores: DataFrame, k: int, own: Column, block: int = 128) -> DataFrame:
+    """form_month, i, j (i <= j), cov = loadings times core, and `own` on the diagonal, by blocks of entities.
 
-def factor_covariance(betas: DataFrame, factors: DataFrame, months: int = 60, floor: float = 1e-8) -> DataFrame:
+    A formation month's loadings are packed once (k numbers an entity); a task multiplies one block
+    of them with all and sends the pairs as a batch, so pairs cost a product and no join.
+    """
+    rows = betas.filter("betas IS NOT NULL").select(F.col("month").alias("form_month"), F.struct("permno", F.slice("betas", 2, k).alias("b"), own.alias("own")).alias("row"))
+    packed = rows.groupBy("form_month").agg(F.array_sort(F.collect_list("row")).alias("rows")).join(cores, "form_month")
+    blocks = packed.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("rows") - 1, F.lit(block)))).repartition("form_month", "at")
+
+    def multiply(batches):
+        for batch in batches:
+            for form, rows_, core, at in zip(batch.column("form_month"), batch.column("rows"), batch.column("core").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                struct = rows_.values
+                b = struct.field("b").flatten().to_numpy().reshape(len(struct), k)
+                ids, own_ = struct.field("permno").to_numpy(), struct.field("own").to_numpy(zero_copy_only=False)
+                here = slice(at, at + block)
+                cov = b[here] @ np.reshape(core, (k, k)) @ b.T
+                i, j_ = np.nonzero(np.arange(len(ids))[None, :] >= np.arange(len(ids))[here][:, None])
+                value = cov[i, j_] + np.where(i + at == j_, own_[j_], 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([form.as_py()] * len(i), pa.date32()), pa.array(ids[i + at]), pa.array(ids[j_]), pa.array(value, from_pandas=True)], names=["form_month", "i", "j", "cov"])
+
+    return blocks.select("form_month", "rows", "core", "at").mapInArrow(multiply, "form_month date, i long, j long, cov double")
+
+
+def factor_covariance(betas: DataFrame, factors: DataFrame, months: int = 60, floor: float = 1e-8, names: Sequence[str] = FACTORS) -> DataFrame:
     """form_month, i, j (i <= j), cov = betas times factor covariance plus own variance on the diagonal."""
-    k = len(FACTORS)
     over = Window.orderBy(F.year("month") * 12 + F.month("month")).rangeBetween(-(months - 1), 0)
-    core = factors.select(F.col("month").alias("form_month"), F.array(*(F.covar_samp(a, b).over(over) for a in FACTORS for b in FACTORS)).alias("core"))
-    at = betas.filter("betas IS NOT NULL").select(F.col("month").alias("form_month"), "permno", F.slice("betas", 2, k).alias("b"), F.greatest("idio_var", F.lit(floor)).alias("own")).join(core, "form_month")
-    left = at.select("form_month", F.col("permno").alias("i"), "own", *((sum((F.col("b")[r] * F.col("core")[r * k + c] for r in range(k)), F.lit(0.0))).alias(f"l{c}") for c in range(k)))
-    right = at.select("form_month", F.col("permno").alias("j"), F.col("b").alias("bj"))
-    dot = sum((F.col(f"l{c}") * F.col("bj")[c] for c in range(k)), F.lit(0.0))
-    return left.join(right, "form_month").filter("i <= j").select("form_month", "i", "j", (dot + F.when(F.col("i") == F.col("j"), F.col("own")).otherwise(0.0)).alias("cov"))
+    core = factors.select(F.col("month").alias("form_month"), F.array(*(F.covar_samp(a, b).over(over) for a in names for b in names)).alias("core"))
+    return _pair_covariances(betas, core.filter(~F.exists("core", lambda v: v.isNull())), len(names), F.greatest("idio_var", F.lit(floor)))
 
 
 def average_r2(betas: DataFrame) -> DataFrame:
@@ -252,27 +353,48 @@ def shrinkage(window: DataFrame) -> DataFrame:
     """form_month, n_months, n_assets, delta, rho: shrinkage intensity and mean correlation of each window.
 
     Everything follows from the months-by-months products of centred returns, so no matrix
-    over entities is formed. The intensity is that for a scaled identity target, limited to [0, 1].
+    over entities is formed. A task adds up the products of its entities, and one small matrix for
+    each task and formation month is shuffled. The intensity is that for a scaled identity target,
+    limited to [0, 1]. Entities of a window have the same months, as returns_window() makes them.
     """
-    own = Window.partitionBy("form_month", "permno")
-    x = window.withColumns({"x": F.col("r") - F.avg("r").over(own), "s": F.stddev_samp("r").over(own)})
-    rows = x.groupBy("form_month", "permno").agg(F.array_sort(F.collect_list(F.struct("month", "x"))).alias("xs"), F.first("s").alias("s"))
-    place = rows.select("form_month", "permno", F.posexplode("xs").alias("t", "m"), "xs")
-    product = place.select("form_month", "t", F.col("m.x").alias("x"), F.posexplode("xs").alias("u", "o"))
-    k = product.filter("u >= t").groupBy("form_month", "t", "u").agg(F.sum(F.col("x") * F.col("o.x")).alias("k"))
-    size = x.groupBy("form_month").agg(F.count_distinct("month").alias("n_months"), F.count_distinct("permno").alias("n_assets"))
-    twice = F.when(F.col("t") == F.col("u"), 1.0).otherwise(2.0)
-    diagonal = F.when(F.col("t") == F.col("u"), F.col("k")).otherwise(0.0)
-    sums = k.groupBy("form_month").agg(F.sum(diagonal).alias("d1"), F.sum(diagonal * diagonal).alias("d2"), F.sum(twice * F.col("k") * F.col("k")).alias("k2"))
-    z = x.filter("s > 0").groupBy("form_month", "month").agg(F.sum(F.col("x") / F.col("s")).alias("z"), F.count("*").alias("n_z"))
-    corr = z.groupBy("form_month").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.max("n_z").alias("n_z"))
-    t, n = F.col("n_months"), F.col("n_assets")
-    mu, second = F.col("d1") / t / n, F.col("k2") / (t * t) / n
-    gap = second - mu * mu
-    noise = F.least(gap, (F.col("d2") / t - F.col("k2") / (t * t)) / (n * t))
-    rho = F.try_divide(F.col("zz") / (t - 1) - F.col("n_z"), F.col("n_z") * (F.col("n_z") - 1))
-    delta = F.when(gap > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), noise / gap))).otherwise(0.0)
-    return sums.join(size, "form_month").join(corr, "form_month").select("form_month", "n_months", "n_assets", delta.alias("delta"), rho.alias("rho"))
+    rows = window.groupBy("form_month", "permno").agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "r"))), lambda x: x["r"]).alias("r"))
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            form, lists = batch.column("form_month").to_pylist(), batch.column("r")
+            flat, size = lists.flatten().to_numpy(), np.array([len(x) for x in lists])
+            start = np.cumsum(size) - size
+            where: dict = {}
+            for k, f in enumerate(form):
+                where.setdefault(f, []).append(k)
+            for f, ks in where.items():
+                if len({int(size[k]) for k in ks}) > 1:
+                    raise ValueError(f"entities of the window {f} differ in their months")
+                x = flat[start[ks][:, None] + np.arange(size[ks[0]])]
+                x = x - x.mean(axis=1, keepdims=True)
+                s = x.std(axis=1, ddof=1)[:, None] if x.shape[1] > 1 else np.zeros((len(x), 1))
+                part = len(ks), int((s > 0).sum()), x.T @ x, (x[s[:, 0] > 0] / s[s > 0][:, None]).sum(axis=0)
+                held[f] = tuple(p + q for p, q in zip(held[f], part, strict=True)) if f in held else part
+        if held:
+            n, n_z, gram, z = zip(*held.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.date32()), pa.array(n, pa.int64()), pa.array(n_z, pa.int64()), pa.array([g.ravel() for g in gram], pa.list_(pa.float64())), pa.array(list(z), pa.list_(pa.float64()))], names=["form_month", "n", "n_z", "gram", "z"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        n, n_z = sum(t["n"].to_pylist()), sum(t["n_z"].to_pylist())
+        gram, z = (np.sum([np.array(x) for x in t[c].to_pylist()], axis=0) for c in ("gram", "z"))
+        months = len(z)
+        gram = gram.reshape(months, months)
+        diagonal = np.diag(gram)
+        mu, second = diagonal.sum() / months / n, (gram**2).sum() / months**2 / n
+        gap = second - mu * mu
+        noise = min(gap, ((diagonal**2).sum() / months - (gram**2).sum() / months**2) / (n * months))
+        delta = max(0.0, min(1.0, noise / gap)) if gap > 0 else 0.0
+        rho = ((z @ z) / (months - 1) - n_z) / (n_z * (n_z - 1)) if n_z > 1 and months > 1 else None
+        return pa.table({"form_month": t["form_month"].slice(0, 1), "n_months": pa.array([months], pa.int64()), "n_assets": pa.array([n], pa.int64()), "delta": pa.array([delta]), "rho": pa.array([rho], pa.float64())})
+
+    parts = rows.select("form_month", "r").mapInArrow(add, "form_month date, n long, n_z long, gram array<double>, z array<double>")
+    return parts.groupBy("form_month").applyInArrow(finish, "form_month date, n_months long, n_assets long, delta double, rho double")
 
 
 def covariance_times(window: DataFrame, shrunk: DataFrame, weights: DataFrame, keys: Sequence[str] = ("form_month",)) -> DataFrame:

@@ -76,7 +76,7 @@ def _(t):
     return e.var_premia(conditioned(t), tau=3, least_var=30).select("form_month", "var_ok", "pricing_ok", "fallback", "radius", *(F.col("premia")[i].alias(n) for i, n in enumerate(e.FACTORS)))
 
 
-def bounded(t: Tables, n: int = 20) -> DataFrame:
+def bounded(t: Tables, n: int = 500) -> DataFrame:
     """Betas of the n largest entities of each formation month; the pair tables have n squared rows, so n bounds the operator."""
     return w.top_k(betas(t).filter(F.col("betas").isNotNull()), "market_cap", n, "month").drop("top_rank")
 
@@ -91,6 +91,20 @@ def _(t):
     return e.factor_covariance(bounded(t), t.factors.filter("mkt_rf IS NOT NULL"), MONTHS)
 
 
+@query("e10_single_factor_covariance", """
+WITH x AS (SELECT s.permno, s.month, s.market_cap, (1 + s.ret) * (1 + coalesce(s.dlret, 0)) - 1 - f.rf AS y, f.mkt_rf AS x FROM stock s JOIN factors f ON s.month = f.month),
+r AS (SELECT permno, month, market_cap, regr_count(y, x) OVER o AS n, regr_slope(y, x) OVER o AS b, regr_syy(y, x) OVER o - regr_slope(y, x) OVER o * regr_sxy(y, x) OVER o AS sse FROM x
+      WINDOW o AS (PARTITION BY permno ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW)),
+top AS (SELECT *, greatest(sse / (n - 2), 1e-8) AS own FROM r WHERE n >= 24 QUALIFY row_number() OVER (PARTITION BY month ORDER BY market_cap DESC NULLS LAST, permno) <= 500),
+core AS (SELECT month, var_samp(mkt_rf) OVER (ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 35 PRECEDING AND CURRENT ROW) AS v FROM factors WHERE mkt_rf IS NOT NULL)
+SELECT p.month AS form_month, p.permno AS i, q.permno AS j, p.b * q.b * v + CASE WHEN p.permno = q.permno THEN p.own ELSE 0 END AS cov
+FROM top p JOIN top q ON p.month = q.month AND p.permno <= q.permno JOIN core ON core.month = p.month""", "cov")
+def _(t):
+    at = e.rolling_betas(excess(t).select("permno", "month", "market_cap", "excess"), factors(t).select("month", "mkt_rf"), MONTHS, LEAST, ("mkt_rf",))
+    top = w.top_k(at.filter(F.col("betas").isNotNull()), "market_cap", 500, "month").drop("top_rank")
+    return e.factor_covariance(top, t.factors.filter("mkt_rf IS NOT NULL"), MONTHS, names=("mkt_rf",))
+
+
 @query("e10_average_r2")
 def _(t):
     return e.average_r2(betas(t))

@@ -330,3 +330,55 @@ def test_target_of_a_later_row(spark):
     assert got == pytest.approx([0.09, 0.19, 0.29])
     two = df.unionByName(df.withColumn("permno", F.lit(2)).withColumn("ret_adjusted", F.col("ret_adjusted") + 1))
     assert sorted({round(x.y, 9) for x in m.with_target(two, industry_demean=True).collect()}) == [-0.5, 0.5]
+
+
+def test_sliding_moments_of_any_window():
+    """Equal to least squares over each window, with nearly collinear columns, a large level, gaps and months that repeat."""
+    r = np.random.RandomState(0)
+    index = np.sort(r.choice(400, 300))
+    z = r.randn(300, 4) + [1e5, 0, 3, 50]
+    z[:, 1] = z[:, 2] + 1e-3 * r.randn(300)
+    for months in (1, 36, 1000):
+        total, mean, products = e.sliding_moments(index, z, months)
+        good, beta, sse, _ = e.least_squares(total, mean, products, 24)
+        for k in range(300):
+            seen = z[(index > index[k] - months) & (index <= index[k])]
+            assert total[k] == len(seen) and np.allclose(mean[k], seen.mean(0), rtol=1e-12)
+            assert good[k] == (len(seen) >= 24)
+            if good[k]:
+                x = seen[:, :3] - seen[:, :3].mean(0)
+                w = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), seen[:, 3], rcond=None)[0][1:]
+                assert np.allclose(beta[k, 1:], w, rtol=1e-8, atol=1e-8 * np.abs(w).max())
+                assert np.isclose(sse[k], ((seen[:, 3] - seen[:, 3].mean() - x @ w) ** 2).sum(), rtol=1e-8)
+    assert not e.least_squares(*e.sliding_moments(index, z[:, [0, 0, 1]], 36), 24)[0].any()  # one column twice
+
+
+def test_betas_with_gaps(spark):
+    """Rows without a value take the window of those before, rows without an entity or enough rows have no betas."""
+    r = np.random.RandomState(3)
+    months = [dt.date(2000 + k // 12, k % 12 + 1, 1) for k in range(30)]
+    f = r.randn(30, 2)
+    y = 0.5 + f @ [1.5, -2.0] + 0.1 * r.randn(30)
+    rows = [(1, d, None if k in (4, 20, 29) else float(y[k])) for k, d in enumerate(months) if k != 11] + [(None, months[0], 1.0), (2, months[0], 1.0)]
+    factors = spark.createDataFrame([(d, *map(float, x)) for d, x in zip(months, f, strict=True)], "month date, a double, b double")
+    got = {(x.permno, x.month): x for x in e.rolling_betas(spark.createDataFrame(rows, "permno long, month date, excess double"), factors, 24, 10, ("a", "b")).collect()}
+    assert len(got) == 31 and got[None, months[0]].betas is None and got[2, months[0]].n_obs == 1 and got[2, months[0]].idio_var is None
+    for k in (9, 15, 20, 29):
+        seen = [i for i in range(max(0, k - 23), k + 1) if i not in (4, 11, 20, 29)]
+        x = np.column_stack([np.ones(len(seen)), f[seen]])
+        row = got[1, months[k]]
+        assert row.n_obs == len(seen) and (row.betas is None) == (len(seen) < 10)
+        if row.betas:
+            assert np.allclose(row.betas, np.linalg.lstsq(x, y[seen], rcond=None)[0], atol=1e-10)
+
+
+def test_pairs_of_many_entities(spark):
+    """500 entities: every pair of every block."""
+    r = np.random.RandomState(4)
+    b, own, f = r.randn(500, 5), r.rand(500), r.randn(40, 5)
+    months = [dt.date(2000 + k // 12, k % 12 + 1, 1) for k in range(40)]
+    betas = spark.createDataFrame([(i, months[-1], [0.0, *map(float, x)], float(s)) for i, (x, s) in enumerate(zip(b, own, strict=True))], "permno long, month date, betas array<double>, idio_var double")
+    factors = spark.createDataFrame([(d, *map(float, x)) for d, x in zip(months, f, strict=True)], "month date, mkt_rf double, smb double, hml double, rmw double, cma double")
+    got = e.factor_covariance(betas, factors, 40).toPandas()
+    expected = b @ np.cov(f.T) @ b.T + np.diag(own)
+    assert len(got) == 500 * 501 // 2 and np.allclose(got["cov"], expected[got["i"], got["j"]], atol=1e-10)

@@ -159,3 +159,27 @@ def test_registry(spark):
     assert catalog.FLAGSHIP in known and set(__spark_entry__.oracle_sql()) <= set(known)
     assert __spark_entry__.entry(spark).columns == ["permno", "month"]
     assert catalog.queries()["r3_funnel"](spark, SF).count() > 0
+
+
+def test_asof_meets_only_its_own_rows(spark):
+    """Against a plain search: ties by order, rows without entity or time, an age limit, and one entity with most rows on both sides."""
+    import random
+
+    r = random.Random(6)
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(days=k)
+    who = lambda: r.choice((1, 1, 1, 1, 2, 3, None))
+    left = [(who(), r.choice((None, *map(day, range(0, 3000, 7)))), k) for k in range(3000)]
+    right = [(who(), r.choice((None, *map(day, range(0, 3000, 9)))), k, r.choice((None, float(k)))) for k in range(2000)]
+    a = spark.createDataFrame(left, "permno long, month date, n long")
+    b = spark.createDataFrame(right, "permno long, available date, fyear long, x double")
+    for age in (None, 40):
+        out = j.asof_backward(a, b, order="fyear", max_age=age)
+        assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {x.n: (x.available, x.fyear, x.x) for x in out.collect()}
+        assert len(got) == 3000
+        for e, d, n in left:
+            fit = [x for x in right if e is not None and d is not None and x[0] == e and x[1] is not None and x[1] <= d]
+            best = max(fit, key=lambda x: (x[1], x[2]), default=None)
+            if best is not None and age is not None and (d - best[1]).days > age:
+                best = None
+            assert got[n] == ((None,) * 3 if best is None else best[1:]), n
