@@ -91,23 +91,45 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 def _named(text: str, names: set[str]) -> list[tuple[int, int]]:
     """Where the local part of a found address stands, as it is or with other marks between its parts."""
     plain = {n for n in names if len(n) >= 5}
-    parts = {"".join(p).lower(): len(p) for n in names if len(p := _PART.findall(n)) >= 2 and sum(map(len, p)) >= 5}
-    if not plain and not parts:
-        return []
-    out = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]{5,}+", text) if m[0] in plain]
-    longest, near = max(parts.values(), default=0), []  # the parts that stand one mark apart, at most as many as a name has
-    for m in _PART.finditer(text) if parts else ():
-        if near and not (m.start() - near[-1][1] == 1 and text[near[-1][1]] in _BETWEEN):
-            near = []
-        near = [*near, (m.start(), m.end(), m[0].lower())][-longest:]
-        joined = ""
-        for k in range(len(near) - 1, -1, -1):
-            joined = near[k][2] + joined
-            if parts.get(joined) == len(near) - k:
-                out.append((near[k][0], m.end()))
+    parts = [p for n in names if len(p := _PART.findall(n.lower())) >= 2 and sum(map(len, p)) >= 5]
+    out = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]{5,}+", text) if m[0] in plain] if plain else []
+    if not parts or not (runs := list(_runs(text))):
+        return out
+    # names of n parts are sought among all n neighbours of a run at once, by hashes from one running sum
+    at = [x for run in runs for x in run]
+    run_of = np.repeat(np.arange(len(runs)), [len(run) for run in runs])
+    hashed = _hashes([text[a:b].lower() for a, b in at])
+    known: dict[int, list[np.uint64]] = {}
+    for p in parts:
+        known.setdefault(len(p), []).append(_hashes(p)(np.array([0]), len(p))[0])
+    for n, wanted in known.items():
+        first = np.flatnonzero(run_of[: len(at) - n + 1] == run_of[n - 1 :]) if n <= len(at) else np.zeros(0, np.int64)
+        hits = first[np.isin(hashed(first, n), np.array(wanted, np.uint64))]
+        out += [(at[k][0], at[k + n - 1][1]) for k in hits.tolist()]
     return out
 
 
+def _hashes(parts: list[str]):
+    """A function from first parts and a number n to the hashes of n parts in a row."""
+    end = np.cumsum([len(p) + 1 for p in parts])
+    start = end - [len(p) + 1 for p in parts]
+    data = np.frombuffer(("\n".join(parts) + "\n").encode(), np.uint8)
+    return lambda first, n: blocks.span_hashes(data, start[first], end[first + n - 1])
+
+
+def _runs(text: str):
+    """Runs of two or more parts that stand one mark apart."""
+    run: list[tuple[int, int]] = []
+    for m in _PART.finditer(text):
+        if run and not (m.start() - run[-1][1] == 1 and text[run[-1][1]] in _BETWEEN):
+            if len(run) > 1:
+                yield run
+            run = []
+        run.append(m.span())
+    if len(run) > 1:
+        yield run
+
+
 def _keys(word: str) -> list[str]:
     """What makes two nodes alike: for numbers all digits and the last seven, for names the word, the name and its parts."""
     digits = "".join(_DIGITS.findall(word))

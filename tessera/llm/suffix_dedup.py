@@ -39,7 +39,7 @@ HELD_KEYS, HELD_CONTEXTS = 1 << 20, 1 << 17
 SORTED_BYTES = 1 << 18
 #: Text to a bucket, and to a target where what was found for a document comes together.
 BUCKET_BYTES, TARGET_BYTES = 8 << 20, 16 << 20
-#: From here up, ids stand for rows without one: by text, as rows alike in it are answered alike, but equal in order.
+#: From here up, numbers stand for rows without an id: by text, as rows alike in it are answered alike, but equal in order.
 NO_ID = 1 << 62
 #: Parts of a large group of exact copies.
 SALTS = 32
@@ -447,19 +447,29 @@ def _copies(rows: DataFrame) -> DataFrame:
     return marks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(parts, ["h", "g", "n", "salt"]).filter(order > F.col("least")).select("id", "rk")
 
 
+def _renumbered(rows: DataFrame) -> DataFrame:
+    """rows with numbers below NO_ID in the order of doc_id: ranges of ids, each sorted, counted on from range to range."""
+    ids = rows.select(F.col("doc_id").alias("of")).filter("of IS NOT NULL").distinct().repartitionByRange(blocks.partitions(rows.sparkSession), "of").sortWithinPartitions("of")
+    numbers = blocks.table(ids.withColumn("number", F.monotonically_increasing_id()))
+    return rows.join(numbers.hint("merge"), F.col("doc_id") == F.col("of"), "left").drop("of")
+
+
 def dedup(docs: DataFrame, hot: int = 1000, full: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with `full` also kept, the bytes), one row per input row.
 
     Strings are judged on the input texts as UTF-8. Null texts are empty; texts under 50 bytes
     lose nothing, an empty table gives an empty one. Rows with one doc_id do not remove each
-    other's strings; a null doc_id counts as larger than all others, and so do ids from 2^62 up.
+    other's strings; a null doc_id counts as larger than all others.
     Rows alike in doc_id and text get the same answer. A very long text is one row of a task like
     any other, read a chunk at a time. Only doc_id and text are read, so other columns cannot clash.
     """
     spark = docs.sparkSession
-    rows = cutting.numbered(docs).withColumn("id", F.coalesce("doc_id", F.col("rk").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))))
+    rows = cutting.numbered(docs)
     # buckets, targets and the line between hot keys and others follow the bytes of all texts
-    total = blocks.text_bytes(rows)
+    found = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max("doc_id").alias("largest")).first()
+    total = found.bytes or 0
+    rows = rows.withColumn("number", F.col("doc_id")) if (found.largest or 0) < NO_ID else _renumbered(rows)
+    rows = rows.select("doc_id", F.coalesce("number", F.col("rk").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))).alias("id"), "rk", "text")
     buckets, targets = 1 + total // BUCKET_BYTES, 1 + total // TARGET_BYTES
     hot = blocks.hot_from(total, hot)
     repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, targets, hot), _FOUND))
