@@ -10,10 +10,47 @@ from pyspark.sql import functions as F
 from tessera.operators.windows import rank_to_unit
 
 
+#: Rows up to which all of a group's values are looked through; of larger groups only those around the rank are.
+BAND_ROWS = 100_000
+#: Of the sketch that finds them: its ranks are off by n / SKETCH at most.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, names: Sequence[str], qs: Sequence[float], group: str | None = None, band_rows: int = BAND_ROWS, sketch: int = SKETCH) -> DataFrame:
+    """(group,) name, q, value, n: interpolated quantiles of the non-NULL values, exact at any size.
+
+    Distributed selection: a sketch of each column brackets the wanted rank, with ranks to spare for
+    its error. The next pass counts what lies below the bracket as one row and the values inside
+    one by one, both added up before they are sent. So a task holds the values around one rank, of large
+    groups a share of 6 / sketch, and never a whole group.
+    """
+    keys = [group] if group else []
+    long = df.select(*keys, *(F.col(n).cast("double").alias(n) for n in names)).unpivot(keys, list(names), "name", "value").filter("value IS NOT NULL")
+    keys = [*keys, "name"]
+    ends = [min(1.0, max(0.0, q + side * 3 / sketch)) for q in qs for side in (-1, 1)]
+    rough = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.percentile_approx("value", F.array(*(F.lit(e) for e in ends)), sketch).alias("_at"))
+    small = F.col("n") <= band_rows
+    bands = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.when(small, F.col("_lo")).otherwise(F.col("_at")[2 * k]).alias("lo"), F.when(small, F.col("_hi")).otherwise(F.col("_at")[2 * k + 1]).alias("hi")) for k, q in enumerate(qs)))
+    rough = rough.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", bands.alias("bands"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    near = long.join(rough, same).select(*keys, "value", "n", F.explode("bands").alias("band")).filter(F.col("value") <= F.col("band.hi"))
+    inside = F.col("value") >= F.col("band.lo")
+    counts = near.groupBy(*keys, "n", F.col("band.q").alias("q"), F.when(inside, F.col("value")).alias("value"), inside.alias("inside")).agg(F.count("*").alias("c"))
+    # false sorts first: the one row of all values below
+    upto = F.sum("c").over(Window.partitionBy(*keys, "q").orderBy("inside", "value").rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("n") - 1) * F.col("q")
+    at = lambda rank: F.min(F.when(F.col("inside") & (F.col("upto") > rank), F.col("value")))
+    found = counts.withColumn("upto", upto).groupBy(*keys, "q", "n").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"))
+    share = place - F.floor(place)
+    return found.select(*keys, "q", F.when(share == 0, F.col("low")).otherwise((1 - share) * F.col("low") + share * F.col("high")).alias("value"), "n")
+
+
 def group_quantile(df: DataFrame, x: str, q: float, group: str, where: Column | None = None, entity: str = "permno") -> DataFrame:
     """group, threshold (interpolated quantile) and n (distinct entities) over the rows that `where` selects."""
     base = df.filter(where) if where is not None else df
-    return base.groupBy(group).agg(F.percentile(x, F.lit(q)).alias("threshold"), F.count_distinct(entity).alias("n"))
+    counts = base.groupBy(F.col(group).alias("_g")).agg(F.count_distinct(entity).alias("n"))
+    limits = quantiles(base, [x], [q], group).select(group, F.col("value").alias("threshold"))
+    return counts.join(limits, F.col("_g").eqNullSafe(F.col(group)), "left").select(F.col("_g").alias(group), "threshold", "n")
 
 
 def funnel(df: DataFrame, conditions: dict[str, Column], group: str) -> DataFrame:
@@ -54,12 +91,15 @@ def collapse(df: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
     return df.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
 
 
-def medians(df: DataFrame, names: Sequence[str], group: str | None = None, least: int = 5, exact: bool = True) -> DataFrame:
-    """Overall or group medians; a group's is NULL below `least` values. Approximate ones need less memory."""
-    mid = lambda n: F.median(n) if exact else F.percentile_approx(n, 0.5, 10_000)
+def medians(df: DataFrame, names: Sequence[str], group: str | None = None, least: int = 5) -> DataFrame:
+    """Overall or group medians, exact at any size; a group's is NULL below `least` values."""
+    keys = [group] if group else []
+    found = quantiles(df, names, [0.5], group)
+    wide = found.groupBy(*keys).agg(*(F.max(F.when((F.col("name") == n) & (F.col("n") >= (least if group else 1)), F.col("value"))).alias(n) for n in names))
     if group is None:
-        return df.agg(*(mid(n).alias(n) for n in names))
-    return df.groupBy(group).agg(*(F.when(F.count(n) >= least, mid(n)).alias(n) for n in names))
+        return wide
+    every = df.select(F.col(group).alias("_g")).distinct()  # also groups without a value
+    return every.join(wide, F.col("_g").eqNullSafe(F.col(group)), "left").select(F.col("_g").alias(group), *names)
 
 
 def scaler(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -83,9 +83,11 @@ def percent_change(x: str | Column, n: int, order: str = "month") -> Column:
 
 def winsorise(df: DataFrame, x: str, p: float = 0.01, group: str = "month", out: str | None = None) -> DataFrame:
     """x limited to its p and 1 - p quantiles within the group."""
-    limits = df.groupBy(group).agg(F.percentile(x, F.array(F.lit(p), F.lit(1 - p))).alias("_limits"))
-    bounded = F.least(F.greatest(F.col(x), F.col("_limits")[0]), F.col("_limits")[1])
-    return df.join(limits, group, "left").withColumn(out or x, F.when(F.col(x).isNotNull(), bounded)).drop("_limits")
+    from tessera.operators.aggregates import quantiles  # which needs this module
+
+    limits = quantiles(df, [x], [p, 1 - p], group).groupBy(group).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    bounded = F.least(F.greatest(F.col(x), F.col("_low")), F.col("_high"))
+    return df.join(limits.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(out or x, F.when(F.col(x).isNotNull(), bounded)).drop("_g", "_low", "_high")
 
 
 def trailing_rank_mean(df: DataFrame, x: str, months: int = 3, entity: str = "permno", month: str = "month") -> DataFrame:

@@ -183,3 +183,26 @@ def test_asof_meets_only_its_own_rows(spark):
             if best is not None and age is not None and (d - best[1]).days > age:
                 best = None
             assert got[n] == ((None,) * 3 if best is None else best[1:]), n
+
+
+def test_quantiles_are_exact_at_any_size(spark):
+    """Heavy tails, ties, NULLs and a NULL group; sketches and bands so small that ranks are bracketed, against NumPy."""
+    r = np.random.RandomState(8)
+    x = np.concatenate([r.standard_cauchy(20_000), np.full(9_000, 1.5), r.randint(0, 5, 3_000), [np.nan] * 50])
+    g = r.choice([0, 0, 0, 1, 2], len(x))
+    rows = [(None if k == 2 else int(k), None if np.isnan(v) else float(v), float(k)) for k, v in zip(g, x, strict=True)] + [(3, 7.0, None), (4, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(4)
+    qs = (0.0, 0.01, 0.35, 0.5, 0.999, 1.0)
+    for options in ({}, {"band_rows": 20, "sketch": 200}):
+        got = {(k.g, k.name, k.q): (k.value, k.n) for k in a.quantiles(df, ["x", "y"], qs, "g", **options).collect()}
+        for group in (0, 1, None, 3):
+            for at, name in ((1, "x"), (2, "y")):
+                seen = [row[at] for row in rows if row[0] == group and row[at] is not None]
+                for q in qs if seen else ():
+                    value, n = got[group, name, q]
+                    assert n == len(seen) and value == pytest.approx(np.quantile(seen, q), rel=1e-12), (group, name, q)
+        assert not any(k[0] == 4 for k in got)
+        whole = {(k.name, k.q): k.value for k in a.quantiles(df, ["x"], [0.5], **options).collect()}
+        assert whole["x", 0.5] == np.median(x[~np.isnan(x)].tolist() + [7.0])
+    wide = {k.g: k for k in a.medians(df, ["x"], "g").collect()}
+    assert wide[3].x is None and wide[4].x is None and set(wide) == {0, 1, None, 3, 4}
