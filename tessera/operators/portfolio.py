@@ -25,15 +25,42 @@ def model(name: str):
     return add
 
 
-def forecasts(panel, names: Sequence[str]) -> DataFrame:
-    """model, form_month, permno, mu of the named models."""
-    parts = [MODELS[n](panel).select(F.lit(n).alias("model"), "form_month", "permno", "mu") for n in names]
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def forecasts(panel, names: Sequence[str]) -> DataFrame:
+    """model, form_month, permno, mu of the named models; an error for one that gives weights."""
+    made = {n: MODELS[n](panel) for n in names}
+    if direct := [n for n, x in made.items() if "mu" not in x.columns]:
+        raise ValueError(f"models without forecasts: {direct}; model_weights() takes them")
+    return _union([x.select(F.lit(n).alias("model"), "form_month", "permno", "mu") for n, x in made.items()])
+
+
+def model_weights(panel, names: Sequence[str], window: DataFrame, shrunk: DataFrame | None = None, **options) -> DataFrame:
+    """model, form_month, permno, weight, delta of the named models, over the entities of each window.
+
+    A model that gives weights is taken as it is and has no delta, without any covariance; one that
+    gives forecasts goes through mean_variance_weights(), for which `shrunk` and `options` are.
+    """
+    members = window.select("form_month", "permno").distinct()
+    parts, mus = [], []
+    for n in names:
+        made = MODELS[n](panel)
+        if "weight" in made.columns:
+            own = made.select(F.lit(n).alias("model"), "form_month", "permno", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("double").alias("delta"))
+            parts.append(own.filter("weight IS NOT NULL").join(members, ["form_month", "permno"], "left_semi"))
+        else:
+            mus.append(made.select(F.lit(n).alias("model"), "form_month", "permno", "mu"))
+    if mus:
+        solved = mean_variance_weights(window, shrunk, _union(mus), **options)
+        parts.append(solved.join(shrunk.select("form_month", "delta"), "form_month").select("model", "form_month", "permno", "weight", "delta"))
+    return _union(parts)
+
+
 def equal_weights(window: DataFrame) -> DataFrame:
     """form_month, permno, weight over the entities of each window."""
     members = window.select("form_month", "permno").distinct()

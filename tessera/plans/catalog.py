@@ -78,7 +78,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import models, reports  # noqa: F401  they register their queries
+    from tessera.plans import models, reports, storage  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
@@ -492,6 +492,30 @@ def _(t):
     return p.macro_series(series)
 
 
+@query("r8_spliced_volatility", """
+WITH x AS (SELECT *, total / lag(total) OVER (ORDER BY month) - 1 AS mr FROM monthly),
+r AS (SELECT month, quantity * 4 AS level, CASE WHEN count(mr) OVER y >= 12 THEN stddev_samp(mr) OVER y * sqrt(12) * 100 END AS realised FROM x WINDOW y AS (ORDER BY month ROWS 11 PRECEDING)),
+k AS (SELECT CASE WHEN count(*) >= 13 THEN avg(level) / avg(realised) ELSE 1 END AS scale FROM r WHERE month >= DATE '1998-01-01' AND realised IS NOT NULL)
+SELECT month, CASE WHEN month >= DATE '1998-01-01' THEN level ELSE realised * scale END AS volatility FROM r, k""", "volatility")
+def _(t):
+    """A volatility index from 1998 on, realised volatility at its level before."""
+    m = t.monthly
+    series = m.select("month", F.col("discount").alias("dp"), F.col("tax").alias("gs10"), F.col("returned").alias("tb3ms"), F.col("quantity").alias("cpi"), F.col("discount").alias("baa"), F.col("tax").alias("aaa"), F.col("total").alias("indpro"), w.percent_change("total", 1).alias("market_ret"))
+    index = m.filter("month >= DATE '1998-01-01'").select("month", (F.col("quantity") * 4).alias("volatility"))
+    return p.macro_series(series, index).select("month", "volatility")
+
+
+@query("r7_market_signals", """
+WITH m AS (SELECT s.permno, s.month, s.siccd, s.ret * 2 AS beta, ln(s.prc * s.vol) AS dolvol, a.ni / s.market_cap AS cfp, ln(s.market_cap) AS mvel1 FROM stock s LEFT JOIN accounting a ON a.gvkey = CAST(s.permno AS STRING) AND a.fyear = year(s.month) - 1)
+SELECT permno, month, beta * beta AS betasq, CASE WHEN count(dolvol) OVER z >= 6 THEN stddev_samp(dolvol) OVER z END AS std_dolvol, cfp - avg(cfp) OVER i AS cfp_ia, mvel1 - avg(mvel1) OVER i AS mve_ia FROM m
+WINDOW i AS (PARTITION BY substr(CAST(siccd AS STRING), 1, 2), month), z AS (PARTITION BY permno ORDER BY month ROWS 11 PRECEDING)""", "betasq std_dolvol cfp_ia mve_ia")
+def _(t):
+    figures = t.accounting.select(F.col("gvkey").cast("long").alias("permno"), (F.col("fyear") + 1).alias("year"), "ni")
+    at = t.stock.withColumn("year", F.year("month")).join(figures, ["permno", "year"], "left")
+    at = at.select("permno", "month", "siccd", (F.col("ret") * 2).alias("beta"), F.ln(F.col("prc") * F.col("vol")).alias("dolvol"), (F.col("ni") / F.col("market_cap")).alias("cfp"), F.ln("market_cap").alias("mvel1"))
+    return p.derived_signals(at).select("permno", "month", "betasq", "std_dolvol", "cfp_ia", "mve_ia")
+
+
 @query("r9_s5_s6_signal_panel", f"""
 WITH {_JUNE.format(cap=50)}, {_SEED}, u AS (SELECT permno, CAST(make_date(year, 7, 1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM y, (SELECT unnest(range(12)) AS k) m UNION SELECT permno, month FROM seed)
 SELECT t.permno, t.vol AS turnover_signal, t.ret AS reversal_signal, t.month FROM stock t SEMI JOIN u ON t.permno = u.permno AND t.month = u.month""", "turnover_signal reversal_signal")

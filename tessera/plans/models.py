@@ -191,6 +191,26 @@ def _(t):
     return b.forecasts(t, ["trailing_mean", "market_beta"])
 
 
+@b.model("equal")
+def _(t):
+    return b.equal_weights(windows(t))
+
+
+@b.model("by_size")
+def _(t):
+    """Weights by market cap over all that are there at the formation month."""
+    at = t.stock.filter("market_cap IS NOT NULL").select(F.col("month").alias("form_month"), "permno", "market_cap")
+    return at.withColumn("weight", F.col("market_cap") / F.sum("market_cap").over(w.Window.partitionBy("form_month")))
+
+
+@query("b7_direct_weights", f"""
+WITH {_SHRINK.split("cx AS")[0].rstrip().rstrip(",")}
+SELECT 'equal' AS model, form_month, permno, 1.0 / count(*) OVER (PARTITION BY form_month) AS weight, NULL::DOUBLE AS delta FROM (SELECT DISTINCT form_month, permno FROM wd)
+UNION ALL SELECT 'by_size', z.month, z.permno, z.weight, NULL FROM (SELECT month, permno, market_cap / sum(market_cap) OVER (PARTITION BY month) AS weight FROM stock) z SEMI JOIN wd ON wd.form_month = z.month AND wd.permno = z.permno""", "weight delta")
+def _(t):
+    return b.model_weights(t, ["equal", "by_size"], windows(t))
+
+
 # --- learned models ------------------------------------------------------------------------------
 
 CHARACTERISTICS, MACROS = ("reversal_st", "momentum", "illiquidity", "bm", "gp", "dlret"), ("dp_ratio", "volatility")

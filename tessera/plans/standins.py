@@ -6,6 +6,7 @@ Definitions follow FIXTURES.md: suppliers are entities, ship months the calendar
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,16 +98,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(BASE) + r")\b", r"\1 {\2}", sql), **tables)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, which also keeps the plans above it short.
-
-    The folder is the cluster's spark.checkpoint.dir; unset, one is made in local mode (tests), else it is an error.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; unset, a folder is made in local mode (tests), else it is an error."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, which also keeps the plans above it short."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new place for files in the shared checkpoint folder."""
+    return f"{_shared(spark).rstrip('/')}/files-{uuid.uuid4().hex}"

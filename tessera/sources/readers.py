@@ -68,9 +68,19 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Parquet sink of panels and diagnostics, partitioned by a column (such as year) if named."""
+    """Parquet sink of panels and diagnostics; with a partition column (such as year) only the partitions in df are replaced.
+
+    Spark stages the files of such a write and moves whole partitions when all tasks are done, so
+    a run that is broken off leaves the old ones, and one that is repeated replaces just its own.
+    """
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    (writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic") if partition else writer).parquet(path)
+
+
+def write_forecasts(forecasts: DataFrame, path: str) -> None:
+    """Stored forecasts (permno, month, expected_ret single) by year from permno, month, expected_ret; other years stay."""
+    rows = forecasts.select(F.col("permno").cast("long").alias("permno"), F.year("month").alias("year"), F.month("month").alias("month"), F.col("expected_ret").cast("float").alias("expected_ret"))
+    write_table(rows, path, "year")
 
 
 def write_report(df: DataFrame, path: str) -> None:
