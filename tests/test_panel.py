@@ -206,3 +206,32 @@ def test_quantiles_are_exact_at_any_size(spark):
         assert whole["x", 0.5] == np.median(x[~np.isnan(x)].tolist() + [7.0])
     wide = {k.g: k for k in a.medians(df, ["x"], "g").collect()}
     assert wide[3].x is None and wide[4].x is None and set(wide) == {0, 1, None, 3, 4}
+
+
+def test_partitioned_sink_replaces_its_own_years(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    rows = [(k, dt.date(y, 1 + k, 1), float(y + k)) for y in (1999, 2000, 2001) for k in range(3)]
+    table = spark.createDataFrame(rows, "permno long, month date, expected_ret double")
+    readers.write_forecasts(table, path)
+    readers.write_forecasts(table.filter("year(month) = 2000 AND permno < 2").withColumn("expected_ret", F.lit(0.5)), path)
+    got = {(x.permno, x.month.year): x.mu for x in readers.read_forecasts(spark, path).collect()}
+    assert got == {(k, y): float(y + k) for y in (1999, 2001) for k in range(3)} | {(0, 2000): 0.5, (1, 2000): 0.5}
+    broken = table.filter("year(month) = 1999").withColumn("expected_ret", F.when(F.col("permno") == 2, F.raise_error(F.lit("broken off")).cast("double")).otherwise(F.lit(9.0)))
+    with pytest.raises(Exception, match="broken off"):
+        readers.write_forecasts(broken, path)
+    assert {(x.permno, x.month.year): x.mu for x in readers.read_forecasts(spark, path).collect()} == got
+
+
+def test_models_that_give_weights(spark):
+    window = spark.createDataFrame([(dt.date(2000, 3, 1), dt.date(2000, m, 1), k, 0.01 * k * m) for m in (1, 2, 3) for k in range(12)], "form_month date, month date, permno long, r double")
+    b.MODELS["direct"] = lambda _: spark.createDataFrame([(dt.date(2000, 3, 1), k, 0.25) for k in (0, 1, 2, 99)], "form_month date, permno long, weight double")
+    b.MODELS["guess"] = lambda _: spark.createDataFrame([(dt.date(2000, 3, 1), k, 0.01 * k) for k in range(12)], "form_month date, permno long, mu double")
+    try:
+        got = b.model_weights(None, ["direct", "guess"], window, e.shrinkage(window), cap=0.2).collect()
+        assert sorted((x.permno, x.weight, x.delta) for x in got if x.model == "direct") == [(k, 0.25, None) for k in (0, 1, 2)]  # 99 is in no window
+        solved = [x for x in got if x.model == "guess"]
+        assert sum(x.weight for x in solved) == pytest.approx(1) and all(x.delta is not None for x in solved)
+        with pytest.raises(ValueError, match="direct"):
+            b.forecasts(None, ["guess", "direct"])
+    finally:
+        del b.MODELS["direct"], b.MODELS["guess"]
