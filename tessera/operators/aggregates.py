@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.windows import rank_to_unit
@@ -162,18 +162,25 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df, or an error that names a repeated key."""
-    twice = df.groupBy(*keys).count().filter("count > 1").first()
-    if twice is not None:
-        raise ValueError(f"key {tuple(keys)} occurs {twice['count']} times for {tuple(twice[k] for k in keys)}")
-    return df
-
-
-def assert_before(train: DataFrame, test: DataFrame, month: str = "month") -> None:
-    """An error unless all training months lie before all test months, as the data have them."""
-    end, start = train.agg(F.max(month)).first()[0], test.agg(F.min(month)).first()[0]
-    if end is not None and start is not None and end >= start:
-        raise ValueError(f"training data reach {end}, test data begin {start}")
+    """df with a check in its plan: whatever reads it fails at a repeated key and names it; no job of its own."""
+    message = F.concat(F.lit("key "), F.to_json(F.struct(*keys)), F.lit(" occurs "), F.col("_times").cast("string"), F.lit(" times"))
+    counted = df.withColumn("_times", F.count("*").over(Window.partitionBy(*keys)))
+    return counted.filter(F.when(F.col("_times") > 1, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_times")
+
+
+def assert_before(train: DataFrame, test: DataFrame, month: str = "month") -> DataFrame:
+    """test with a check in its plan: reading it fails unless all its months lie after those of train."""
+    end = train.agg(F.max(month).alias("_end"))  # one row
+    message = F.concat(F.lit("training data reach "), F.col("_end").cast("string"), F.lit(", test data have "), F.col(month).cast("string"))
+    early = F.col(month) <= F.col("_end")
+    return test.crossJoin(F.broadcast(end)).filter(F.when(early, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_end")
+
+
+def watch_nulls(df: DataFrame, names: Sequence[str], where: Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation that holds the missing shares of the columns inside a window once df has been written or read."""
+    seen = Observation("nulls")
+    inside = F.coalesce(where, F.lit(False))
+    return df.observe(seen, *(F.try_divide(F.count_if(inside & F.col(n).isNull()), F.count_if(inside)).alias(n) for n in names)), seen
 
 
 def null_rates(df: DataFrame, names: Sequence[str], where: Column) -> DataFrame:

@@ -197,17 +197,30 @@ def _complete(rows) -> np.ndarray:
     return np.array([r is not None and all(v is not None and math.isfinite(v) for v in r) for r in rows], bool)
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
-    mean, level = x.mean(axis=0), y.mean()
-    beta = np.linalg.solve((x - mean).T @ (x - mean) + alpha * np.eye(x.shape[1]), (x - mean).T @ (y - level))
-    return beta, level - mean @ beta
+class _Prefix:
+    """Cross-products of the first rows of x and y for every number of rows, from one running sum each."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.z = np.hstack([x, y])
+        self.q = x.shape[1]
+        self.sums = np.vstack([np.zeros(self.z.shape[1]), np.cumsum(self.z, axis=0)])
+        self.products = np.concatenate([np.zeros((1, self.z.shape[1], self.z.shape[1])), np.cumsum(self.z[:, :, None] * self.z[:, None, :], axis=0)])
+
+    def ridge(self, rows: int, alphas: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes (alphas x columns of x x columns of y) and levels of ridge on the first rows; all alphas from one eigendecomposition."""
+        mean = self.sums[rows] / rows
+        s = self.products[rows] - rows * np.outer(mean, mean)
+        value, vector = np.linalg.eigh(s[: self.q, : self.q])
+        turned = vector.T @ s[: self.q, self.q :]
+        beta = np.stack([vector @ (turned / (np.maximum(value, 0) + alpha)[:, None]) for alpha in alphas])
+        return beta, mean[self.q :] - mean[: self.q] @ beta
 
 
 def ridge_premia(windows: DataFrame, least: int = 60, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """form_month, premia, alphas: each factor on last month's macro state by ridge, else its mean.
 
     The penalty is chosen by forward folds: the rows are cut into folds + 1 parts in time and
-    each part but the first is predicted from all rows before it.
+    each part but the first is predicted from all rows before it, by prefix sums of their products.
     """
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -224,20 +237,18 @@ def ridge_premia(windows: DataFrame, least: int = 60, alphas: Sequence[float] =
             x, x_now = (x - mean) / sd, (np.array(now.iloc[-1]) - mean) / sd
             n, part = len(x), len(x) // (folds + 1)
             starts = [n - part * k for k in range(folds, 0, -1)]
-            for k in range(f.shape[1]):
-                y = f[valid, k]
-                if not np.isfinite(y).all():
-                    continue
-                errors = []
-                for a in alphas:
-                    miss = []
-                    for s in starts:
-                        beta, level = _ridge(x[:s], y[:s], a)
-                        miss.append(np.mean((y[s : s + part] - x[s : s + part] @ beta - level) ** 2))
-                    errors.append(np.mean(miss))
-                best = alphas[int(np.argmin(errors))]
-                beta, level = _ridge(x, y, best)
-                premia[k], chosen[k] = x_now @ beta + level, best
+            full = np.flatnonzero(np.isfinite(f[valid]).all(axis=0))
+            y = f[valid][:, full]
+            if len(full):
+                sums = _Prefix(x, y)
+                miss = []
+                for s in starts:
+                    beta, level = sums.ridge(s, alphas)
+                    miss.append(((y[s : s + part] - x[s : s + part] @ beta - level[:, None, :]) ** 2).mean(axis=1))
+                best = np.mean(miss, axis=0).argmin(axis=0)
+                beta, level = sums.ridge(n, alphas)
+                for k, pick, at in zip(full, best, range(len(full)), strict=True):
+                    premia[k], chosen[k] = x_now @ beta[pick, :, at] + level[pick, at], alphas[pick]
         return pd.DataFrame({**{n: [g[n].iloc[0]] for n in keys}, "form_month": [form], "premia": [premia.tolist()], "alphas": [chosen]})
 
     schema = ", ".join([*(f"{n} {dict(windows.dtypes)[n]}" for n in keys), "form_month date, premia array<double>, alphas array<double>"])

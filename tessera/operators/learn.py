@@ -231,7 +231,7 @@ def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Seq
     chosen = []
     for s in plan:
         tune, validation, train, test = (between(panel, s[r]) for r in ("tune", "validation", "train", "test"))
-        a.assert_before(train, test)
+        test = a.assert_before(train, test)
         first = builder().fit(tune)
         x = first.transform(tune)
         projection = Projection(k).fit(x)

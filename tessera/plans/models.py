@@ -229,7 +229,7 @@ def builder() -> m.FeatureBuilder:
 def halves(t: Tables) -> tuple[m.FeatureBuilder, DataFrame, DataFrame]:
     panel = learning_panel(t)
     train, test = m.between(panel, (1995, 1998)), m.between(panel, (1999, 2001))
-    a.assert_before(train, test)
+    test = a.assert_before(train, test)
     fitted = builder().fit(train)
     return fitted, settled(fitted.transform(train)), settled(fitted.transform(test))
 
@@ -248,11 +248,25 @@ def _(t):
     return test.select("permno", "month", F.size(x).alias("width"), F.array_max(x).alias("high"), F.array_min(x).alias("low"))
 
 
-@query("m6_splits", "SELECT y AS test_year, r AS role, CASE r WHEN 'test' THEN y WHEN 'validation' THEN y - 2 ELSE 1995 END AS lo, CASE r WHEN 'tune' THEN y - 3 WHEN 'test' THEN y ELSE y - 1 END AS hi FROM range(1999, 2002) t(y), (VALUES ('tune'), ('validation'), ('train'), ('test')) v(r)")
+@query("m6_splits", """
+SELECT y AS test_year, r AS role, count(*) AS n, min(month) AS first, max(month) AS last FROM stock, range(1999, 2002) t(y), (VALUES ('tune'), ('validation'), ('train'), ('test')) v(r)
+WHERE ret IS NOT NULL AND year(month) BETWEEN CASE r WHEN 'test' THEN y WHEN 'validation' THEN y - 2 ELSE 1995 END AND CASE r WHEN 'tune' THEN y - 3 WHEN 'test' THEN y ELSE y - 1 END GROUP BY 1, 2""")
 def _(t):
-    plan = m.splits_table(t.spark, m.splits(1999, 2001, 1995, 2))
-    years = t.stock.select(F.year("month").alias("year")).distinct()
-    return plan.join(years, plan.test_year == years.year).drop("year")
+    """The rows of each window as expanding_forecasts() cuts them, tests after their training."""
+    at, parts = t.stock.filter("ret IS NOT NULL"), []
+    for s in m.splits(1999, 2001, 1995, 2):
+        cut = {role: m.between(at, s[role]) for role in ("tune", "validation", "train", "test")}
+        cut["test"] = a.assert_before(cut["train"], cut["test"])
+        parts += [x.select(F.lit(s["test_year"]).alias("test_year"), F.lit(role).alias("role"), "month") for role, x in cut.items()]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.groupBy("test_year", "role").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
+
+
+@query("c2_test_after_training", "SELECT permno, month FROM stock WHERE year(month) BETWEEN 1999 AND 2001")
+def _(t):
+    return a.assert_before(m.between(t.stock, (1995, 1998)), m.between(t.stock, (1999, 2001))).select("permno", "month")
 
 
 @query("m7_m8_m10_surface")
@@ -322,6 +336,12 @@ def _(t):
     return a.zero_r2(model.transform(test), "y", "prediction", "month")
 
 
+@query("m13_forest_surface")
+def _(t):
+    _, train, test = halves(t)
+    return m.forest_surface(train, test, tuning_trees=20, least_leaf=200)
+
+
 @query("m14_forest_report")
 def _(t):
     fitted, train, _ = halves(t)

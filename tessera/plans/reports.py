@@ -12,7 +12,8 @@ from tessera.operators import evaluate as v
 from tessera.operators import portfolio as b
 from tessera.operators import windows as w
 from tessera.plans.catalog import Tables, query
-from tessera.plans.standins import settled
+from tessera.plans.standins import folder, settled
+from tessera.sources import readers
 
 MONTHS, TOP = 24, {"broad": 500, "large": 10}
 
@@ -108,12 +109,18 @@ def _(t):
 
 
 @query("b9_primary_frontier", f"""
-WITH {_LOG}, st AS (SELECT model, 'none' AS cap_label, -1.0::DOUBLE AS net FROM wt GROUP BY 1 UNION ALL SELECT 'stored', 'none', -1.0::DOUBLE), cm AS (SELECT model, 'none' AS cap_label, avg(net_return) AS net FROM lg GROUP BY 1)
-SELECT * FROM cm UNION ALL SELECT * FROM st WHERE model NOT IN (SELECT model FROM cm)""", "net")
-def _(t):
-    computed = log(t).groupBy("model").agg(F.avg("net_return").alias("net")).select("model", F.lit("none").alias("cap_label"), "net")
-    stored = t.spark.createDataFrame([(m, "none", -1.0) for m in (*TOP, "stored")], "model string, cap_label string, net double")
-    return b.primary_frontier(computed, stored)
+WITH {_LOG}, cm AS (SELECT model, 'none' AS cap_label, avg(net_return) AS net FROM lg WHERE model = 'large' GROUP BY 1),
+st AS (SELECT model, 'none' AS cap_label, avg(gross_return) AS net FROM lg GROUP BY 1 UNION ALL SELECT model, 'year ' || year(form_month), avg(gross_return) FROM lg GROUP BY 1, 2)
+SELECT * FROM cm UNION ALL SELECT * FROM st WHERE NOT (model = 'large' AND cap_label = 'none')""", "net")
+def _(t):
+    """The frontier computed now for one model, before that of an earlier run, which was stored and is read back."""
+    at = log(t)
+    path = folder(t.spark)
+    stored = at.groupBy("model").agg(F.avg("gross_return").alias("net")).select("model", F.lit("none").alias("cap_label"), "net")
+    by_year = at.groupBy("model", F.concat(F.lit("year "), F.year("form_month")).alias("cap_label")).agg(F.avg("gross_return").alias("net"))
+    readers.write_table(stored.unionByName(by_year), path)
+    computed = at.filter("model = 'large'").groupBy("model").agg(F.avg("net_return").alias("net")).select("model", F.lit("none").alias("cap_label"), "net")
+    return b.primary_frontier(computed, t.spark.read.parquet(path))
 
 
 @query("v1_performance", f"WITH {_LOG}, lr AS (SELECT lg.*, coalesce(f.rf, 0) AS rf FROM lg LEFT JOIN factors f ON f.month = lg.ret_month), {_METRICS.format(log='lr', rf='rf')} SELECT * FROM pf", _ALL)

@@ -67,10 +67,10 @@ def test_link_validity(spark):
 def test_doubled_columns_and_keys_fail(panel):
     with pytest.raises(ValueError, match="both sides"):
         j.with_series(panel, panel.select("month", "x"))
-    with pytest.raises(ValueError, match="occurs 2 times"):
-        a.assert_unique(panel.unionByName(panel.limit(1)), ["permno", "month"])
-    with pytest.raises(ValueError, match="training data reach"):
-        a.assert_before(panel, panel)
+    with pytest.raises(Exception, match="occurs 2 times"):
+        a.assert_unique(panel.unionByName(panel.limit(1)), ["permno", "month"]).collect()
+    with pytest.raises(Exception, match="training data reach"):
+        a.assert_before(panel, panel).collect()
 
 
 def test_quantile_of_one_and_top_k_ties(spark):
@@ -235,3 +235,23 @@ def test_models_that_give_weights(spark):
             b.forecasts(None, ["guess", "direct"])
     finally:
         del b.MODELS["direct"], b.MODELS["guess"]
+
+
+def test_checks_ride_along(spark, tmp_path):
+    """A table that breaks a rule fails on write and names the key; one that keeps it is written by that write alone."""
+    rows = [(k % 50, month(k // 50), None if k % 4 else 1.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "permno long, month date, x double").repartition(4).cache()
+    df.count()
+    seen, nulls = a.watch_nulls(a.assert_before(df.filter(F.col("month") < month(0)), a.assert_unique(df, ["permno", "month"])), ["x"], F.col("permno") < 10)
+    spark.sparkContext.setJobGroup("one", "one")
+    seen.write.parquet(str(tmp_path / "kept"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    group = [x for x in rows if x[0] < 10]
+    assert nulls.get["x"] == sum(x[2] is None for x in group) / len(group)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 200
+    with pytest.raises(Exception, match='"permno":7.* occurs 2 times'):
+        a.assert_unique(df.unionByName(df.filter(F.col("permno") == 7)), ["permno", "month"]).write.parquet(str(tmp_path / "broken"))
+    later = df.filter(F.col("month") >= month(2))
+    assert a.assert_before(df.filter(F.col("month") < month(2)), later).count() == later.count()
+    with pytest.raises(Exception, match="training data reach"):
+        a.assert_before(df, later).write.parquet(str(tmp_path / "early"))
