@@ -108,7 +108,10 @@ def train(
 ) -> np.ndarray:
     """Weights of the slots and, last, the bias. Held-out rows and rows without a label are not used.
 
-    Labels that repeat a doc_id count once (the least). Without usable labels all weights are 0.
+    Labels that repeat a doc_id count once (the least), rows that repeat it are examples each. Without
+    usable labels, as with an empty table on either side, all weights are 0. Null and empty texts are
+    examples without n-grams. A long text is read whole, a chunk of rows at a time; its example has
+    at most one entry a slot. Only doc_id and text, and doc_id and quality, are read.
     """
     marks = labels.select("doc_id", F.col("quality").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y")).filter(~held_out())
     share = min(1.0, max_rows / max(1, marks.count()))
@@ -122,7 +125,12 @@ def train(
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted; one row per input row. Null and empty texts get the bias' score."""
+    """doc_id, held_out, score (0 to 1), predicted; one row per input row.
+
+    Null and empty texts get the bias' score; rows that repeat are scored each, a null doc_id is not
+    held out, an empty table gives an empty one. Time is linear in a text's length; only doc_id
+    and text are read, so other columns cannot clash.
+    """
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

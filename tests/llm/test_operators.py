@@ -11,8 +11,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, components, decontaminate, lm, pii, quality_model, quality_rules, secrets, simhash
@@ -450,3 +452,87 @@ def test_quality_classifier_held_out(spark, make):
 @pytest.mark.parametrize("operator", [simhash.near_duplicates, quality_rules.judge, secrets.scan])
 def test_empty_tables(make, operator):
     assert operator(make([])).collect() == []
+
+
+def plain_grams(text):
+    """N-grams of words and of shapes, with their kind, in plain Python."""
+    words = WORD.findall(text)
+    shapes, before = [], None
+    for w in words:
+        marks = "".join("a" if c.islower() or ord(c) >= 128 else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else c for c in w)
+        shapes.append("again" if w == before else "".join(k for k, _ in itertools.groupby(marks)))
+        before = w
+    return [(kind, *x[k : k + n]) for kind, x, most in (("word", words, 2), ("shape", shapes, 3)) for n in range(1, most + 1) for k in range(len(x) - n + 1)]
+
+
+def plain_ftrl(rows, passes, alpha, beta, l1, l2):
+    """One coordinate at a time."""
+    z, n, order = collections.Counter(), collections.Counter(), np.random.RandomState(7)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_classifier_against_plain_python(spark, make):
+    """N-grams, FTRL steps, shard average and scores, each against a version without NumPy."""
+    r = random.Random(16)
+    texts = [" ".join(r.choice(("Ab1", "word", "word", "x#y", "1,234", "über", "MIX", "a")) for _ in range(r.randint(1, 12))) for _ in range(40)] + ["", None]
+    slot_of = {}
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        _, slots = quality_model._slots(data, np.array([0, len(data)]))
+        grams = plain_grams(t or "")
+        # in the order of kinds and lengths, as the operator lists them
+        assert len(slots) == len(grams)
+        for g, s in zip(grams, slots.tolist(), strict=True):
+            assert slot_of.setdefault(g, s) == s, g
+    assert len(set(slot_of.values())) > 0.99 * len(slot_of)
+
+    def example(t):
+        grams = plain_grams(t or "")
+        out = collections.Counter(slot_of[g] for g in grams)
+        return {i: float(np.float32(c * (quality_model.SCALE / len(grams)))) for i, c in out.items()} | {1 << quality_model.BITS: 1.0}
+
+    docs, marks = make(list(enumerate(texts))), spark.createDataFrame([(k, k % 2) for k in range(42)], "doc_id long, quality int")
+    options = {"passes": 2, "alpha": 0.5, "beta": 1.0, "l1": 0.02, "l2": 0.1}
+    parts = quality_model._examples(docs.join(marks.withColumnRenamed("quality", "y"), "doc_id").filter(~quality_model.held_out()), 3).toPandas()
+    total, expected = len(parts), collections.Counter()
+    for _, shard in parts.groupby("shard"):
+        rows = [(dict(zip(np.frombuffer(s, np.int32).tolist(), np.frombuffer(v, np.float32).tolist(), strict=True)) | {1 << quality_model.BITS: 1.0}, y) for s, v, y in zip(shard["slots"], shard["values"], shard["y"], strict=True)]
+        # every example is that of some text
+        assert all(any(x == example(t) for t in texts) for x, _ in rows)
+        fitted = quality_model._ftrl(pa.Table.from_pandas(shard), **options)
+        plain = plain_ftrl(rows, **options)
+        got = np.frombuffer(fitted["weights"][0].as_py(), np.float32)
+        assert fitted["rows"][0].as_py() == len(rows) and max(abs(got[i] - w) for i, w in plain.items()) < 1e-5 and (got != 0).sum() <= len(plain)
+        for i, w in plain.items():
+            expected[i] += w * len(rows) / total
+    # the average of the shards is what scores; the order of a shard's rows may differ, so compare one-row shards
+    few = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2][:1]
+    one = marks.filter(F.col("doc_id").isin(few))
+    weights = quality_model.train(docs, one, shards=1, **options)
+    plain = plain_ftrl([(example(texts[few[0]]), few[0] % 2)], **options)
+    assert max(abs(weights[i] - w) for i, w in plain.items()) < 1e-6 and (weights != 0).sum() == sum(w != 0 for w in plain.values())
+    for x in quality_model.score(docs, weights).collect():
+        margin = sum(plain.get(i, 0.0) * v for i, v in example(texts[x.doc_id]).items())
+        assert x.score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-6) and x.predicted == int(x.score >= 0.7)
+
+
+def test_quality_classifier_on_empty_tables_and_long_texts(spark, make):
+    marks = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert not quality_model.train(make([]), marks).any() and not quality_model.train(make([(1, "a b")]), marks.limit(0)).any()
+    weights = quality_model.train(make([(1, "a b " * 400_000), (1, "a b"), (2, "C D"), (3, None)]), marks)
+    assert quality_model.score(make([]), weights).collect() == []
+    found = quality_model.score(make([(1, "a b " * 400_000), (1, "a b " * 400_000), (None, ""), (9, None)]), weights).collect()
+    assert len(found) == 4 and found[0].score == found[1].score and found[2].score == found[3].score

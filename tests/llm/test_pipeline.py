@@ -29,3 +29,42 @@ def test_run(spark, tmp_path):
     last = {x.doc_id: x.text for x in docs.collect()}
     assert 24 not in last or "[EMAIL]" in last[24]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def stages(spark, docs, folder):
+    """The rows after every stage, each written and read again."""
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if name == "bpe":
+            return kept, out.collect()
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        kept.append(docs.collect())
+
+
+def test_awkward_rows_through_all_stages(spark, make, tmp_path):
+    """Repeated and null ids, columns whose names the operators use inside, very long texts and copies, against each row's own merits."""
+    r = random.Random(18)
+    item = prose(r, 30)
+    spark.createDataFrame([(1, item), (1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [prose(r, 60) + "." for _ in range(9)]
+    long = ". ".join(prose(r, 12) for _ in range(6_000)) + "."
+    bad = clean[8] + " " + item + "."
+    rows = [(1, clean[0]), (1, clean[1]), (1, clean[1]), (None, clean[2]), (None, clean[3]), (None, clean[3]), (5, clean[0]), (6, long), (7, long), (None, bad), (8, bad), (9, None), (None, None), (10, ""), (3, clean[4] + " mail to some.one@mail.example.org")]
+    kept, last = stages(spark, make(rows), str(tmp_path))
+    texts = lambda k: sorted((x.doc_id if x.doc_id is not None else -1, x.text[:20]) for x in kept[k])
+    named = lambda *x: sorted((i if i is not None else -1, t[:20]) for i, t in x)
+    assert texts(0) == named(*[x for x in rows if x[1]])
+    left = [(1, clean[0]), (1, clean[1]), (None, clean[2]), (None, clean[3]), (6, long), (8, bad), (3, clean[4])]
+    assert texts(1) == named(*left)
+    assert texts(2) == named(*[x for x in left if x[1] != bad])
+    assert texts(3) == texts(2) and all("@" not in x.text for x in kept[3]) and all(x.rk == "x" for x in kept[3])
+    assert sorted((x.doc_id if x.doc_id is not None else -1) for x in last) == sorted(i for i, _ in texts(3))
+
+
+def test_empty_tables_through_all_stages(spark, make, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, last = stages(spark, make([]), str(tmp_path))
+    assert kept == [[]] * 4 and last == []
