@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages over `documents`, each written and read again as the next one's input.
 
 All stages but the last keep the columns of documents; the last returns the token ids' digests.
+Rows are judged each by their own text, also where they repeat a doc_id or have none; null and empty
+texts fail the quality rules, very long ones are read whole, an empty table stays one, and columns
+of any other name are carried along.
 """
 
 from __future__ import annotations
