@@ -322,6 +322,27 @@ def _(t):
     return m.choose_epsilon(projection.transform(train), projection.transform(test), 1e-3, 0.5)
 
 
+@query("m11_forecast_table", """
+WITH q AS (SELECT month, quantile_cont(ret, 0.01) AS lo, quantile_cont(ret, 0.99) AS hi FROM stock GROUP BY month)
+SELECT permno, s.month, CASE WHEN ret IS NOT NULL THEN least(greatest(ret, lo), hi) END AS expected_ret, ret AS raw_ret FROM stock s JOIN q ON q.month = s.month""", "expected_ret raw_ret")
+def _(t):
+    return m.forecast_table(t.stock.withColumn("prediction", F.col("ret")))
+
+
+@query("m12_l3_importance", """
+WITH x AS (SELECT (1 + ret) * (1 + coalesce(dlret, 0)) - 1 - f.rf AS y, ln(prc) AS a, ln(vol) AS b, ln(market_cap) AS c FROM stock s JOIN factors f ON s.month = f.month WHERE ret IS NOT NULL),
+p AS (SELECT *, 0.1 + 0.02 * a - 0.03 * b + 0.001 * c AS p FROM x)
+SELECT 'price' AS name, 1 - sum((y - p) ** 2) / sum(y * y) - (1 - sum((y - p + 0.02 * a) ** 2) / sum(y * y)) AS drop FROM p
+UNION ALL SELECT 'volume', 1 - sum((y - p) ** 2) / sum(y * y) - (1 - sum((y - p - 0.03 * b) ** 2) / sum(y * y)) FROM p""", "drop")
+def _(t):
+    """A linear model of three features, of which the two with the largest weights are asked for."""
+    from pyspark.ml.functions import array_to_vector
+
+    at = m.with_target(j.with_series(adjusted(t), t.factors.select("month", "rf"))).filter("y IS NOT NULL")
+    at = at.select("y", array_to_vector(F.array(F.ln("prc"), F.ln("vol"), F.ln("market_cap"))).alias("features"))
+    return m.zero_out_importance(m.predict_linear(at, [0.02, -0.03, 0.001], 0.1, "features"), [0.02, -0.03, 0.001], ["price", "volume", "size"], top=2)
+
+
 @query("m12_importance")
 def _(t):
     fitted, train, test = halves(t)

@@ -143,18 +143,25 @@ def _(t):
 
 
 #: The two-sided p-value of Student's t in SQL: one less the density's integral between -t and t, by Simpson's rule.
-@query("e11_market_regression", f"""
-WITH {_LOG}, z AS (SELECT lg.model, lg.net_return - f.rf AS y, f.mkt_rf AS x FROM lg JOIN factors f ON f.month = lg.ret_month),
-r AS (SELECT model, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS mx FROM z GROUP BY model),
-k AS (SELECT model, n, alpha, beta, alpha / sqrt((syy - beta * beta * sxx) / (n - 2) * (1.0 / n + mx * mx / sxx)) AS alpha_t, r2, n - 2 AS v FROM r),
-g AS (SELECT k.*, abs(alpha_t) * i / 2000 AS u, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM k, range(2001) s(i))
-SELECT model, n, alpha, beta, alpha_t, 1 - 2 * sum(c * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * power(1 + u * u / v, -(v + 1) / 2.0)) * abs(alpha_t) / 6000 AS alpha_p, r2 FROM g GROUP BY model, n, alpha, beta, alpha_t, r2""", "alpha beta alpha_t alpha_p r2")
+_REGRESSION = """
+z AS (SELECT lg.model, lg.net_return - f.rf AS y, f.mkt_rf AS x FROM lg JOIN factors f ON f.month = lg.ret_month),
+rg AS (SELECT model, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, avg(x) AS mx FROM z WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY model),
+kt AS (SELECT model, n, alpha, beta, alpha / sqrt((syy - beta * beta * sxx) / (n - 2) * (1.0 / n + mx * mx / sxx)) AS alpha_t, r2, n - 2 AS v FROM rg),
+gd AS (SELECT kt.*, abs(alpha_t) * i / 2000 AS u, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM kt, range(2001) s(i)),
+ft AS (SELECT model, n, alpha, beta, alpha_t, 1 - 2 * sum(c * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * power(1 + u * u / v, -(v + 1) / 2.0)) * abs(alpha_t) / 6000 AS alpha_p, r2 FROM gd GROUP BY model, n, alpha, beta, alpha_t, r2)"""
+
+
+@query("e11_market_regression", f"WITH {_LOG}, {_REGRESSION} SELECT * FROM ft", "alpha beta alpha_t alpha_p r2")
 def _(t):
     at = log(t).join(t.factors.withColumnRenamed("month", "ret_month"), "ret_month").withColumn("excess", F.col("net_return") - F.col("rf"))
     return e.market_regression(at)
 
 
-@query("v4_u7_summary_table")
+@query("v4_u7_summary_table", f"""
+WITH {_LOG}, lr AS (SELECT lg.*, coalesce(f.rf, 0) AS rf FROM lg LEFT JOIN factors f ON f.month = lg.ret_month), {_METRICS.format(log='lr', rf='rf')}, {_REGRESSION},
+bo AS (SELECT pf.* EXCLUDE n_months, ft.alpha * 12 AS alpha, ft.beta, ft.alpha_t, ft.alpha_p, ft.r2 FROM pf JOIN ft ON ft.model = pf.model),
+u AS (UNPIVOT bo ON COLUMNS(* EXCLUDE model) INTO NAME metric VALUE value)
+SELECT metric, max(value) FILTER (model = 'broad') AS broad, max(value) FILTER (model = 'large') AS large FROM u GROUP BY 1""", "broad large")
 def _(t):
     return v.summary_table(log(t), t.factors, list(TOP))
 
