@@ -177,6 +177,14 @@ def cuts(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def met(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets that both sides have, and all offsets; each side is sorted and has an offset once."""
+    both = np.concatenate((a_end, b_end))
+    both.sort(kind="stable")  # two sorted runs are merged
+    again = both[1:] == both[:-1]
+    return both[1:][again], both[np.concatenate(([True], ~again))[: len(both)]]
+
+
 class Fragment:
     """What the tokens that end in a byte range say of the alignment; offsets are those of the whole text."""
 
@@ -189,7 +197,7 @@ class Fragment:
     @staticmethod
     def of(sides: Sides, a, a_end, b, b_end) -> Fragment:
         """Of the tokens that end in a range; it is open as a whole if no two ends meet."""
-        common = np.intersect1d(a_end, b_end)
+        common, _ = met(a_end, b_end)
         if not len(common):
             return Fragment(prefix=(a, a_end, b, b_end))
         first, last = int(common[0]), int(common[-1])
@@ -226,8 +234,9 @@ def closed(sides: Sides, x: Fragment) -> Fragment:
 
 def _codes(sides: Sides, a, a_end, b, b_end, common) -> np.ndarray:
     """The tokens of groups in order, each as its place in `written` of both sides together."""
-    a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-    a_last, b_last = np.isin(a_end, common), np.isin(b_end, common)
+    a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    a_last[np.searchsorted(a_end, common)] = b_last[np.searchsorted(b_end, common)] = True
+    a_group, b_group = (np.cumsum(last) - last for last in (a_last, b_last))
     shift = 2 * len(sides.raw[0])
     code = np.empty(len(a) + len(b), np.int64)
     # of a group first the one side, then the other
@@ -241,13 +250,13 @@ def _written(sides: Sides, a, a_end, b, b_end) -> str:
         return ""
     table = sides.written
     shift = len(table[0])
-    code = _codes(sides, a, a_end, b, b_end, np.intersect1d(a_end, b_end))
+    code = _codes(sides, a, a_end, b, b_end, met(a_end, b_end)[0])
     return "".join([table[0][c] if c < shift else table[1][c - shift] for c in code.tolist()])[:-1]
 
 
 def _linked(sides: Sides, a, a_end, b, b_end) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (id of A times the size of B, plus id of B) and how often."""
-    ends = np.union1d(a_end, b_end)
+    _, ends = met(a_end, b_end)
     keys = a[np.searchsorted(a_end, ends)] * len(sides.raw[1]) + b[np.searchsorted(b_end, ends)] if len(ends) else ends
     return np.unique(keys.astype(np.uint64), return_counts=True)
 
@@ -293,9 +302,8 @@ def _short(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
             for i, j, data, at in blocks.chunks(batch.column("text")):
                 ((a, a_end), (b, b_end)), ok = sides.tokens(data, at)
                 limit = np.concatenate(([0], np.cumsum(np.where(ok, np.diff(at) + 1, 0))))
-                common = np.intersect1d(a_end, b_end)
+                common, ends = met(a_end, b_end)
                 code = _codes(sides, a, a_end, b, b_end, common)
-                ends = np.union1d(a_end, b_end)
                 keys = a[np.searchsorted(a_end, ends)] * len(sides.raw[1]) + b[np.searchsorted(b_end, ends)] if len(ends) else ends
                 row = np.searchsorted(limit, ends) - 1
                 held, times = np.unique(row.astype(np.uint64) << shift | keys.astype(np.uint64), return_counts=True)
