@@ -151,7 +151,7 @@ def common_window(df: DataFrame, group: str = "model", month: str = "month") ->
 
 def entity_sample(df: DataFrame, n: int, entity: str = "permno", seed: int = 42) -> DataFrame:
     """Rows of n entities, the same for the same seed."""
-    chosen = df.select(entity).distinct().orderBy(F.xxhash64(entity, F.lit(seed)), entity).limit(n)
+    chosen = df.select(entity).distinct().orderBy(F.md5(F.concat_ws(":", F.col(entity).cast("string"), F.lit(str(seed)))), entity).limit(n)
     return df.join(F.broadcast(chosen) if n <= 100_000 else chosen, entity, "left_semi")
 
 

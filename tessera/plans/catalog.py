@@ -130,7 +130,8 @@ def _(t):
         c.ratio(F.col("sale") - F.col("cogs"), "at_total").alias("gp"), c.ratio("ni", "at_total").alias("roa"), c.ratio("capx", "at_total").alias("capinv"), c.ratio("dltt", "at_total").alias("leverage"), c.ratio("ni", F.nullif("sale", F.lit(0.0))).alias("margin"))
 
 
-@query("p23_entity_sample")
+@query("p23_entity_sample", """
+SELECT permno, count(*) AS n FROM stock SEMI JOIN (SELECT permno AS chosen FROM (SELECT DISTINCT permno FROM stock) ORDER BY md5(permno || ':42'), permno LIMIT 50) c ON c.chosen = permno GROUP BY 1""")
 def _(t):
     return a.entity_sample(t.stock, 50).groupBy("permno").agg(F.count("*").alias("n"))
 

@@ -248,6 +248,31 @@ def _(t):
     return test.select("permno", "month", F.size(x).alias("width"), F.array_max(x).alias("high"), F.array_min(x).alias("low"))
 
 
+_THREE = " UNION ALL ".join("SELECT permno, month, ind, dp_ratio, volatility, '{0}' AS name, {0} AS v FROM {{0}}".format(n) for n in ("ret", "prc", "vol"))
+
+
+@query("m2_m5_plain_features", f"""
+WITH pn AS (SELECT s.permno, s.month, coalesce(substr(CAST(siccd AS STRING), 1, 2), 'unknown') AS ind, ret, prc, CASE WHEN permno % 4 = 0 THEN NULL ELSE vol END AS vol, dp_ratio, volatility FROM stock s LEFT JOIN macro m ON m.month = s.month),
+tr AS (SELECT * FROM pn WHERE year(month) <= 1998), te AS (SELECT * FROM pn WHERE year(month) >= 1999), lt AS ({_THREE.format("tr")}), lx AS ({_THREE.format("te")}),
+ov AS (SELECT name, quantile_cont(v, 0.5) AS om FROM lt GROUP BY 1), gm AS (SELECT ind, name, CASE WHEN count(v) >= 5 THEN quantile_cont(v, 0.5) END AS im FROM lt GROUP BY 1, 2),
+sc AS (SELECT avg(dp_ratio) AS da, stddev_samp(dp_ratio) AS ds, avg(volatility) AS va, stddev_samp(volatility) AS vs FROM (SELECT DISTINCT month, dp_ratio, volatility FROM tr)),
+fl AS (SELECT permno, month, dp_ratio, volatility, lx.name, coalesce(v, im, om) AS v FROM lx JOIN ov ON ov.name = lx.name LEFT JOIN gm ON gm.name = lx.name AND gm.ind = lx.ind),
+rk AS (SELECT *, 2 * (rank() OVER (PARTITION BY month, name ORDER BY v) + (count(*) OVER (PARTITION BY month, name, v) - 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY month, name) + 1) - 1 AS r FROM fl)
+SELECT permno, month, name || '*1' AS name, r AS value FROM rk
+UNION ALL SELECT permno, month, name || '*dp_ratio', r * coalesce((dp_ratio - da) / ds, 0) FROM rk, sc UNION ALL SELECT permno, month, name || '*volatility', r * coalesce((volatility - va) / vs, 0) FROM rk, sc
+UNION ALL SELECT permno, month, 'industry=' || i.ind, CASE WHEN te.ind = i.ind THEN 1.0::DOUBLE ELSE 0.0 END FROM te, (SELECT DISTINCT ind FROM tr) i""", "value")
+def _(t):
+    """Every feature of every test row; a quarter of the volumes is missing, and dlret is too empty to be kept."""
+    from pyspark.ml.functions import vector_to_array
+
+    at = t.stock.withColumn("vol", F.when(F.col("permno") % 4 != 0, F.col("vol"))).select("permno", "month", "siccd", "ret", "prc", "vol", "dlret")
+    at = settled(j.with_series(at, t.macro.select("month", *MACROS)))
+    fitted = m.FeatureBuilder(("ret", "prc", "vol", "dlret"), MACROS).fit(m.between(at, (1995, 1998)))
+    named = F.arrays_zip(F.array(*(F.lit(n) for n in fitted.names)).alias("name"), vector_to_array("features").alias("value"))
+    rows = fitted.transform(m.between(at, (1999, 2001))).select("permno", "month", F.explode(named).alias("f"))
+    return rows.select("permno", "month", F.col("f.name").alias("name"), F.col("f.value").alias("value"))
+
+
 @query("m6_splits", """
 SELECT y AS test_year, r AS role, count(*) AS n, min(month) AS first, max(month) AS last FROM stock, range(1999, 2002) t(y), (VALUES ('tune'), ('validation'), ('train'), ('test')) v(r)
 WHERE ret IS NOT NULL AND year(month) BETWEEN CASE r WHEN 'test' THEN y WHEN 'validation' THEN y - 2 ELSE 1995 END AND CASE r WHEN 'tune' THEN y - 3 WHEN 'test' THEN y ELSE y - 1 END GROUP BY 1, 2""")
