@@ -24,6 +24,22 @@ FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma")
 MACROS = ("dp_ratio", "term_spread", "real_short_rate", "default_spread", "indpro_growth", "volatility")
 
 
+def _chosen(found: DataFrame, stock: DataFrame, top: int) -> DataFrame:
+    """found (form_month, permno, ...) of the `top` largest by market cap in the formation month, with rank (0 where all stay)."""
+    caps = stock.select(F.col("month").alias("form_month"), "permno", "market_cap")
+    at = found.join(caps, ["form_month", "permno"], "left").withColumn("_caps", F.count("market_cap").over(Window.partitionBy("form_month")))
+    rank = F.row_number().over(Window.partitionBy("form_month").orderBy(F.coalesce("market_cap", F.lit(0.0)).desc(), "permno"))
+    few = F.col("_caps") < 50
+    return at.withColumn("rank", rank).filter((F.col("rank") <= top) | few).select(*found.columns, F.when(few, 0).otherwise(F.col("rank")).alias("rank"))
+
+
+def window_members(stock: DataFrame, forms: DataFrame, months: int = 60, least_share: float = 0.8, top: int = 500, ret: str = "ret_adjusted") -> DataFrame:
+    """form_month, permno, rank of the entities of returns_window(), by counts alone: no returns are packed."""
+    long = j.trailing_window(stock.filter(F.col(ret).isNotNull()).select("permno", "month"), forms, months)
+    found = long.groupBy("form_month", "permno").agg(F.count("*").alias("_n")).filter(F.col("_n") >= math.ceil(months * least_share)).drop("_n")
+    return _chosen(found, stock, top)
+
+
 def returns_window(stock: DataFrame, forms: DataFrame, months: int = 60, least_share: float = 0.8, top: int = 500, ret: str = "ret_adjusted", ranked: bool = False) -> DataFrame:
     """form_month, month, permno, r, imputed: trailing returns of the entities chosen at each formation month.
 
@@ -34,10 +50,7 @@ def returns_window(stock: DataFrame, forms: DataFrame, months: int = 60, least_s
     """
     long = j.trailing_window(stock.filter(F.col(ret).isNotNull()).select("permno", "month", F.col(ret).alias("r")), forms, months)
     packed = long.groupBy("form_month", "permno").agg(F.avg("r").alias("mean"), F.map_from_entries(F.collect_list(F.struct("month", "r"))).alias("rs")).filter(F.size("rs") >= math.ceil(months * least_share))
-    caps = stock.select(F.col("month").alias("form_month"), "permno", "market_cap")
-    at = packed.join(caps, ["form_month", "permno"], "left").withColumn("_caps", F.count("market_cap").over(Window.partitionBy("form_month")))
-    rank = F.row_number().over(Window.partitionBy("form_month").orderBy(F.coalesce("market_cap", F.lit(0.0)).desc(), "permno"))
-    chosen = at.withColumn("rank", rank).filter((F.col("rank") <= top) | (F.col("_caps") < 50)).select("form_month", "permno", "mean", "rs", F.when(F.col("_caps") < 50, 0).otherwise(F.col("rank")).alias("rank"))
+    chosen = _chosen(packed, stock, top)
     live = chosen.select("form_month", F.explode(F.map_keys("rs")).alias("month")).distinct()
     r = F.try_element_at("rs", F.col("month"))
     return chosen.join(live, "form_month").select("form_month", "month", "permno", F.coalesce(r, "mean").alias("r"), r.isNull().alias("imputed"), *(["rank"] if ranked else []))

@@ -58,8 +58,9 @@ def windows(t: Tables, top: int = 500, months: int = MONTHS, ranked: bool = Fals
 
 
 def weights(t: Tables) -> DataFrame:
-    """Both portfolios from one window, each the largest of it."""
-    window = settled(windows(t, max(TOP.values()), ranked=True).select("form_month", "permno", "rank").distinct())
+    """Both portfolios from the members of one window, each the largest of it."""
+    forms = t.monthly.select(F.col("month").alias("form_month"))
+    window = settled(e.window_members(adjusted(t), forms, MONTHS, top=max(TOP.values())))
     parts = [b.equal_weights(window.filter(F.col("rank") <= top)).select(F.lit(name).alias("model"), "form_month", "permno", "weight") for name, top in TOP.items()]
     return settled(parts[0].unionByName(parts[1]))
 
