@@ -50,16 +50,63 @@ def rank_to_unit(df: DataFrame, names: list[str], month: str = "month", suffix:
     return df.withColumns(out)
 
 
-def rank_long(df: DataFrame, names: list[str], keys: list[str], month: str = "month") -> DataFrame:
-    """The same ranks for many columns at once: unpivoted, ranked by (month, name), long form (keys, name, score)."""
+#: Rows of one (month, column) up to which they are ranked together; more are cut into bands of values.
+BAND_ROWS = 100_000
+#: Bands at most, and rows drawn for each to place its edges.
+MOST_BANDS, DRAWN = 128, 64
+#: Parts over which rows on an edge are spread.
+SPREAD = 64
+
+
+def banded(long: DataFrame, keys: list[str], part: list[str], band_rows: int = BAND_ROWS) -> DataFrame:
+    """long (keys, part, value) with `band`, which rises with value within its part, and `single`: whether the band is one value.
+
+    The edges are evenly spaced ranks of rows drawn by a hash of their content, so they are the same
+    whenever a task runs again. Each edge is a band of its own, hence a value that fills a large share of a part is
+    almost surely one. Parts of up to band_rows rows are one band.
+    """
+    n, bands = F.col("_n"), F.col("_bands")
+    sizes = long.groupBy(*part).agg(F.count("*").alias("_n")).filter(n > band_rows)
+    sizes = sizes.withColumn("_bands", F.least(F.lit(MOST_BANDS), F.ceil(n / band_rows).cast("int")))
+    each = F.greatest(F.lit(1), F.floor(n / (bands * DRAWN)))
+    drawn = long.join(sizes, part).filter(F.pmod(F.xxhash64(*keys, *part, "value"), each) == 0)
+    sample = drawn.groupBy(*part, "_bands").agg(F.array_sort(F.collect_list("value")).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), bands - 1), lambda k: F.get("_s", F.floor(F.size("_s") * k / bands).cast("int")))
+    edges = sample.select(*part, F.array_distinct(at).alias("_edges"))
+    found = long.join(edges, part, "left")
+    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("value"))), F.lit(0))
+    single = F.coalesce(F.array_contains("_edges", F.col("value")), F.lit(False))
+    below = F.when(F.col("_edges").isNull(), 0).otherwise(below)
+    return found.select(*long.columns, (2 * below + single.cast("int")).alias("band"), single.alias("single"))
+
+
+def rank_long(df: DataFrame, names: list[str], keys: list[str], month: str = "month", band_rows: int = BAND_ROWS) -> DataFrame:
+    """The same ranks for many columns at once: unpivoted, ranked by (month, name), long form (keys, name, score).
+
+    A distributed rank: rows are ranked within bands of values, to which the counts of the bands below
+    are added. So a large month is no one task's, and a value that many rows share needs no
+    sorting: its rows are spread, and their rank follows from the counts alone.
+    """
+    part = [month, "name"]
     long = df.unpivot([*keys, month], names, "name", "value").filter("value IS NOT NULL")
-    part = Window.partitionBy(month, "name")
-    average = F.rank().over(part.orderBy("value")) + (F.count("*").over(Window.partitionBy(month, "name", "value")) - 1) / 2
-    return long.select(*keys, month, "name", (2 * average / (F.count("*").over(part) + 1) - 1).alias("score"))
+    rows = banded(long, keys, part, band_rows)
+    counts = rows.groupBy(*part, "band").agg(F.count("*").alias("_in"))
+    counts = counts.select("_in", F.sum("_in").over(Window.partitionBy(*part)).alias("_n"), F.sum("_in").over(Window.partitionBy(*part).orderBy("band")).alias("_upto"), *(F.col(k).alias(f"_{k}") for k in [*part, "band"]))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*part, "band"]]  # also a missing month is a month
+    spread = F.when(F.col("single"), F.pmod(F.xxhash64(*keys), F.lit(SPREAD))).otherwise(0)
+    local = Window.partitionBy(*part, "band", "_spread").orderBy("value")
+    peers = F.count("*").over(local.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = rows.withColumn("_spread", spread).withColumn("_local", F.rank().over(local) + (peers - 1) / 2)
+    within = F.when(F.col("single"), (F.col("_in") + 1) / 2).otherwise(F.col("_local"))
+    return ranked.join(counts, same).select(*keys, month, "name", (2 * (F.col("_upto") - F.col("_in") + within) / (F.col("_n") + 1) - 1).alias("score"))
 
 
 def top_k(df: DataFrame, by: str, k: int, group: str | list[str], tie: str = "permno", missing: float | None = None) -> DataFrame:
-    """The k rows with the largest `by` of each group, ties by `tie`; NULLs last, or ranked as `missing`."""
+    """The k rows with the largest `by` of each group, ties by `tie`; NULLs last, or ranked as `missing`.
+
+    Written so that Spark limits each task's rows to k a group before they are shuffled
+    (k below spark.sql.optimizer.windowGroupLimitThreshold, by default 1000).
+    """
     value = F.coalesce(by, F.lit(missing)) if missing is not None else F.col(by)
     rank = F.row_number().over(Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(value.desc_nulls_last(), F.col(tie)))
     return df.withColumn("top_rank", rank).filter(F.col("top_rank") <= k)

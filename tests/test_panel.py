@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,31 @@ def test_checks_ride_along(spark, tmp_path):
     assert a.assert_before(df.filter(F.col("month") < month(2)), later).count() == later.count()
     with pytest.raises(Exception, match="training data reach"):
         a.assert_before(df, later).write.parquet(str(tmp_path / "early"))
+
+
+@pytest.mark.parametrize("band_rows", [100_000, 500])
+def test_ranks_of_a_large_month_in_bands(spark, band_rows):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    x = np.where(rng.random(n) < 0.4, 0.0, np.exp(3 * rng.normal(size=n)) * rng.choice([-1, 1], n))  # one value holds 40 %
+    y = np.round(rng.normal(size=n), 2)  # many ties
+    frame = pd.DataFrame({"permno": np.arange(n), "month": dt.date(2000, 1, 1), "x": x, "y": y})
+    frame.loc[frame.permno % 50 == 0, "x"] = None
+    frame.loc[frame.permno % 100 == 1, "month"] = dt.date(2000, 2, 1)
+    frame.loc[frame.permno % 1000 == 2, "month"] = None
+    df = spark.createDataFrame(frame.astype({"x": object}).where(frame.notna(), None), "permno long, month date, x double, y double")
+    got = w.rank_long(df, ["x", "y"], ["permno"], band_rows=band_rows).toPandas().set_index(["name", "permno"])["score"]
+    by = frame.groupby("month", dropna=False)
+    want = pd.concat({k: 2 * by[k].rank() / (by[k].transform("count") + 1) - 1 for k in ("x", "y")})
+    want = want.dropna()
+    assert len(got) == len(want) and np.abs(got.reindex(want.index) - want).max() < 1e-12
+
+    parts = w.banded(df.unpivot(["permno", "month"], ["x", "y"], "name", "value").filter("value IS NOT NULL"), ["permno"], ["month", "name"], band_rows)
+    most = parts.filter("NOT single").groupBy("month", "name", "band").count().agg(F.max("count")).first()[0]
+    assert most < 3 * band_rows
+    assert {r.value for r in parts.filter("single AND name = 'x'").select("value").distinct().collect()} >= ({0.0} if band_rows == 500 else set())
+
+
+def test_top_k_is_limited_before_the_shuffle(spark):
+    plan = w.top_k(spark.range(100).selectExpr("id AS permno", "id % 3 AS year", "id AS v"), "v", 5, "year")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
