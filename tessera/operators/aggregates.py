@@ -126,11 +126,14 @@ def rank_correlation(df: DataFrame, x: str, entity: str = "permno", year: str =
 
 
 def describe(df: DataFrame, x: str, group: str) -> DataFrame:
-    """Mean, median, least, largest and most common value of each group; of equally common the least."""
+    """Mean, median (exact, by distributed selection), least, largest and most common value of each group; of equally common the least."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(group, x).agg(F.count("*").alias("_n"))
     modes = counts.groupBy(group).agg(F.min_by(x, F.struct(-F.col("_n"), F.col(x))).alias("mode"))
-    stats = df.groupBy(group).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"))
-    return stats.join(modes, group, "left")
+    stats = df.groupBy(group).agg(F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"))
+    middle = quantiles(df, [x], [0.5], group).select(F.col(group).alias("_g"), F.col("value").alias("median"))
+    stats = stats.join(middle, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    modes = modes.withColumnRenamed(group, "_g")
+    return stats.join(modes, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "mean", "median", "low", "high", "mode")
 
 
 def last_of_month(df: DataFrame, x: str, day: str) -> DataFrame:

@@ -284,3 +284,9 @@ def test_ranks_of_a_large_month_in_bands(spark, band_rows):
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = w.top_k(spark.range(100).selectExpr("id AS permno", "id % 3 AS year", "id AS v"), "v", 5, "year")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_describe_keeps_rows_without_a_group(spark):
+    rows = [(1, 3.0), (1, 1.0), (1, 1.0), (1, 7.0), (2, None), (None, 4.0), (None, 6.0)]
+    got = {r.g: tuple(r)[1:] for r in a.describe(spark.createDataFrame(rows, "g int, x double"), "x", "g").collect()}
+    assert got == {1: (3.0, 2.0, 1.0, 7.0, 1.0), 2: (None,) * 5, None: (5.0, 5.0, 4.0, 6.0, 4.0)}
