@@ -69,8 +69,12 @@ class FeatureBuilder:
         at = train.withColumn("_ind", c.industry(self.industry))
         overall = a.medians(at, self.kept).first()
         self.overall = {n: overall[n] if overall[n] is not None else 0.0 for n in self.kept}
-        self.grouped = a.medians(at, self.kept, "_ind", self.least) if self.by_industry else None
-        self.industries = [r[0] for r in at.select("_ind").distinct().orderBy("_ind").collect()]
+        # a row an industry, worked out once and not with every table that is transformed
+        groups = a.medians(at, self.kept, "_ind", self.least) if self.by_industry else at.select("_ind").distinct()
+        rows = sorted(groups.collect(), key=lambda r: r["_ind"])
+        self.industries = [r["_ind"] for r in rows]
+        kinds = ", ".join(["_ind string", *(f"`_m_{n}` double" for n in self.kept)])
+        self.grouped = train.sparkSession.createDataFrame(rows, kinds) if self.by_industry else None
         state = train.select("month", *self.macros).distinct()
         self.scale = {r["name"]: (r["mean"] or 0.0, r["std"]) for r in a.scaler(state, list(self.macros)).collect()} if self.macros else {}
         return self
@@ -83,7 +87,7 @@ class FeatureBuilder:
         """df with `features`, a vector in the order of `names`."""
         at = df.withColumn("_ind", c.industry(self.industry))
         if self.grouped is not None:
-            at = at.join(F.broadcast(self.grouped.select("_ind", *(F.col(n).alias(f"_m_{n}") for n in self.kept))), "_ind", "left")
+            at = at.join(F.broadcast(self.grouped), "_ind", "left")
         filled = {f"_f_{n}": F.coalesce(F.col(n), *([F.col(f"_m_{n}")] if self.grouped is not None else []), F.lit(float(self.overall[n]))) for n in self.kept}
         at = w.rank_to_unit(at.withColumns(filled), list(filled), suffix="_r")
         states = [F.lit(1.0), *(F.coalesce((F.col(m) - self.scale[m][0]) / self.scale[m][1], F.lit(0.0)) for m in self.macros)]
@@ -110,6 +114,38 @@ class Projection:
         return self.pca.transform(self.scaler.transform(df)).drop("scaled")
 
 
+@dataclass
+class LinearProjection:
+    """What Projection does, known from the moments of (features, target): nothing more is read from the rows.
+
+    A linear map turns the features' moments into the components' moments, and weights of the
+    components into weights of the features. Components without variation (up to rounding) are 0.
+    """
+
+    k: int = 50
+
+    def fit(self, m: mo.Moments) -> LinearProjection:
+        cov = m.products[:-1, :-1] / max(1, m.n - 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        factor = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+        values, vectors = np.linalg.eigh(cov * np.outer(factor, factor))
+        top = np.argsort(-values, kind="stable")[: min(self.k, len(values))]
+        live = values[top] > 1e-12 * max(1e-300, values.max(initial=0.0))
+        self.center, self.map = m.mean[:-1], factor[:, None] * vectors[:, top] * live
+        return self
+
+    def moments(self, m: mo.Moments) -> mo.Moments:
+        """Of (components, target), from those of (features, target)."""
+        full = np.zeros((len(m.mean), self.map.shape[1] + 1))
+        full[:-1, :-1], full[-1, -1] = self.map, 1.0
+        return mo.Moments(m.n, (m.mean - np.append(self.center, 0.0)) @ full, full.T @ m.products @ full)
+
+    def on_features(self, weights: np.ndarray, level: float) -> tuple[np.ndarray, float]:
+        """Weights and intercept on the features of a linear model of the components."""
+        raw = self.map @ weights
+        return raw, float(level - raw @ self.center)
+
+
 def elastic_net(train: DataFrame, alpha: float, l1: float, sd_y: float, features: str = "components", ridge_below: float = 0.05, rows: int | None = None):
     """Linear model that minimises 1/2n |y - Xw|^2 + alpha l1 |w|_1 + alpha (1 - l1)/2 |w|^2 on standardised X.
 
@@ -140,8 +176,12 @@ def elastic_net_surface(tune: DataFrame, validation: DataFrame, alphas: Sequence
     One pass over each window gives its moments; all cells are fitted and scored from these, so
     the number of cells costs no further pass.
     """
-    spark = tune.sparkSession
     fitted, scored = (mo.moments(mo.with_target(x, features)) for x in (tune, validation))
+    return surface_table(tune.sparkSession, fitted, scored, alphas, ratios)
+
+
+def surface_table(spark: SparkSession, fitted: mo.Moments | None, scored: mo.Moments | None, alphas: Sequence[float], ratios: Sequence[float]) -> DataFrame:
+    """The surface from the moments of both windows."""
     path = mo.elastic_net_path(fitted, alphas, ratios) if fitted is not None else {}
     rows = [(float(al), float(l1), mo.zero_r2(scored, *path[float(al), float(l1)]) if path and scored is not None else None) for al in alphas for l1 in ratios]
     top = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=None)
@@ -223,9 +263,13 @@ def forest_report(model: RandomForestRegressionModel, names: Sequence[str], spar
     return importance, spark.createDataFrame([row], "mean_depth double, min_depth int, max_depth int, std_depth double, at_ceiling double, overfit boolean")
 
 
-def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Sequence[float], ratios: Sequence[float], k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Sequence[float], ratios: Sequence[float], k: int = 50, keep=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Forecasts of every test year, the validation surfaces and the chosen parameters (reest_year first): tuned
     on the validation window, refitted on all years before the test. `builder` makes a fresh FeatureBuilder.
+
+    Each window's features are made once, in the pass that sums their moments; projection, grid and refit follow
+    from these, and the chosen model is applied as weights of the features. `keep` writes the predictions, which
+    the forecast table reads more than once, to a table.
     """
     forecasts = surfaces = None
     chosen = []
@@ -233,17 +277,16 @@ def expanding_forecasts(panel: DataFrame, builder, plan: list[dict], alphas: Seq
         tune, validation, train, test = (between(panel, s[r]) for r in ("tune", "validation", "train", "test"))
         test = a.assert_before(train, test)
         first = builder().fit(tune)
-        x = first.transform(tune)
-        projection = Projection(k).fit(x)
-        surface = elastic_net_surface(projection.transform(x), projection.transform(first.transform(validation)), alphas, ratios)
+        (known, rest), (held, _) = (mo.target_moments(first.transform(x)) for x in (tune, validation))
+        projection = LinearProjection(k).fit(known + rest)
+        surface = surface_table(panel.sparkSession, projection.moments(known), projection.moments(held), alphas, ratios)
         best = surface.filter("best").first()
         second = builder().fit(train)
-        x = second.transform(train)
-        projection = Projection(k).fit(x)
-        ready = projection.transform(x)
-        known = mo.moments(mo.with_target(ready, "components"))
-        weights, level = mo.elastic_net_path(known, (best["alpha"],), (best["l1"],))[best["alpha"], best["l1"]]
-        part = forecast_table(predict_linear(projection.transform(second.transform(test)), weights, level))
+        known, rest = mo.target_moments(second.transform(train))
+        projection = LinearProjection(k).fit(known + rest)
+        weights, level = mo.elastic_net_path(projection.moments(known), (best["alpha"],), (best["l1"],))[best["alpha"], best["l1"]]
+        predicted = predict_linear(second.transform(test), *projection.on_features(weights, level), "features")
+        part = forecast_table(predicted if keep is None else keep(predicted.select("permno", "month", "prediction")))
         surface = surface.select(F.lit(s["test_year"]).alias("reest_year"), "*")
         forecasts = part if forecasts is None else forecasts.unionByName(part)
         surfaces = surface if surfaces is None else surfaces.unionByName(surface)

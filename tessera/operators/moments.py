@@ -34,7 +34,7 @@ class Moments:
 
     def __add__(self, other: Moments) -> Moments:
         n = self.n + other.n
-        if not n:
+        if not n or not other.n:
             return self
         gap = other.mean - self.mean
         return Moments(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
@@ -88,6 +88,26 @@ def moments(rows: DataFrame) -> Moments | None:
     return reduced(rows, lambda: None, step, lambda a, b: b if a is None else a if b is None else a + b)
 
 
+def target_moments(df: DataFrame, features: str = "features") -> tuple[Moments, Moments]:
+    """Moments of (features, y) over the rows that have a target and, with 0 for it, over the others: one pass."""
+    y = F.col("y").cast("double")
+    rows = df.select(F.concat(vector_to_array(features), F.array(F.coalesce(y, F.lit(0.0)))).alias("x"), y.isNotNull().alias("has"))
+
+    def step(total, batch):
+        if not batch.num_rows:
+            return total
+        x, has = _matrix(batch.column("x")), batch.column("has").to_numpy(zero_copy_only=False)
+        return merge(total, (Moments.of(x[has]), Moments.of(x[~has])))
+
+    def merge(a, b):
+        return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
+
+    found = reduced(rows, lambda: None, step, merge)
+    if found is None:
+        raise ValueError("a window has no rows")
+    return found
+
+
 def descend(h: np.ndarray, b: np.ndarray, lasso: np.ndarray, ridge: np.ndarray, start: np.ndarray, tolerance: float = 1e-12, sweeps: int = 100_000) -> np.ndarray:
     """The w that minimises w'hw / 2 - b'w + sum lasso |w| + sum ridge w^2 / 2, by cyclic coordinate descent with covariance updates."""
     w, size = start.copy(), np.diag(h) + ridge

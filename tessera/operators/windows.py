@@ -43,9 +43,9 @@ def rank_to_unit(df: DataFrame, names: list[str], month: str = "month", suffix:
     """
     out = {}
     for name in names:
-        part = Window.partitionBy(month, F.isnull(name))
-        ties = F.count(name).over(Window.partitionBy(month, name))
-        average = F.rank().over(part.orderBy(name)) + (ties - 1) / 2
+        part = Window.partitionBy(month, F.isnull(name)).orderBy(name)  # one sort gives ranks and ties
+        ties = F.count(name).over(part.rangeBetween(Window.currentRow, Window.currentRow))
+        average = F.rank().over(part) + (ties - 1) / 2
         out[name + suffix] = F.when(F.col(name).isNotNull(), 2 * average / (F.count(name).over(Window.partitionBy(month)) + 1) - 1)
     return df.withColumns(out)
 

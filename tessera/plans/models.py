@@ -14,7 +14,7 @@ from tessera.operators import portfolio as b
 from tessera.operators import windows as w
 from tessera.plans.catalog import Tables, query
 from tessera.plans.reports import adjusted, windows
-from tessera.plans.standins import settled
+from tessera.plans.standins import settled, stored
 
 MONTHS, LEAST = 36, 24
 
@@ -219,7 +219,7 @@ CHARACTERISTICS, MACROS = ("reversal_st", "momentum", "illiquidity", "bm", "gp",
 def learning_panel(t: Tables) -> DataFrame:
     at = p.point_in_time_join(p.market_characteristics(t.stock), p.accounting_characteristics(t.accounting), t.links)
     at = j.with_series(j.with_series(at, t.factors.select("month", "rf")), t.macro.select("month", *MACROS))
-    return settled(m.with_target(at).select("permno", "month", "siccd", "y", *CHARACTERISTICS, *MACROS))
+    return stored(m.with_target(at).select("permno", "month", "siccd", "y", *CHARACTERISTICS, *MACROS))
 
 
 def builder() -> m.FeatureBuilder:
@@ -324,7 +324,7 @@ def _(t):
 
 @query("m6_m11_m15_expanding_forecasts")
 def _(t):
-    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), m.ALPHAS, m.RATIOS)[0]
+    return m.expanding_forecasts(learning_panel(t), builder, m.splits(2000, 2001, 1995, 2), m.ALPHAS, m.RATIOS, keep=stored)[0]
 
 
 @query("m15_chosen_parameters")

@@ -118,3 +118,10 @@ def settled(df: DataFrame) -> DataFrame:
 def folder(spark: SparkSession) -> str:
     """A new place for files in the shared checkpoint folder."""
     return f"{_shared(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder: for large tables, of which later passes read some columns."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

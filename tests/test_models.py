@@ -324,6 +324,47 @@ def test_expanding_forecasts(spark):
     assert both.stat.corr("raw_ret", "y") > 0.8
 
 
+def test_expanding_forecasts_make_features_once(spark, monkeypatch):
+    """One table of features a window, and the forecasts of scaler, components and grid fitted on the rows one after another."""
+    r = np.random.RandomState(14)
+    rows = [(i, month(k), (1000, 2000, 3000)[i % 3], *map(float, r.normal(size=3))) for k in range(72) for i in range(15)]
+    rows = [(*x[:3], None if n % 50 == 0 else 0.4 * x[3] + 0.1 * x[4], *x[3:5]) for n, x in enumerate(rows)]
+    panel = spark.createDataFrame(rows, "permno long, month date, siccd int, y double, s double, t double").cache()
+    builder, made = (lambda: m.FeatureBuilder(("s", "t"))), []
+    plain = m.FeatureBuilder.transform
+
+    def counted(self, df):
+        times = spark.sparkContext.accumulator(0)
+        made.append(times)
+
+        def look(batches):
+            times.add(1)
+            yield from batches
+
+        return plain(self, df.repartition(1).mapInArrow(look, df.schema))
+
+    monkeypatch.setattr(m.FeatureBuilder, "transform", counted)
+    plan, k = m.splits(1995, 1995, 1990, 2), 3
+    forecasts, surfaces, chosen = m.expanding_forecasts(panel, builder, plan, (1e-3, 1.0), (0.0, 0.5), k)
+    assert [x.value for x in made] == [1, 1, 1, 0]  # tuning, validation, training; the test waits for its reader
+    monkeypatch.setattr(m.FeatureBuilder, "transform", plain)
+    tune, validation, train, test = (m.between(panel, plan[0][x]) for x in ("tune", "validation", "train", "test"))
+    fitted = builder().fit(tune)
+    projection = m.Projection(k).fit(fitted.transform(tune))
+    expected = m.elastic_net_surface(*(projection.transform(fitted.transform(x)) for x in (tune, validation)), (1e-3, 1.0), (0.0, 0.5))
+    assert [x.r2 for x in surfaces.collect()] == pytest.approx([x.r2 for x in expected.collect()], abs=1e-9)
+    best, row = expected.filter("best").first(), chosen.first()
+    assert (row.alpha, row.l1, row.n_components) == (best.alpha, best.l1, k)
+    fitted = builder().fit(train)
+    projection = m.Projection(k).fit(fitted.transform(train))
+    known = mo.moments(mo.with_target(projection.transform(fitted.transform(train)), "components"))
+    weights, level = mo.elastic_net_path(known, (best.alpha,), (best.l1,))[best.alpha, best.l1]
+    other = {(x.permno, x.month): x.prediction for x in m.predict_linear(projection.transform(fitted.transform(test)), weights, level).collect()}
+    got = {(x.permno, x.month): x.raw_ret for x in forecasts.collect()}
+    assert row.n_train == known.n and got == pytest.approx(other, abs=1e-9) and len(got) == 12 * 15
+    panel.unpersist()
+
+
 def test_target_of_a_later_row(spark):
     df = spark.createDataFrame([(1, month(k), 1000, 0.1 * k, 0.01) for k in range(4)], "permno long, month date, siccd int, ret_adjusted double, rf double")
     got = [x.y for x in m.with_target(df, target_lead=1).orderBy("month").collect()]
