@@ -365,6 +365,17 @@ def test_expanding_forecasts_make_features_once(spark, monkeypatch):
     panel.unpersist()
 
 
+def test_forest_surface_sends_histograms_of_few_tasks(spark, monkeypatch):
+    """The rows are dealt to two tasks a core, however many partitions they come in."""
+    r = np.random.RandomState(15)
+    df = spark.createDataFrame([(float(v[0] > 0.5), v.tolist()) for v in r.uniform(size=(300, 2))], "y double, x array<double>").repartition(90).select("y", array_to_vector("x").alias("features"))
+    seen, plain = [], m.forest
+    monkeypatch.setattr(m, "forest", lambda train, *args, **options: seen.append((train.rdd.getNumPartitions(), train.count())) or plain(train, *args, **options))
+    grid = m.forest_surface(df, df, (2,), (1,), ("all",), 2, least_leaf=5).collect()
+    assert len(grid) == 1 and grid[0].r2 > 0.5
+    assert seen == [(2 * spark.sparkContext.defaultParallelism, 300)]
+
+
 def test_target_of_a_later_row(spark):
     df = spark.createDataFrame([(1, month(k), 1000, 0.1 * k, 0.01) for k in range(4)], "permno long, month date, siccd int, ret_adjusted double, rf double")
     got = [x.y for x in m.with_target(df, target_lead=1).orderBy("month").collect()]
