@@ -73,6 +73,7 @@ class MergeAutomaton:
                     self.ends.append(-1)
                 node = self.tree[node][c]
             self.ends[node] = i
+        self.rows: dict[int, bytes] = {}
         self.clear()
 
     def symbols(self, word: str, whole: bool = True) -> list[str]:
@@ -83,9 +84,11 @@ class MergeAutomaton:
         return out
 
     def clear(self) -> None:
-        self.rows: dict[int, bytes] = {}
-        self.ids: dict[tuple, int] = {((-1, 0),): 0}
-        self.under_way: list[tuple] = [((-1, 0),)]
+        """Empty states and transitions; compiled rows, from which they are made cheaply, have their own bound."""
+        # a token under way in one number: the state before it, and in the low half its place in the tree
+        self.ids: dict[tuple, int] = {(-1 << 32,): 0}
+        self.under_way: list[tuple] = [(-1 << 32,)]
+        self.lists: dict[tuple, tuple] = {}  # the few lists of places, each once
         self.moves: list[dict[str, tuple]] = [{}]
         self.kept = 0
 
@@ -122,25 +125,26 @@ class MergeAutomaton:
     def _move(self, state: int, symbol: str) -> tuple:
         """Compile a transition: next state, which of the tokens under way ends here, its id, and which go on."""
         on, left, ended, token = [], [], -1, -1
-        for k, (t, node) in enumerate(self.under_way[state]):
-            node = self.tree[node].get(symbol, -1)
+        for k, at in enumerate(self.under_way[state]):
+            t, node = at >> 32, self.tree[at & 0xFFFFFFFF].get(symbol, -1)
             if node < 0:
                 continue
             x = self.ends[node]
             if x >= 0 and (t < 0 or self.arc(t, x)):
                 ended, token = k, x
             if self.tree[node]:
-                on.append((t, node))
+                on.append(t << 32 | node)
                 left.append(k)
         if ended < 0:
             raise ValueError(f"no token for the symbol {symbol!r}")
-        after = (*on, (token, 0))
+        after = (*on, token << 32)
         to = self.ids.get(after)
         if to is None:
             to = self.ids[after] = len(self.under_way)
             self.under_way.append(after)
             self.moves.append({})
-        move = self.moves[state][symbol] = (to, ended, token, tuple(left))
+        places = tuple(left)
+        move = self.moves[state][symbol] = (to, ended, token, self.lists.setdefault(places, places))
         self.kept += 1
         return move
 
@@ -179,7 +183,7 @@ def _checked(spec: dict) -> dict:
 
 
 class WordEncoder(dict):
-    """White-space free piece of normalised text -> ids as little-endian bytes; texts has its labels joined by spaces."""
+    """White-space free piece of normalised text -> ids as little-endian bytes, and their labels joined by spaces."""
 
     def __init__(self, raw: bytes):
         spec = _checked(json.loads(raw))
@@ -192,18 +196,19 @@ class WordEncoder(dict):
         self.marks = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.plain = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.letters = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == LETTERS
-        self.texts: dict[str, str] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> tuple[bytes, str]:
         stem = piece[:-1] if piece[-1] in ".,!?;:" else piece
         if self.letters and stem.isascii() and stem.isalpha():  # what the pattern does with letters and a mark behind them
-            words = [stem] if stem is piece else [stem, piece[-1]]
+            if stem is piece:
+                ids = self.automaton.encode(piece)
+                out = self[piece] = np.array(ids, "<u4").tobytes(), self.decode(ids)
+                return out
+            found = [self[stem], self.words.get(piece[-1]) or self._word(piece[-1])]
         else:
-            words = [w for w, _ in self.split(piece)]
-        found = [self.words.get(w) or self._word(w) for w in words]
-        self.texts[piece] = " ".join([t for _, t in found])
-        out = self[piece] = b"".join([i for i, _ in found])
+            found = [self.words.get(w) or self._word(w) for w, _ in self.split(piece)]
+        out = self[piece] = b"".join([i for i, _ in found]), " ".join([t for _, t in found])
         return out
 
     def _word(self, word: str) -> tuple[bytes, str]:
@@ -222,7 +227,7 @@ class WordEncoder(dict):
     def __call__(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a whole text."""
         if len(self) >= CACHED_WORDS:
-            for memory in (self, self.texts, self.words):
+            for memory in (self, self.words):
                 memory.clear()
         ids, said = [], []
         parts = self.marks.split(text) if self.marks and self.marks.search(text) else [text]
@@ -231,9 +236,9 @@ class WordEncoder(dict):
                 ids.append(self.added[part].to_bytes(4, "little"))
                 said.append(part)
                 continue
-            pieces = self.pieces(part)
-            ids.append(b"".join(map(self.__getitem__, pieces)))
-            said.append(" ".join([t for t in map(self.texts.__getitem__, pieces) if t]))
+            found = [self[p] for p in self.pieces(part)]
+            ids.append(b"".join([i for i, _ in found]))
+            said.append(" ".join([t for _, t in found if t]))
         return b"".join(ids), " ".join([s for s in said if s])
 
 
@@ -265,18 +270,18 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     vocab = vocabulary(docs.sparkSession, path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
 
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * full
+
+    def judged(ids, said):
+        # a text's ids and decoded text go at once, unless they are asked for
+        out = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode()).hexdigest()
+        return (*out, memoryview(ids).cast("I").tolist() if ids else [], said) if full else out
+
     def run(batches):
         encoder = _encoder(vocab.value)
         for batch in batches:
-            rows = [encoder(t.as_py() or "") for t in batch.column("text")]
-            columns = [
-                batch.column("doc_id"),
-                pa.array([len(i) // 4 for i, _ in rows], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows], pa.string()),
-                pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows], pa.string()),
-            ]
-            if full:
-                columns += [pa.array([memoryview(i).cast("I").tolist() if i else [] for i, _ in rows], pa.list_(pa.int32())), pa.array([d for _, d in rows], pa.string())]
+            rows = [judged(*encoder(t.as_py() or "")) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), *map(pa.array, zip(*rows, strict=True), kinds)] if rows else [batch.column("doc_id"), *(pa.array([], k) for k in kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return blocks.corpus(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)

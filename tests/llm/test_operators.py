@@ -536,3 +536,24 @@ def test_quality_classifier_on_empty_tables_and_long_texts(spark, make):
     assert quality_model.score(make([]), weights).collect() == []
     found = quality_model.score(make([(1, "a b " * 400_000), (1, "a b " * 400_000), (None, ""), (9, None)]), weights).collect()
     assert len(found) == 4 and found[0].score == found[1].score and found[2].score == found[3].score
+
+
+def test_bpe_worker_holds_a_piece_once():
+    """Pieces and words of letters share one entry; emptied transitions leave the compiled rows, and the ids stay."""
+    import public_tokenizers
+
+    from tessera.llm import bpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encoder = bpe.WordEncoder(f.read())
+    text = "unbelievable words, unbelievable, it's 12 naïve words!"
+    before = encoder(text)
+    assert encoder["unbelievable"] is not None and "unbelievable" not in encoder.words
+    machine = encoder.automaton
+    rows = len(machine.rows)
+    assert rows and all(isinstance(x, int) for state in machine.under_way for x in state)
+    machine.clear()
+    encoder.clear()
+    encoder.words.clear()
+    assert len(machine.rows) == rows and len(machine.moves) == 1
+    assert encoder(text) == before
