@@ -7,6 +7,7 @@ the size of its partition.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -196,6 +197,12 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles of jobs that are over; Spark deletes them once the driver's garbage is collected, whenever that happens."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_from(total: int, least: int) -> int:
     """From how many entries a key counts as hot: at most 2^24 keys of `total` entries can have so many, so their list is bounded."""
     return max(least, total >> 24)

@@ -2,10 +2,12 @@
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id.
 
-1. Anchors. Every 50-byte window has a key, the least hash of its 16-byte pieces; equal
-   windows have equal keys. A run of windows with one key is sent once per document as that
-   key, and keys that a single document has are dropped. This step loses no match.
-2. Sort. The remaining runs travel as short contexts to the bucket of their key, so windows
+1. Anchors. Every 50-byte window has a key, the least hash of its 24-byte pieces; equal
+   windows have equal keys. A run of windows with one key is a context, sent as its key and a
+   hash of its bytes. A context that a smaller doc_id has too is lost as a whole, without its
+   bytes; what stays is searched if other documents have other contexts under its key, and
+   dropped if none has. This step loses no match.
+2. Sort. The contexts to be searched travel to the bucket of their key, so windows
    that can be equal meet in one bucket and the suffix array is built bucket by bucket. Each
    bucket sorts the suffixes of its distinct contexts by the difference cover modulo 3: the
    triples at sampled places are sorted and named, the names are sorted by recursion, and the
@@ -13,7 +15,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
    windows that agree form a group, whose least doc_id decides.
 3. Cut. The bytes of all windows that lost are united and removed.
 
-Keys and contexts are combined in each block before they are shuffled: later copies of a
+Contexts are combined in each block before they are shuffled: later copies of a
 context in a block lost already and ride along under random buckets, so that copies of a
 document do not gather. The windows around a very common passage share a key with many
 different contexts; such keys (at most `hot_keys`, by count) are split by the windows' own hash.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import blocks, cutting
 
 LENGTH = 50
-PIECE = 16
+PIECE = 24
 SPAN = LENGTH - PIECE + 1
 #: Keys and contexts that a task combines before it sends them.
 HELD_KEYS, HELD_CONTEXTS = 1 << 20, 1 << 17
@@ -88,11 +90,16 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, np.zeros(0, np.uint64), none
-    h, width = blocks._BYTE_KEY[data], 1
-    while width < PIECE:
-        h = h[:-width] * np.uint64(pow(blocks._BASE, width, 2**64)) + h[width:]
+    h, width, piece, done = blocks._BYTE_KEY[data], 1, np.zeros(0, np.uint64), 0
+    while done < PIECE:  # strings of 1, 2, 4, ... bytes, of which a piece consists
+        shift = np.uint64(pow(blocks._BASE, width, 2**64))
+        if PIECE & width:
+            rest = h[done:]
+            piece = piece[: len(rest)] * shift + rest if done else rest
+            done += width
+        h = h[:-width] * shift + h[width:]
         width *= 2
-    least = pieces = blocks.mix(h)
+    least = pieces = blocks.mix(piece)
     width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
@@ -111,6 +118,14 @@ def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last, blocks.mix(least[first] ^ np.uint64(blocks._BASE)), np.searchsorted(at, first, "right") - 1
 
 
+def contexts(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, end, short key, hash and row of every context. A short key is a bucket and 32 bits of the key's place in it."""
+    first, last, key, row = window_keys(data, at)
+    high, low = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+    short = high * np.uint64(buckets) + (low * np.uint64(buckets) >> np.uint64(32))
+    return first, last + LENGTH, short, blocks.mix(blocks.span_hashes(data, first, last + LENGTH) ^ blocks.mix(short)), row
+
+
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -137,16 +152,20 @@ def _slices(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
 
-_KEYS = "bucket int, n int, keys binary, ids binary, uses binary, many binary"
-
+_KEYS = "bucket int, n int, keys binary, ids binary, likes binary"
 
-def _short(counts: np.ndarray) -> bytes:
-    """Counts in two bytes each where all fit, else in four."""
-    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
 
-
-def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.int64)
+def _least(key: np.ndarray, like: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, like, owner) in this order, and which of them are lost: a smaller id has the context too."""
+    order = np.lexsort((owner, like, key))
+    key, like, owner = key[order], like[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (like[1:] != like[:-1])
+    once = new.copy()
+    once[1:] |= owner[1:] != owner[:-1]
+    rank = np.minimum(owner, NO_ID)
+    lost = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return key[once], like[once], owner[once], lost[once]
 
 
 def _anchors(buckets: int):
@@ -155,33 +174,26 @@ def _anchors(buckets: int):
 
         def rows():
             nonlocal salt
-            key, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, like, owner, lost = _least(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            uses = np.diff(np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)))
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            key, owner = key[once], owner[once]
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            count = np.diff(np.append(start, len(key)))
-            sent = blocks.bucket_of(key[start], buckets)
-            for lo, hi in _slices(sent):
-                yield (int(sent[lo]), hi - lo, key[start[lo:hi]].tobytes(), blocks.narrow(owner[start[lo:hi]]), _short(uses[lo:hi]), np.packbits(count[lo:hi] > 1).tobytes())
-            shared = np.flatnonzero(np.repeat(count > 1, count))
             salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
-            for lo in range(0, len(shared), 1 << 12):  # known to be repeated without any other block
-                k = shared[lo : lo + (1 << 12)]
+            gone = np.flatnonzero(lost)
+            for lo in range(0, len(gone), 1 << 12):  # known without any other block
+                k = gone[lo : lo + (1 << 12)]
                 salt = (salt + 1) % buckets
-                yield (buckets + salt, len(k), key[k].tobytes(), blocks.narrow(owner[k]), b"", b"")
+                yield (buckets + salt, len(k), b"", blocks.narrow(owner[k]), like[k].tobytes())
+            key, like, owner = key[~lost], like[~lost], owner[~lost]
+            sent = (key >> np.uint64(32)).astype(np.int64)
+            for lo, hi in _slices(sent):
+                yield (int(sent[lo]), hi - lo, key[lo:hi].astype(np.uint32).tobytes(), blocks.narrow(owner[lo:hi]), like[lo:hi].tobytes())
 
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for i, _, data, at in blocks.chunks(batch.column("text")):
-                _, _, key, row = window_keys(data, at)
+                _, _, key, like, row = contexts(data, at, buckets)
                 if len(key):
-                    held.append((key, ids[i + row]))
-                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                    held.append((key, like, ids[i + row]))
+                if sum(len(x[0]) for x in held) > HELD_KEYS:
                     yield from _batches(_KEYS, rows())
         if held:
             yield from _batches(_KEYS, rows())
@@ -198,29 +210,33 @@ _FOUND = "target int, n int, ids binary, keys binary"
 
 
 def _repeated(buckets: int, targets: int, hot: int):
-    """Blocks of (id, key) of repeated keys by the id's target; under target -1 the keys that are used `hot` times or more, with their uses."""
+    """Blocks of (id, number) by the id's target: hashes of contexts that the id lost, and keys for which its others are searched.
+
+    Under target -1 the keys that are searched in `hot` contexts or more.
+    """
 
     def reduce(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]])
+        number = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["likes"]])
         owner = np.concatenate([blocks.wide(x.as_py(), n) for x, n in zip(table["ids"], sizes, strict=True)])
         out = []
-        if table["bucket"][0].as_py() < buckets:
-            uses = np.concatenate([_counts(x.as_py(), n) for x, n in zip(table["uses"], sizes, strict=True)])
-            many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(table["many"], sizes, strict=True)])
-            found, back, rows = np.unique(key, return_inverse=True, return_counts=True)
-            total = np.bincount(back, weights=uses).astype(np.int64)
-            shared = rows > 1
-            shared[back[many]] = True
-            common = shared & (total >= hot)
+        if (bucket := table["bucket"][0].as_py()) < buckets:
+            key = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["keys"]]) + (np.uint64(bucket) << np.uint64(32))
+            key, like, owner, lost = _least(key, number, owner)
+            rest, of = key[~lost], owner[~lost]
+            rank = np.minimum(of, NO_ID)
+            start = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))  # there is one: the least ids lose nothing
+            count = np.diff(np.append(start, len(rest)))
+            some = np.minimum.reduceat(rank, start) < np.maximum.reduceat(rank, start)  # ids differ, and so do contexts
+            common = some & (count >= hot)
             if common.any():
-                out.append((-1, int(common.sum()), b"", found[common].tobytes()))
-            some = shared[back] & ~many  # where a block has more documents it has sent them itself
-            key, owner = key[some], owner[some]
+                out.append((-1, int(common.sum()), b"", blocks.mix(rest[start[common]]).tobytes()))
+            searched = np.repeat(some, count)
+            number, owner = np.concatenate((like[lost], blocks.mix(rest[searched]))), np.concatenate((owner[lost], of[searched]))
         target = _targets(owner, targets)
         order = np.argsort(target, kind="stable")
-        key, owner, target = key[order], owner[order], target[order]
-        out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), key[lo:hi].tobytes()) for lo, hi in _slices(target)]
+        number, owner, target = number[order], owner[order], target[order]
+        out += [(int(target[lo]), hi - lo, blocks.narrow(owner[lo:hi]), number[lo:hi].tobytes()) for lo, hi in _slices(target)]
         return _table(_FOUND, out)
 
     return reduce
@@ -256,62 +272,74 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _contexts(buckets: int, hot_keys):
-    def cut(data, at, wanted, lists, hot):
-        """Key, first start, end and row of the runs whose key is among the row's repeated ones."""
-        first, last, key, row = window_keys(data, at)
+    def cut(data, at, numbers, lists, hot):
+        """Key, first start, end and row of the contexts that are searched, and first start, end and row of what the row's others lost."""
+        first, end, key, like, row = contexts(data, at, buckets)
+        key = blocks.mix(key)
         tag = lambda r, k: blocks.mix(k + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        stay = np.isin(tag(row, key), tag(np.repeat(np.arange(len(lists) - 1), np.diff(lists)), wanted))
-        first, last, key, row = first[stay], last[stay], key[stay], row[stay]
+        known = np.sort(tag(np.repeat(np.arange(len(lists) - 1), np.diff(lists)), numbers))
+        lost = _among(known, tag(row, like))
+        a, b, r = first[lost], end[lost], row[lost]
+        new = np.ones(len(a), bool)  # contexts are in order and overlap
+        new[1:] = (r[1:] != r[:-1]) | (a[1:] > b[:-1])
+        gone = a[new], b[np.append(new[1:], True)] if len(b) else b, r[new]
+        stay = ~lost & _among(known, tag(row, key))
+        first, end, key, row = first[stay], end[stay], key[stay], row[stay]
         if (split := _among(hot, key)).any():  # every window of a hot key for itself
-            size = np.where(split, last - first + 1, 1)
+            size = np.where(split, end - first - LENGTH + 1, 1)
             k = np.repeat(np.arange(len(first)), size)
             within = _places(np.zeros(len(size), np.int64), size)
-            first, last = first[k] + within, np.where(split[k], first[k] + within, last[k])
+            first, end = first[k] + within, np.where(split[k], first[k] + within + LENGTH, end[k])
             key, row, split = key[k], row[k], split[k]
             key = np.where(split, blocks.mix(key ^ blocks.span_hashes(data, first, first + LENGTH)), key)
-        return key, first, last + LENGTH, row
+        return key, first, end, row, gone
 
     def run(batches):
-        hot, held, salt = hot_keys.value, [], 0
+        hot, held, ready, salt = hot_keys.value, [], [], 0
+
+        def pack(bucket, key, owner, place, begin, size, raw):
+            base = int(place.min())
+            return (bucket, len(place), base, key.tobytes(), blocks.narrow(owner), blocks.narrow(place - base), begin.astype(np.uint32).tobytes(), size.astype(np.uint32).tobytes(), raw)
 
         def rows():
             nonlocal salt
-            key, like, owner, place, begin, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            start = np.cumsum(size) - size
-            order = np.lexsort((begin, place, owner, like, key))
-            key, like, owner, place, begin, size, start = (x[order] for x in (key, like, owner, place, begin, size, start))
-            group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (like[1:] != like[:-1])))) - 1
-            rank = np.minimum(owner, NO_ID)
-            lost = rank > rank[np.flatnonzero(np.diff(group, prepend=-1))][group]
-
-            def pack(bucket, k, raw):
-                base = int(place[k].min())
-                return (bucket, len(k), base, key[k].tobytes(), blocks.narrow(owner[k]), blocks.narrow(place[k] - base), begin[k].astype(np.uint32).tobytes(), size[k].astype(np.uint32).tobytes(), raw)
-
-            some = np.flatnonzero(~lost)
-            sent = blocks.bucket_of(key[some], buckets)
-            for lo, hi in _slices(sent):
-                yield pack(int(sent[lo]), some[lo:hi], text[_places(start[some[lo:hi]], size[some[lo:hi]])].tobytes())
-            gone = np.flatnonzero(lost)
-            salt = (salt * 31 + len(key) + int(key[0] % np.uint64(65521))) % buckets
-            for lo in range(0, len(gone), 1 << 11):
+            if held:
+                key, like, owner, place, begin, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                start = np.cumsum(size) - size
+                order = np.lexsort((begin, place, owner, like, key))
+                key, like, owner, place, begin, size, start = (x[order] for x in (key, like, owner, place, begin, size, start))
+                group = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (like[1:] != like[:-1])))) - 1
+                rank = np.minimum(owner, NO_ID)
+                lost = rank > rank[np.flatnonzero(np.diff(group, prepend=-1))][group]
+                some = np.flatnonzero(~lost)
+                sent = blocks.bucket_of(key[some], buckets)
+                for lo, hi in _slices(sent):
+                    k = some[lo:hi]
+                    yield pack(int(sent[lo]), key[k], owner[k], place[k], begin[k], size[k], text[_places(start[k], size[k])].tobytes())
+                ready.append(tuple(x[lost] for x in (owner, place, begin, size)))
+            gone = tuple(np.concatenate(x) for x in zip(*ready, strict=True))
+            ready.clear()
+            salt = (salt * 31 + len(gone[0]) + int(gone[1].max(initial=0)) % 65521) % buckets
+            for lo in range(0, len(gone[0]), 1 << 11):
                 salt = (salt + 1) % buckets
-                yield pack(buckets + salt, gone[lo : lo + (1 << 11)], b"")
+                yield pack(buckets + salt, np.zeros(0, np.uint64), *(x[lo : lo + (1 << 11)] for x in gone), b"")
 
         for batch in batches:
             ids, places = batch.column("id").to_numpy(), batch.column("place").to_numpy()
-            wanted = batch.column("keys")
-            lists = np.concatenate(([0], np.cumsum([len(x) for x in wanted])))
-            wanted = wanted.flatten().to_numpy().view(np.uint64)
+            numbers = batch.column("keys")
+            lists = np.concatenate(([0], np.cumsum([len(x) for x in numbers])))
+            numbers = numbers.flatten().to_numpy().view(np.uint64)
             for i, j, data, at in blocks.chunks(batch.column("text")):
-                key, first, end, row = cut(data, at, wanted[lists[i] : lists[j]], lists[i : j + 1], hot)
+                key, first, end, row, (a, b, r) = cut(data, at, numbers[lists[i] : lists[j]], lists[i : j + 1], hot)
+                if len(r):
+                    ready.append((ids[i + r], places[i + r], a - at[r], b - a))
                 if len(key):
                     like = blocks.mix(blocks.span_hashes(data, first, end) ^ key)
                     held.append((key, like, ids[i + row], places[i + row], first - at[row], end - first, data[_places(first, end - first)]))
-                if sum(len(h[0]) for h in held) > HELD_CONTEXTS:
+                if sum(len(x[0]) for x in (*held, *ready)) > HELD_CONTEXTS:
                     yield from _batches(_CONTEXTS, rows(), 32)
-        if held:
+        if held or ready:
             yield from _batches(_CONTEXTS, rows(), 32)
 
     return run
@@ -474,8 +502,9 @@ def dedup(docs: DataFrame, hot: int = 1000, full: bool = False) -> DataFrame:
     hot = blocks.hot_from(total, hot)
     repeated = blocks.table(rows.select("id", "text").mapInArrow(_anchors(buckets), _KEYS).groupBy("bucket").applyInArrow(_repeated(buckets, targets, hot), _FOUND))
     common = repeated.filter("target = -1").select("keys").mapInArrow(_common, "key long")
-    common = np.sort(common.toPandas()["key"].to_numpy(np.int64).view(np.uint64))  # a key is used `hot` times or more, which bounds their number
-    # what each id has to be searched for; exact copies of smaller ids lose everything without a search
+    common = np.sort(common.toPandas()["key"].to_numpy(np.int64).view(np.uint64))  # a key has `hot` contexts or more, which bounds their number
+    blocks.release(spark)
+    # what each id lost and has to be searched for; exact copies of smaller ids lose everything without either
     by_id = repeated.filter("target >= 0").groupBy("target").applyInArrow(_keys_by_id, "id long, keys array<long>")
     copies = _copies(rows).groupBy("id").agg(F.collect_set("rk").alias("copies"))
     copy = F.coalesce(F.array_contains("copies", F.col("rk")), F.lit(False))
@@ -492,6 +521,7 @@ def dedup(docs: DataFrame, hot: int = 1000, full: bool = False) -> DataFrame:
         copy.alias("copy"),
     )
     marked = blocks.bucketed(marked, "id")
+    blocks.release(spark)
     contexts = marked.filter("keys IS NOT NULL").select("id", "place", "text", "keys").mapInArrow(_contexts(buckets, spark.sparkContext.broadcast(common)), _CONTEXTS)
     lost = contexts.groupBy("bucket").applyInArrow(_sorted(buckets, targets), _RANGES)
     ranges = lost.groupBy("target").applyInArrow(_ranges_by_id, "id long, places array<long>, begins array<int>, ends array<int>")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import chunk_dedup, suffix_dedup
@@ -50,6 +51,56 @@ def test_suffix_dedup_is_exact(make):
     compare(suffix_dedup.dedup(make(rows), hot=2), expected)  # every key split as a hot one
 
 
+def test_suffix_dedup_is_exact_where_pieces_repeat_by_chance(make):
+    """Few words in any order, copies of long passages with a word changed, and one id for several rows."""
+    r = random.Random(21)
+    word = [f"{c}{d}nt" for c in "abcd" for d in "ei"]
+    prose = lambda n: " ".join(r.choice(word) for _ in range(n))
+    passage = prose(150).split()
+    rows = [(k, prose(r.randint(10, 60))) for k in range(25)]
+    for k in range(25, 45):
+        now = passage.copy()
+        now[r.randrange(150)] = "other"
+        rows.append((k % 35 if k % 4 else None, prose(5) + " " + " ".join(now[r.randrange(40) :])))
+    least = {}
+    for i, t in rows:
+        raw = t.encode()
+        for k in range(len(raw) - 49):
+            least[raw[k : k + 50]] = min(least.get(raw[k : k + 50], 10**9), i if i is not None else 10**9)
+    lost = lambda i, raw: [(k, k + 50) for k in range(len(raw) - 49) if least[raw[k : k + 50]] < (i if i is not None else 10**9)]
+    expected = [(i, cut_out(t.encode(), lost(i, t.encode()))) for i, t in rows]
+    assert sum(x[1] for _, x in expected) > 3000
+    compare(suffix_dedup.dedup(make(rows)), expected)
+    compare(suffix_dedup.dedup(make(rows), hot=2), expected)
+
+
+def test_suffix_dedup_sends_no_text_of_whole_copies():
+    """Of a passage that two documents share, only what meets other text at its ends is searched; the rest is lost by its hash."""
+    r = random.Random(22)
+    prose = lambda n: "".join(r.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    passage = prose(5000)
+    texts = [prose(300) + passage + prose(300) for _ in range(2)]
+    found = {1: [], 2: []}
+    blocks_ = [b for i, t in enumerate(texts) for b in suffix_dedup._anchors(1)([pa.record_batch({"id": pa.array([i + 1], pa.int64()), "text": [t]})])]
+    for some in suffix_dedup._slices(np.array([b["bucket"][k].as_py() for b in blocks_ for k in range(b.num_rows)])):
+        table = suffix_dedup._repeated(1, 1, 1000)(pa.Table.from_batches(blocks_).slice(some[0], some[1] - some[0]))
+        for row in table.to_pylist():
+            for i, number in zip(suffix_dedup.blocks.wide(row["ids"], row["n"]), np.frombuffer(row["keys"], np.int64), strict=True):
+                found[int(i)].append(int(number))
+
+    class Hot:
+        value = np.zeros(0, np.uint64)
+
+    sent, covered = 0, 0
+    for i, t in enumerate(texts):
+        batch = pa.record_batch({"id": pa.array([i + 1], pa.int64()), "place": pa.array([i], pa.int64()), "text": [t], "keys": pa.array([found[i + 1]], pa.list_(pa.int64()))})
+        for b in suffix_dedup._contexts(1, Hot)([batch]):
+            sent += sum(len(x.as_py()) for x in b["bytes"])
+            covered += sum(int(np.frombuffer(x["sizes"], np.uint32).sum()) for x in b.to_pylist() if x["bucket"] >= 1)
+    assert sent < 1000  # 37,312 when every context under a repeated key was sent
+    assert 4800 < covered <= 5000
+
+
 def test_suffix_dedup_over_the_whole_range_of_ids(make):
     """Also ids from 2^62 up are told apart, in their order, beside negative and null ones."""
     r = random.Random(15)
