@@ -13,6 +13,7 @@ from tessera.operators import evaluate as v
 from tessera.operators import learn as m
 from tessera.operators import moments as mo
 from tessera.operators import portfolio as b
+from tessera.plans import catalog, models
 
 K, Q = len(e.FACTORS), len(e.MACROS)
 
@@ -376,6 +377,28 @@ def test_forest_surface_sends_histograms_of_few_tasks(spark, monkeypatch):
     assert seen == [(2 * spark.sparkContext.defaultParallelism, 300)]
 
 
+def test_forest_surface_grows_all_trees_of_a_cell(spark, monkeypatch):
+    """Every number of trees is scored by a forest of that size, the first trees of the largest."""
+    r = np.random.RandomState(16)
+    df = spark.createDataFrame([(float(v[0] > 0.5) + 0.1 * float(v[2]), v.tolist()) for v in r.uniform(size=(300, 3))], "y double, x array<double>").select("y", array_to_vector("x").alias("features"))
+    made, plain = [], m.forest
+    monkeypatch.setattr(m, "forest", lambda *args, **options: made.append(plain(*args, **options)) or made[-1])
+    monkeypatch.setattr(m, "TREES_AT_ONCE", 3, raising=False)
+    got = {x.trees: x.r2 for x in m.forest_surface(df, df, (2, 5, 9), (2,), ("onethird",), least_leaf=5).collect()}
+    assert [x.getNumTrees for x in made] == [2, 1, 2, 1, 3]
+    assert len({t.toDebugString for x in made for t in x.trees}) > 5  # parts differ
+    y = np.array([x.y for x in df.collect()])
+    p = np.array([[t.predict(x.features) for f in made for t in f.trees] for x in df.collect()])
+    for n in (2, 5, 9):
+        assert got[n] == pytest.approx(1 - ((y - p[:, :n].mean(axis=1)) ** 2).sum() / (y**2).sum(), abs=1e-9)
+    # the registered query tunes with all the trees of its grid
+    seen = []
+    monkeypatch.setattr(m, "forest_surface", lambda *args, **options: seen.append((args, options)) or df.select("y"))
+    monkeypatch.setattr(models, "halves", lambda t: (None, df, df))
+    catalog.queries()["m13_forest_surface"](spark, None)
+    assert len(seen[0][0]) == 2 and seen[0][1] == {"least_leaf": 200}
+
+
 def test_target_of_a_later_row(spark):
     df = spark.createDataFrame([(1, month(k), 1000, 0.1 * k, 0.01) for k in range(4)], "permno long, month date, siccd int, ret_adjusted double, rf double")
     got = [x.y for x in m.with_target(df, target_lead=1).orderBy("month").collect()]
